@@ -65,7 +65,7 @@ QUERIES = {
         profile.box_stats(stored_features(s, d), BOXED), 6, *BOX_COLUMNS
     ),
     "box_stats_by_label": lambda s, d: _rounded(
-        profile.box_stats(stored_features(s, d), BY_LABEL, by="Churned"), 3, *BOX_COLUMNS
+        profile.box_stats(stored_features(s, d), BY_LABEL, "Churned", [0, 1]), 3, *BOX_COLUMNS
     ),
     "corr_matrix": lambda s, d: _rounded(
         profile.correlation_matrix(stored_features(s, d)), 6, "r"

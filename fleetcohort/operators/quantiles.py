@@ -33,8 +33,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with one column per quantile; NULL values are ignored.
 
-    ``keys`` must enumerate a handful of groups (columns, personas, labels): one row
-    per group is broadcast. ``df`` is read three times, so pass a stored table.
+    One row per group is broadcast, so ``keys`` must hold values the caller enumerates
+    (profiled columns, listed labels). ``df`` is read three times: pass a stored table.
     """
     edges = _cuts(list(quantiles.values()))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))

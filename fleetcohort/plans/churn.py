@@ -182,7 +182,7 @@ def random_search(
             return _fold_auc(fit_churn(inside, setting, clusters, seed), outside)
 
         with ThreadPool(min(parallel_fits, len(settings))) as pool:
-            aucs = pool.map(inheritable_thread_target(run), settings)
+            aucs = pool.map(inheritable_thread_target(train.sparkSession)(run), settings)
         totals = [t + a for t, a in zip(totals, aucs)]
         inside.unpersist()
         outside.unpersist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcohort.functions.numeric import round_half_even
+
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Negatives, positives and their ratio: the weight of a positive row."""
@@ -80,25 +82,21 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return derived.select(F.inline(F.array(*lines)))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve, ties averaged: one row (positives, negatives, auc).
+def roc_auc(df: DataFrame, label: str, score: str, places: int = 4) -> DataFrame:
+    """Area under the ROC curve, ties averaged: one row (positives, negatives, auc).
 
-    Scores are first counted per distinct value. Published scores carry four decimals,
-    so the ordered pass runs over at most 10,001 rows whatever the table size.
+    Probabilities are compared at ``places`` decimals, the precision they are published
+    with, and counted per value first. The ordered pass therefore runs over at most
+    10**places + 1 rows whatever the table size.
     """
-    by_score = df.groupBy(score).agg(
+    by_score = df.groupBy(round_half_even(F.col(score), places).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = by_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     # A positive beats every negative below it and half of those it ties with.
     wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))
+    pairs = F.col("positives").cast("double") * F.col("negatives")
     return ranked.agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(wins).alias("wins")
-    ).select(
-        "positives",
-        "negatives",
-        (F.col("wins") / F.nullif(F.col("positives").cast("double") * F.col("negatives"), F.lit(0.0))).alias(
-            "auc"
-        ),
-    )
+    ).select("positives", "negatives", (F.col("wins") / F.nullif(pairs, F.lit(0.0))).alias("auc"))

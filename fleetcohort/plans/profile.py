@@ -81,17 +81,20 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+def box_stats(
+    df: DataFrame, columns: list[str], by: str | None = None, groups: list | None = None
+) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per column, optionally per group.
 
-    Values that are not numbers are dropped. ``by`` must have few distinct values.
+    Values that are not numbers are dropped. ``groups`` lists the values of ``by`` to
+    show, which bounds the broadcast fences to columns x groups rows.
     """
     ids = [by] if by else []
     clean = df.select(*ids, *[coerce_number(c).alias(c) for c in columns])
     keys = ids + ["column"]
     rows = melt(clean, ids, columns, "column", "value").filter(F.col("value").isNotNull())
     if by:
-        rows = rows.filter(F.col(by).isNotNull())
+        rows = rows.filter(F.col(by).isin(groups))
     quartiles = exact_quantiles(rows, keys, "value", QUARTILES)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetcohort.settings import EVENT_TYPES, TIERS, TRIP_TYPES
@@ -25,16 +26,19 @@ def _tables(logs: RawLogs) -> dict[str, DataFrame]:
     }
 
 
-def column_audit(table: str, df: DataFrame) -> DataFrame:
-    """Type, row count and NULL count of every column in one pass over the table."""
-    counts = df.agg(
+def table_facts(df: DataFrame, **rules: Column) -> DataFrame:
+    """One row from one pass: row count, NULLs per column, rows matching each rule."""
+    return df.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns],
+        *[F.count_if(rule).alias(f"_rule_{name}") for name, rule in rules.items()],
     )
-    kinds = F.create_map(
-        *[F.lit(x) for name, kind in df.dtypes for x in (name, kind)]
-    )
-    return counts.unpivot(["_rows"], df.columns, "column", "nulls").select(
+
+
+def column_audit(table: str, df: DataFrame) -> DataFrame:
+    """Type, row count and NULL count of every column in one pass over the table."""
+    kinds = F.create_map(*[F.lit(x) for name, kind in df.dtypes for x in (name, kind)])
+    return table_facts(df).unpivot(["_rows"], df.columns, "column", "nulls").select(
         F.lit(table).alias("table"),
         "column",
         kinds[F.col("column")].alias("type"),
@@ -117,19 +121,36 @@ def domain_check(logs: RawLogs) -> DataFrame:
     )
 
 
+# Table -> check -> rule that marks a bad row.
+def _rules() -> dict[str, dict[str, Column]]:
+    def outside(column: str, expected: list[str]) -> Column:
+        return F.col(column).isNotNull() & ~F.trim(F.col(column)).isin(expected)
+
+    return {
+        "profiles": {"domain of current_tier": outside("current_tier", TIERS)},
+        "sessions": {
+            "session_end after session_start": F.col("session_end") <= F.col("session_start")
+        },
+        "trips": {
+            "pickup_time after request_time": F.col("pickup_time") <= F.col("request_time"),
+            "domain of trip_type": outside("trip_type", TRIP_TYPES),
+        },
+        "incentives": {},
+        "interactions": {"domain of event_type": outside("event_type", EVENT_TYPES)},
+    }
+
+
 def quality_suite(logs: RawLogs) -> DataFrame:
-    """One row per check: NULLs per table, order rules, domain rules."""
-    nulls = (
-        null_audit(logs)
-        .groupBy("table")
-        .agg(F.sum("nulls").alias("bad_rows"))
-        .select(F.concat(F.lit("no NULL in "), "table").alias("check"), "bad_rows")
-    )
-    order = temporal_violations(logs).select("check", "bad_rows")
-    domains = (
-        domain_check(logs)
-        .groupBy("check")
-        .agg(F.sum(F.when(F.col("verdict") == "unexpected", F.col("n")).otherwise(0)).alias("bad_rows"))
-        .select(F.concat(F.lit("domain of "), "check").alias("check"), "bad_rows")
-    )
-    return _stack([nulls, order, domains]).select("check", _status("bad_rows"), "bad_rows")
+    """One row per check: NULLs per table, order rules, domain rules. Each log is read once."""
+    rules = _rules()
+    verdicts = []
+    for table, df in _tables(logs).items():
+        named = {f"r{i}": rule for i, rule in enumerate(rules[table].values())}
+        nulls = reduce(add, [F.col(c) for c in df.columns])
+        lines = [F.struct(F.lit(f"no NULL in {table}").alias("check"), nulls.alias("bad_rows"))]
+        lines += [
+            F.struct(F.lit(check).alias("check"), F.col(f"_rule_r{i}").alias("bad_rows"))
+            for i, check in enumerate(rules[table])
+        ]
+        verdicts.append(table_facts(df, **named).select(F.inline(F.array(*lines))))
+    return _stack(verdicts).select("check", _status("bad_rows"), "bad_rows")
