@@ -16,10 +16,10 @@ def map_codes(code: Column, labels: dict) -> Column:
     return F.try_element_at(pairs, code)
 
 
-def tier_rank(tier: Column) -> Column:
+def tier_rank(column: str) -> Column:
     """Ordinal tier; anything unknown or missing ranks lowest."""
-    return (
-        F.when(tier == "Diamond", 4).when(tier == "Platinum", 3).when(tier == "Gold", 2).otherwise(1)
+    return F.expr(
+        f"CASE {column} WHEN 'Diamond' THEN 4 WHEN 'Platinum' THEN 3 WHEN 'Gold' THEN 2 ELSE 1 END"
     )
 
 

@@ -39,8 +39,8 @@ def local_epoch_seconds(ts: Column, source_zone: str = "UTC", zone: str = LOCAL_
     return F.unix_seconds(F.from_utc_timestamp(instant, zone))
 
 
-def second_of_day(seconds: Column) -> Column:
-    return F.pmod(seconds, F.lit(DAY))
+def hour_of_day(seconds: Column) -> Column:
+    return F.floor(F.pmod(seconds, F.lit(DAY)) / HOUR)
 
 
 def day_of_week(seconds: Column) -> Column:
@@ -48,20 +48,19 @@ def day_of_week(seconds: Column) -> Column:
     return F.pmod(F.floor(seconds / DAY) + 4, F.lit(7))
 
 
-def is_peak(day: Column, second: Column) -> Column:
-    """True inside the high-demand windows of the local wall clock.
+# High demand on the local wall clock; day 0 is Sunday, each calendar day is judged on
+# its own. The text form keeps one expression out of many small ones.
+PEAK = """
+    CASE WHEN {day} BETWEEN 1 AND 4 THEN {hour} BETWEEN 7 AND 9 OR {hour} BETWEEN 16 AND 18
+         WHEN {day} = 5 THEN {hour} BETWEEN 7 AND 8 OR {hour} >= 16
+         WHEN {day} = 6 THEN {hour} < 3 OR {hour} >= 22
+         WHEN {day} = 0 THEN {hour} < 3 OR {hour} BETWEEN 11 AND 13 OR {hour} >= 22 END
+"""
 
-    Pass plain columns, both are used many times. Mon-Thu 07-10 and 16-19, Fri 07-09
-    and from 16, Sat and Sun before 03 and from 22, Sun also 11-14. Each calendar day
-    is judged on its own.
-    """
 
-    def within(first: int, last: int) -> Column:
-        return (second >= first * HOUR) & (second < last * HOUR)
+def is_peak(day: str, hour: str) -> Column:
+    """True inside the demand windows, given the names of a weekday and an hour column.
 
-    return (
-        F.when(day.between(1, 4), within(7, 10) | within(16, 19))
-        .when(day == 5, within(7, 9) | within(16, 24))
-        .when(day == 6, within(0, 3) | within(22, 24))
-        .when(day == 0, within(0, 3) | within(11, 14) | within(22, 24))
-    )
+    Every window starts and ends on a full hour, so the hour decides.
+    """
+    return F.expr(PEAK.format(day=day, hour=hour))

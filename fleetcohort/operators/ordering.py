@@ -9,18 +9,29 @@ consecutive segments of a key is closed on one summary row per (segment, key).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def range_segments(df: DataFrame, key: str, order: list[str], name: str = "segment") -> DataFrame:
-    """Range-partition by (key, order) and name each partition."""
+    """Range-partition by (key, order) and number the partitions in that order."""
     return df.repartitionByRange(key, *order).withColumn(name, F.spark_partition_id())
 
 
-def previous_in_segment(
-    value: str, key: str, order: list[str], segment: str = "segment"
-) -> Column:
-    """``value`` of the row before, when that row has the same key; else NULL."""
+def segment_neighbours(
+    key: str, order: list[str], segment: str = "segment"
+) -> tuple[Callable[[str], Column], Column]:
+    """Two column builders over the rows of a segment in (key, order) order.
+
+    The first gives a column of the row before, NULL where that row has another key.
+    The second is true on the last row of a key.
+    """
     rows = Window.partitionBy(segment).orderBy(key, *order)
-    return F.when(F.lag(key).over(rows) == F.col(key), F.lag(value).over(rows))
+
+    def previous(column: str) -> Column:
+        return F.when(F.lag(key).over(rows) == F.col(key), F.lag(column).over(rows))
+
+    is_last = F.coalesce(F.lead(key).over(rows) != F.col(key), F.lit(True))
+    return previous, is_last

@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcohort.functions.mapping import contains_any, tier_rank
-from fleetcohort.functions.numeric import cents, safe_ratio
+from fleetcohort.functions.numeric import cents
 from fleetcohort.functions.temporal import (
     day_of_week,
+    hour_of_day,
     hours_between,
     is_peak,
     local_epoch_seconds,
-    second_of_day,
     seconds_between,
 )
-from fleetcohort.operators.ordering import previous_in_segment, range_segments
+from fleetcohort.operators.ordering import range_segments, segment_neighbours
 from fleetcohort.settings import FEATURE_COLUMNS, PREMIUM_TRIP_TYPES
 from fleetcohort.sources.raw import RawLogs
 
@@ -32,7 +32,7 @@ KEY = "driver_id"
 
 def trip_totals(trips: DataFrame, source_zone: str = "UTC") -> DataFrame:
     """Everything the features need from trips, one row per driver."""
-    # Each step below feeds several uses of the next one, so each is its own projection.
+    # Each step feeds several uses in the next one, so each is its own projection.
     priced = trips.select(
         KEY,
         "trip_id",
@@ -40,23 +40,23 @@ def trip_totals(trips: DataFrame, source_zone: str = "UTC") -> DataFrame:
         cents(F.col("fare")).alias("fare_cents"),
         cents(F.col("tip")).alias("tip_cents"),
         "trip_duration_seconds",
-        "trip_type",
-        safe_ratio(F.col("fare"), F.col("surge_multiplier")).alias("base"),
+        F.col("trip_type").isin(PREMIUM_TRIP_TYPES).alias("premium"),
+        F.expr("fare / nullif(surge_multiplier, 0D)").alias("base"),
         local_epoch_seconds(F.col("request_time"), source_zone).alias("local"),
     )
     clocked = priced.withColumns(
-        {"local_day": day_of_week(F.col("local")), "local_second": second_of_day(F.col("local"))}
+        {"local_day": day_of_week(F.col("local")), "local_hour": hour_of_day(F.col("local"))}
     )
     return clocked.groupBy(KEY).agg(
-        F.sum(F.col("fare_cents") + F.col("tip_cents")).alias("trip_cents"),
+        F.expr("sum(fare_cents + tip_cents)").alias("trip_cents"),
         F.sum("fare_cents").alias("fare_cents"),
         F.sum("tip_cents").alias("tip_cents"),
         F.sum("trip_duration_seconds").alias("trip_seconds"),
-        F.sum(F.col("fare") - F.col("base")).alias("surge_premium"),
+        F.expr("sum(fare - base)").alias("surge_premium"),
         F.sum("base").alias("base_fare"),
         F.count("trip_id").alias("trip_count"),
-        F.count_if(F.col("trip_type").isin(PREMIUM_TRIP_TYPES)).alias("premium_trips"),
-        F.count_if(is_peak(F.col("local_day"), F.col("local_second"))).alias("peak_trips"),
+        F.count_if("premium").alias("premium_trips"),
+        F.count_if(is_peak("local_day", "local_hour")).alias("peak_trips"),
     )
 
 
@@ -75,38 +75,35 @@ def session_totals(sessions: DataFrame) -> DataFrame:
     whatever the segmentation.
     """
     order = ["session_start", "session_id"]
+    previous, is_last = segment_neighbours(KEY, order)
     inside = range_segments(
         sessions.select(KEY, "session_id", "session_start", "session_end"), KEY, order
-    ).withColumn("previous_end", previous_in_segment("session_end", KEY, order))
-    gap = hours_between(F.col("previous_end"), F.col("session_start"))
-    seconds = seconds_between(F.col("session_start"), F.col("session_end"))
-    position = F.struct(*order)
-    parts = (
-        inside.select(
-            KEY,
-            "segment",
-            position.alias("position"),
-            "session_start",
-            "session_end",
-            seconds.alias("seconds"),
-            gap.alias("gap"),
-        )
-        .groupBy("segment", KEY)
-        .agg(
-            F.min("position").alias("first_position"),
-            F.max_by("session_end", "position").alias("last_end"),
-            F.sum("seconds").alias("seconds"),
-            F.count(F.lit(1)).alias("sessions"),
-            F.count("gap").alias("gaps"),
-            F.sum("gap").alias("gap_sum"),
-            F.sum(_square(F.col("gap"))).alias("gap_squares"),
-        )
+    ).select(
+        "segment",
+        KEY,
+        "session_start",
+        "session_end",
+        previous("session_end").alias("previous_end"),
+        is_last.alias("is_last"),
     )
-    # At most one row per partition that holds the driver: a short window.
-    chain = Window.partitionBy(KEY).orderBy("first_position")
-    seam = hours_between(
-        F.lag("last_end").over(chain), F.col("first_position.session_start")
+    measured = inside.withColumns(
+        {
+            "gap": hours_between(F.col("previous_end"), F.col("session_start")),
+            "seconds": seconds_between(F.col("session_start"), F.col("session_end")),
+        }
+    )
+    parts = measured.groupBy("segment", KEY).agg(
+        F.min("session_start").alias("first_start"),
+        F.max(F.when(F.col("is_last"), F.col("session_end"))).alias("last_end"),
+        F.sum("seconds").alias("seconds"),
+        F.count(F.lit(1)).alias("sessions"),
+        F.count("gap").alias("gaps"),
+        F.sum("gap").alias("gap_sum"),
+        F.sum(F.col("gap") * F.col("gap")).alias("gap_squares"),
     )
+    # At most one row per partition that holds the driver: a short window.
+    chain = Window.partitionBy(KEY).orderBy("segment")
+    seam = hours_between(F.lag("last_end").over(chain), F.col("first_start"))
     return (
         parts.withColumn("seam", seam)
         .groupBy(KEY)
@@ -115,13 +112,15 @@ def session_totals(sessions: DataFrame) -> DataFrame:
             F.sum("sessions").alias("session_count"),
             (F.sum("gaps") + F.count("seam")).alias("gap_count"),
             _plus(F.sum("gap_sum"), F.sum("seam")).alias("gap_sum"),
-            _plus(F.sum("gap_squares"), F.sum(_square(F.col("seam")))).alias("gap_squares"),
+            _plus(F.sum(_wide("gap_squares")), F.sum(_wide("seam") * _wide("seam"))).alias(
+                "gap_squares"
+            ),
         )
     )
 
 
-def _square(hours: Column) -> Column:
-    return (hours * hours).cast("decimal(20,0)")
+def _wide(column: str) -> Column:
+    return F.col(column).cast("decimal(19,0)")
 
 
 def _plus(left: Column, right: Column) -> Column:
@@ -129,150 +128,105 @@ def _plus(left: Column, right: Column) -> Column:
 
 
 def incentive_totals(incentives: DataFrame) -> DataFrame:
-    is_quest = F.col("incentive_type") == "Quest"
-    is_done = F.col("status") == "completed"
     # Other rows touch no total, and a driver left without rows gets the same NULLs.
     return (
-        incentives.filter(is_quest | is_done)
+        incentives.filter("incentive_type = 'Quest' OR status = 'completed'")
         .groupBy(KEY)
         .agg(
-            F.count_if(is_quest).alias("quests"),
-            F.count_if(is_quest & is_done).alias("quests_done"),
-            F.sum(F.when(is_done, cents(F.col("bonus_amount")))).alias("bonus_cents"),
+            F.expr("count_if(incentive_type = 'Quest')").alias("quests"),
+            F.expr("count_if(incentive_type = 'Quest' AND status = 'completed')").alias("quests_done"),
+            F.sum(F.when(F.col("status") == "completed", cents(F.col("bonus_amount")))).alias(
+                "bonus_cents"
+            ),
         )
     )
 
 
 def interaction_totals(interactions: DataFrame) -> DataFrame:
-    event = F.col("event_type")
-    # Only these three events enter a rate; the filter reaches the scan.
-    return (
-        interactions.filter(event.isin("trip_accepted", "trip_cancelled", "trip_ignored"))
-        .groupBy(KEY)
-        .agg(
-            F.count_if(event == "trip_accepted").alias("accepted"),
-            F.count_if(event == "trip_cancelled").alias("cancelled"),
-            F.count_if(event == "trip_ignored").alias("ignored"),
-        )
+    return interactions.groupBy(KEY).agg(
+        F.expr("count_if(event_type = 'trip_accepted')").alias("accepted"),
+        F.expr("count_if(event_type = 'trip_cancelled')").alias("cancelled"),
+        F.expr("count_if(event_type = 'trip_ignored')").alias("ignored"),
     )
 
 
 # --- feature formulas over the totals ----------------------------------------
 
-
-def _zero(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
-
-
-def _money(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(0)).cast("double") / F.lit(100.0)
-
-
-def _earnings_per_hour() -> Column:
-    hours = F.col("online_seconds").cast("double") / F.lit(3600.0)
-    return safe_ratio(_money("trip_cents"), hours)
-
-
-def _utilization() -> Column:
-    share = safe_ratio(_zero("trip_seconds"), F.col("online_seconds"))
+FORMULAS = {
+    "avg_earnings_per_hour_online": """
+        (coalesce(trip_cents, 0) / 100D) / nullif(online_seconds / 3600D, 0D)""",
     # ``least`` skips NULL: a driver whose sessions last zero seconds scores 1.0.
-    return F.when(F.col("session_count").isNotNull(), F.least(share, F.lit(1.0)))
-
-
-def _surge() -> Column:
-    return safe_ratio(F.col("surge_premium"), F.col("base_fare"))
-
-
-def _premium_ratio() -> Column:
-    return F.coalesce(safe_ratio(F.col("premium_trips"), F.col("trip_count")), F.lit(0.0))
-
-
-def _peak_score() -> Column:
-    return safe_ratio(F.col("peak_trips"), F.col("trip_count"))
-
-
-def _regularity() -> Column:
-    """Sample standard deviation of the gaps from their integer moments; 0 below two gaps."""
-    n = F.col("gap_count").cast("decimal(18,0)")
-    total = F.col("gap_sum").cast("decimal(19,0)")
-    squares = F.col("gap_squares").cast("decimal(38,0)")
-    spread = (n * squares - total * total).cast("double")
-    pairs = F.col("gap_count").cast("double") * (F.col("gap_count") - 1).cast("double")
-    deviation = F.when(F.col("gap_count") > 1, F.sqrt(spread / pairs))
-    return F.when(F.col("session_count").isNotNull(), F.coalesce(deviation, F.lit(0.0)))
-
-
-def _quest_rate() -> Column:
-    return safe_ratio(F.col("quests_done"), F.col("quests"))
-
-
-def _incentive_reliance() -> Column:
-    whole = _money("bonus_cents") + _money("fare_cents") + _money("tip_cents")
-    return safe_ratio(_money("bonus_cents"), whole)
-
-
-def _cancellation() -> Column:
-    return safe_ratio(F.col("cancelled"), F.col("accepted") + F.col("cancelled"))
-
-
-def _acceptance() -> Column:
-    return safe_ratio(F.col("accepted"), F.col("accepted") + F.col("ignored"))
+    "trip_utilization_rate": """
+        CASE WHEN session_count IS NOT NULL
+             THEN least(coalesce(trip_seconds, 0) / nullif(CAST(online_seconds AS DOUBLE), 0D), 1D)
+        END""",
+    "surge_reliance_score": "surge_premium / nullif(base_fare, 0D)",
+    "premium_trip_ratio": "coalesce(premium_trips / nullif(CAST(trip_count AS DOUBLE), 0D), 0D)",
+    "peak_hour_driver_score": "peak_trips / nullif(CAST(trip_count AS DOUBLE), 0D)",
+    # Sample standard deviation from integer moments; 0 below two gaps.
+    "session_regularity": """
+        CASE WHEN gap_count > 1 THEN
+               sqrt(CAST(CAST(gap_count AS DECIMAL(18, 0)) * CAST(gap_squares AS DECIMAL(38, 0))
+                         - CAST(gap_sum AS DECIMAL(19, 0)) * CAST(gap_sum AS DECIMAL(19, 0))
+                         AS DOUBLE)
+                    / (CAST(gap_count AS DOUBLE) * CAST(gap_count - 1 AS DOUBLE)))
+             WHEN session_count IS NOT NULL THEN 0D END""",
+    "quest_completion_rate": "quests_done / nullif(CAST(quests AS DOUBLE), 0D)",
+    "incentive_reliance_pct": """
+        (coalesce(bonus_cents, 0) / 100D)
+        / nullif(coalesce(bonus_cents, 0) / 100D + coalesce(fare_cents, 0) / 100D
+                 + coalesce(tip_cents, 0) / 100D, 0D)""",
+    "cancellation_rate": "cancelled / nullif(CAST(accepted + cancelled AS DOUBLE), 0D)",
+    "acceptance_rate": "accepted / nullif(CAST(accepted + ignored AS DOUBLE), 0D)",
+}
+
+
+def feature(name: str) -> Column:
+    return F.expr(FORMULAS[name]).alias(name)
+
+
+def premium_capable() -> Column:
+    flag = contains_any(F.col("vehicle_dispatchability"), PREMIUM_TRIP_TYPES)
+    return flag.alias("is_premium_capable")
 
 
 # --- single features ----------------------------------------------------------
 
 
 def earnings_per_hour(sessions: DataFrame, trips: DataFrame) -> DataFrame:
-    return (
-        online_totals(sessions)
-        .join(trip_totals(trips), KEY, "left")
-        .select(KEY, _earnings_per_hour().alias("avg_earnings_per_hour_online"))
-    )
+    joined = online_totals(sessions).join(trip_totals(trips), KEY, "left")
+    return joined.select(KEY, feature("avg_earnings_per_hour_online"))
 
 
 def trip_utilization(sessions: DataFrame, trips: DataFrame) -> DataFrame:
-    return (
-        online_totals(sessions)
-        .join(trip_totals(trips), KEY, "left")
-        .select(KEY, _utilization().alias("trip_utilization_rate"))
-    )
+    joined = online_totals(sessions).join(trip_totals(trips), KEY, "left")
+    return joined.select(KEY, feature("trip_utilization_rate"))
 
 
 def surge_reliance(trips: DataFrame) -> DataFrame:
-    return trip_totals(trips).select(KEY, _surge().alias("surge_reliance_score"))
+    return trip_totals(trips).select(KEY, feature("surge_reliance_score"))
 
 
 def premium_strategy(profiles: DataFrame, trips: DataFrame) -> DataFrame:
-    return (
-        profiles.join(trip_totals(trips), KEY, "left")
-        .select(
-            KEY,
-            contains_any(F.col("vehicle_dispatchability"), PREMIUM_TRIP_TYPES).alias(
-                "is_premium_capable"
-            ),
-            _premium_ratio().alias("premium_trip_ratio"),
-        )
-    )
+    joined = profiles.join(trip_totals(trips), KEY, "left")
+    return joined.select(KEY, premium_capable(), feature("premium_trip_ratio"))
 
 
 def peak_hours(trips: DataFrame, source_zone: str = "UTC") -> DataFrame:
-    return trip_totals(trips, source_zone).select(KEY, _peak_score().alias("peak_hour_driver_score"))
+    return trip_totals(trips, source_zone).select(KEY, feature("peak_hour_driver_score"))
 
 
 def session_regularity(sessions: DataFrame) -> DataFrame:
-    return session_totals(sessions).select(
-        KEY, _regularity().alias("session_regularity"), "session_count"
-    )
+    return session_totals(sessions).select(KEY, feature("session_regularity"), "session_count")
 
 
 def quest_completion(incentives: DataFrame) -> DataFrame:
     """Every driver with any incentive gets a row, with NULL when none was a Quest."""
-    is_quest = F.col("incentive_type") == "Quest"
     totals = incentives.groupBy(KEY).agg(
-        F.count_if(is_quest).alias("quests"),
-        F.count_if(is_quest & (F.col("status") == "completed")).alias("quests_done"),
+        F.expr("count_if(incentive_type = 'Quest')").alias("quests"),
+        F.expr("count_if(incentive_type = 'Quest' AND status = 'completed')").alias("quests_done"),
     )
-    return totals.select(KEY, _quest_rate().alias("quest_completion_rate"))
+    return totals.select(KEY, feature("quest_completion_rate"))
 
 
 def incentive_reliance(incentives: DataFrame, trips: DataFrame) -> DataFrame:
@@ -284,36 +238,23 @@ def incentive_reliance(incentives: DataFrame, trips: DataFrame) -> DataFrame:
     )
     return bonus.join(trip_totals(trips), KEY, "full").select(
         KEY,
-        _money("bonus_cents").alias("total_bonus_earned"),
-        _money("fare_cents").alias("total_fare_earned"),
-        _money("tip_cents").alias("total_tip_earned"),
-        _incentive_reliance().alias("incentive_reliance_pct"),
+        F.expr("coalesce(bonus_cents, 0) / 100D").alias("total_bonus_earned"),
+        F.expr("coalesce(fare_cents, 0) / 100D").alias("total_fare_earned"),
+        F.expr("coalesce(tip_cents, 0) / 100D").alias("total_tip_earned"),
+        feature("incentive_reliance_pct"),
     )
 
 
 def tier_ranks(profiles: DataFrame) -> DataFrame:
-    return profiles.select(KEY, tier_rank(F.col("current_tier")).alias("pro_tier_rank"))
-
-
-def _all_interaction_totals(interactions: DataFrame) -> DataFrame:
-    event = F.col("event_type")
-    return interactions.groupBy(KEY).agg(
-        F.count_if(event == "trip_accepted").alias("accepted"),
-        F.count_if(event == "trip_cancelled").alias("cancelled"),
-        F.count_if(event == "trip_ignored").alias("ignored"),
-    )
+    return profiles.select(KEY, tier_rank("current_tier").alias("pro_tier_rank"))
 
 
 def cancellation(interactions: DataFrame) -> DataFrame:
-    return _all_interaction_totals(interactions).select(
-        KEY, _cancellation().alias("cancellation_rate")
-    )
+    return interaction_totals(interactions).select(KEY, feature("cancellation_rate"))
 
 
 def acceptance(interactions: DataFrame) -> DataFrame:
-    return _all_interaction_totals(interactions).select(
-        KEY, _acceptance().alias("acceptance_rate")
-    )
+    return interaction_totals(interactions).select(KEY, feature("acceptance_rate"))
 
 
 # --- the feature table ----------------------------------------------------------
@@ -321,31 +262,18 @@ def acceptance(interactions: DataFrame) -> DataFrame:
 
 def driver_features(logs: RawLogs, source_zone: str = "UTC") -> DataFrame:
     """One row per profile, 18 columns in contract order."""
+    # Other events enter no rate; here, unlike in the single features, a driver without
+    # a counted event needs no row, so the filter can reach the scan.
+    counted = logs.interactions.filter(
+        "event_type IN ('trip_accepted', 'trip_cancelled', 'trip_ignored')"
+    )
     joined = (
         logs.profiles.join(trip_totals(logs.trips, source_zone), KEY, "left")
         .join(session_totals(logs.sessions), KEY, "left")
         .join(incentive_totals(logs.incentives), KEY, "left")
-        .join(interaction_totals(logs.interactions), KEY, "left")
+        .join(interaction_totals(counted), KEY, "left")
     )
-    return joined.select(
-        KEY,
-        "signup_date",
-        "avg_rating",
-        "current_tier",
-        "Churned",
-        _earnings_per_hour().alias("avg_earnings_per_hour_online"),
-        _utilization().alias("trip_utilization_rate"),
-        _surge().alias("surge_reliance_score"),
-        contains_any(F.col("vehicle_dispatchability"), PREMIUM_TRIP_TYPES).alias(
-            "is_premium_capable"
-        ),
-        _premium_ratio().alias("premium_trip_ratio"),
-        _peak_score().alias("peak_hour_driver_score"),
-        _regularity().alias("session_regularity"),
-        _quest_rate().alias("quest_completion_rate"),
-        _incentive_reliance().alias("incentive_reliance_pct"),
-        tier_rank(F.col("current_tier")).alias("pro_tier_rank"),
-        _cancellation().alias("cancellation_rate"),
-        _acceptance().alias("acceptance_rate"),
-        "session_count",
-    ).select(*FEATURE_COLUMNS)
+    computed = {name: feature(name) for name in FORMULAS}
+    computed["is_premium_capable"] = premium_capable()
+    computed["pro_tier_rank"] = tier_rank("current_tier").alias("pro_tier_rank")
+    return joined.select(*[computed.get(name, name) for name in FEATURE_COLUMNS])
