@@ -167,7 +167,8 @@ CHAIN = {
         FROM scored""",
     "tiers": """
         SELECT *, tier_span - done AS trips_remaining,
-               CAST(least(trunc(done::DOUBLE / tier_span * 100), 100) AS INT) AS tier_percent
+               CASE WHEN tier_span IS NOT NULL THEN
+                 CAST(least(trunc(done::DOUBLE / tier_span * 100), 100) AS INT) END AS tier_percent
         FROM (SELECT *,
                      ['Blue', 'Gold', 'Platinum', 'Diamond'][pro_tier_rank] AS tier,
                      ['Gold', 'Platinum', 'Diamond'][pro_tier_rank] AS next_tier,

@@ -29,8 +29,8 @@ def round_half_even(value: Column, places: int) -> Column:
 
 
 def truncated_percent(share: Column, ceiling: int = 100) -> Column:
-    """Whole percent, cut towards zero and capped."""
-    return F.least((share * 100).cast("int"), F.lit(ceiling))
+    """Whole percent, cut towards zero and capped; NULL stays NULL."""
+    return F.when(share.isNotNull(), F.least((share * 100).cast("int"), F.lit(ceiling)))
 
 
 def scale_min_max(value: Column, low: Column, high: Column) -> Column:

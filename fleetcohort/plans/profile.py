@@ -57,21 +57,29 @@ def _ranges(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
-    """Equal-width bins per column, empty bins included; the last bin is closed."""
-    ranges = _ranges(df, columns).filter("n > 0")
-    width = (F.col("high") - F.col("low")) / bins
+    """Equal-width bins per column, empty bins included; the last bin is closed.
+
+    A constant column gets a range of one unit around its value.
+    """
+    is_flat = F.col("low") == F.col("high")
+    margin = F.when(is_flat, 0.5).otherwise(0.0)
     # One row per profiled column, so the broadcast is as small as the column list.
+    ranges = (
+        _ranges(df, columns)
+        .filter("n > 0")
+        .select("column", (F.col("low") - margin).alias("low"), (F.col("high") + margin).alias("high"))
+    )
     placed = (
         melt(df, [], columns, "column", "value")
         .filter(F.col("value").isNotNull())
         .join(F.broadcast(ranges), "column")
     )
-    share = (F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    bin_id = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    bin_id = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
     counts = placed.groupBy("column", bin_id.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = ranges.select(
-        "column", "low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
+    width = (F.col("high") - F.col("low")) / bins
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    frame = ranges.select("column", "low", width.alias("width"), every_bin.alias("bin"))
     return frame.join(counts, ["column", "bin"], "left").select(
         "column",
         "bin",
