@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.oracle_base import rounded, sql
+from catalog.quality_queries import BOX_COLUMNS, BY_LABEL, box_sql
 from catalog.scored import SCORED_SQL, scored_drivers
 from catalog.tables import stored_features
 from fleetcohort.functions.mapping import risk_band
 from fleetcohort.functions.numeric import round_half_even
 from fleetcohort.functions.text import title_label
-from fleetcohort.plans import campaign, cohort, reports
-from fleetcohort.settings import CALIBRATED_FEATURES, COHORT_COLUMNS
+from fleetcohort.plans import campaign, cohort, profile, reports
+from fleetcohort.settings import CALIBRATED_FEATURES, CLUSTERING_FEATURES, COHORT_COLUMNS, PERSONAS
 from fleetcohort.sources import fixture
 from fleetcohort.sources.sinks import newest_first
 
 WEEK = "2024-06-03"
+CLUSTER_METRICS = {c: c for c in CLUSTERING_FEATURES}
 SEED = 42
 
 
@@ -100,10 +102,16 @@ QUERIES = {
     "cohort_synthetic": _cohort,
     "label_titles": _labels,
     "fingerprint_long": lambda s, d: _rounded(reports.fingerprint(scored_drivers(s, d)), 6, "score"),
+    "fingerprint_clusters": lambda s, d: _rounded(
+        reports.fingerprint(scored_drivers(s, d), "cluster_label", CLUSTER_METRICS), 6, "score"
+    ),
     "maturity_gap": lambda s, d: _rounded(reports.maturity_gap(scored_drivers(s, d)), 6, "score"),
     "earnings_composition": lambda s, d: _rounded(
         reports.earnings_composition(scored_drivers(s, d), fixture.raw_logs(s, d)), 6, "pct"
     ),
+    "box_stats_by_persona": lambda s, d: _rounded(
+        profile.box_stats(scored_drivers(s, d), BY_LABEL, "persona", PERSONAS), 6, *BOX_COLUMNS
+    ),
     "churn_by_persona": lambda s, d: reports.churn_by_persona(scored_drivers(s, d)),
     "persona_summary": lambda s, d: reports.persona_summary(scored_drivers(s, d)),
     "exec_kpis": lambda s, d: reports.executive_kpis(scored_drivers(s, d)),
@@ -271,13 +279,19 @@ _METRICS = {
     "cancellation_rate": "Cancellation Rate",
     "avg_earnings_per_hour_online": "Avg Earnings/Hr",
 }
-_FINGERPRINT = " UNION ALL ".join(
-    f"""SELECT persona, '{label}' AS metric,
-               {rounded(f"(avg({c}) - (SELECT min({c}) FROM scored)) / "
-                        f"((SELECT max({c}) FROM scored) - (SELECT min({c}) FROM scored))", 6)} AS score
-        FROM scored GROUP BY persona"""
-    for c, label in _METRICS.items()
-)
+
+
+def _fingerprint_sql(by: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {by}, '{label}' AS metric,
+                   {rounded(f"(avg({c}) - (SELECT min({c}) FROM scored)) / "
+                            f"((SELECT max({c}) FROM scored) - (SELECT min({c}) FROM scored))", 6)}
+                     AS score
+            FROM scored GROUP BY {by}"""
+        for c, label in metrics.items()
+    )
+
+
 _GAP_METRICS = {
     "trip_utilization_rate": "Asset Utilization",
     "surge_reliance_score": "Market Intelligence",
@@ -342,7 +356,12 @@ ORACLE = {
                   (count(*) FILTER (is_high_risk))::BIGINT AS high_risk_count,
                   (count(*) FILTER (ab_group = 'nudge'))::BIGINT AS nudge_group_size,
                   (count(*) FILTER (ab_group = 'control'))::BIGINT AS control_group_size,
-                  (count(*) FILTER (nudge_sent))::BIGINT AS nudges_generated FROM marked"""
+                  (count(*) FILTER (nudge_sent))::BIGINT AS nudges_generated,
+                  (count(*) FILTER (persona = 'Casual / At-Risk'))::BIGINT AS casual_count,
+                  (count(*) FILTER (persona = 'Quest Grinder'))::BIGINT AS quest_count,
+                  (count(*) FILTER (persona = 'Premium Specialist'))::BIGINT AS premium_count,
+                  (count(*) FILTER (persona = 'Pro-Optimizer'))::BIGINT AS pro_count
+           FROM marked"""
     ),
     "dispatch_log_newest": chain(
         """SELECT signup_date AS "timestamp", driver_id || '@drivers.example' AS recipient,
@@ -381,7 +400,8 @@ ORACLE = {
         "trips",
         "interactions",
     ),
-    "fingerprint_long": chain(_FINGERPRINT),
+    "fingerprint_long": chain(_fingerprint_sql("persona", _METRICS)),
+    "fingerprint_clusters": chain(_fingerprint_sql("cluster_label", CLUSTER_METRICS)),
     "maturity_gap": chain(_GAP),
     "earnings_composition": chain(
         f"""SELECT persona, component, {rounded("avg(pct)", 6)} AS pct
@@ -397,6 +417,7 @@ ORACLE = {
         "rides",
         "bonuses",
     ),
+    "box_stats_by_persona": chain(box_sql(BY_LABEL, "persona", 6, "scored")),
     "churn_by_persona": chain(
         'SELECT persona, avg("Churned") AS churn_rate FROM scored GROUP BY persona'
     ),

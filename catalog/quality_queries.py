@@ -170,7 +170,7 @@ def _per_column(template: str, columns: list[str]) -> str:
     return " UNION ALL ".join(template.format(c=c) for c in columns)
 
 
-def _box_sql(columns: list[str], by: str | None, places: int) -> str:
+def box_sql(columns: list[str], by: str | None, places: int, table: str = "features") -> str:
     key = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     using = f"USING ({by})" if by else "ON true"
@@ -180,9 +180,9 @@ def _box_sql(columns: list[str], by: str | None, places: int) -> str:
         "max({c}) FILTER ({c} BETWEEN lo AND hi) AS whisker_high, "
         "(count(*) FILTER ({c} NOT BETWEEN lo AND hi))::BIGINT AS outliers, "
         "count({c})::BIGINT AS n "
-        "FROM features JOIN (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+        f"FROM {table} JOIN (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
         "(SELECT " + key + "quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, "
-        f"quantile_cont({{c}}, 0.75) AS q3 FROM features {group})) {using} "
+        f"quantile_cont({{c}}, 0.75) AS q3 FROM {table} {group})) {using} "
         f"GROUP BY ALL"
     )
     outer = ", ".join(f"{rounded(c, places)} AS {c}" for c in BOX_COLUMNS)
@@ -232,8 +232,8 @@ ORACLE = {
               WHERE v IS NOT NULL GROUP BY 1, 2) USING ("column", bin)""",
         "features",
     ),
-    "box_stats": sql(_box_sql(BOXED, None, 6), "features"),
-    "box_stats_by_label": sql(_box_sql(BY_LABEL, '"Churned"', 3), "features"),
+    "box_stats": sql(box_sql(BOXED, None, 6), "features"),
+    "box_stats_by_label": sql(box_sql(BY_LABEL, '"Churned"', 3), "features"),
     "corr_matrix": sql(
         " UNION ALL ".join(
             f"SELECT '{a}' AS a, '{b}' AS b, {rounded(f'corr({a}, {b})', 6)} AS r FROM features"

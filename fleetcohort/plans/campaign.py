@@ -20,7 +20,9 @@ from fleetcohort.settings import (
     MISSING_CANCEL,
     MISSING_EARNINGS,
     NUDGE_SHARE,
+    PREMIUM,
     PRO,
+    QUEST,
     SEED,
     TIER_NAMES,
     TIER_THRESHOLDS,
@@ -31,6 +33,14 @@ UTILIZATION = "trip_utilization_rate"
 CANCEL = "cancellation_rate"
 
 
+PERSONA_COUNTS = {
+    "casual_count": CASUAL,
+    "quest_count": QUEST,
+    "premium_count": PREMIUM,
+    "pro_count": PRO,
+}
+
+
 # --- arms -----------------------------------------------------------------------
 
 
@@ -284,4 +294,8 @@ def run_summary(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("ab_group") == "nudge").alias("nudge_group_size"),
         F.count_if(F.col("ab_group") == "control").alias("control_group_size"),
         F.count_if("nudge_sent").alias("nudges_generated"),
+        *[
+            F.count_if(F.col("persona") == persona).alias(name)
+            for name, persona in PERSONA_COUNTS.items()
+        ],
     )

@@ -20,6 +20,17 @@ from fleetcohort.settings import (
 
 ROW = "row_id"
 
+# Drawn from a normal fitted on the history and clipped to [0, 1].
+_NORMAL = [
+    "trip_utilization_rate",
+    "surge_reliance_score",
+    "quest_completion_rate",
+    "cancellation_rate",
+    "acceptance_rate",
+    "peak_hour_driver_score",
+    "incentive_reliance_pct",
+]
+
 
 def calibration(history: DataFrame) -> DataFrame:
     """One row: mean, sample deviation, minimum and maximum of each present feature."""
@@ -51,59 +62,58 @@ def synthesize(row_ids: DataFrame, history: DataFrame, week: str, seed: int) ->
     """One synthetic driver per ``row_id``, 17 columns, stamped with ``week`` (ISO date)."""
     stats = calibration(history)
     packed = stats.select(F.struct(*[F.col(c) for c in stats.columns])).scalar()
-    base = row_ids.withColumn("_stats", packed)
-
-    def normal(column: str) -> Column:
-        s = F.col("_stats")[column]
-        return clip(s["mean"] + s["std"] * standard_normal(seed, column, F.col(ROW)), 0.0, 1.0)
-
-    log_mean = F.ln(F.col("_stats")["avg_earnings_per_hour_online"]["mean"])
-    earnings = F.exp(log_mean + standard_normal(seed, "earnings", F.col(ROW)) * 0.5)
-    # Two kinds of drivers: some live on premium trips, most hardly take any.
-    specialist = clip(standard_normal(seed, "specialist_ratio", F.col(ROW)) * 0.12 + 0.75, 0.4, 1.0)
-    ordinary = clip(exponential(seed, "ordinary_ratio", F.col(ROW), 0.04), 0.0, 0.35)
-    premium = F.when(draw(seed, "is_specialist", F.col(ROW)) < 0.15, specialist).otherwise(ordinary)
-    rating = clip(standard_normal(seed, "rating", F.col(ROW)) * 0.15 + 4.75, 4.0, 5.0)
-    hexes = digest(seed, "driver", F.col(ROW))
-    dashed = F.concat_ws(
-        "-",
-        F.substring(hexes, 1, 8),
-        F.substring(hexes, 9, 4),
-        F.substring(hexes, 13, 4),
-        F.substring(hexes, 17, 4),
-        F.substring(hexes, 21, 12),
+    key = F.col(ROW)
+
+    def z(stream: str) -> Column:
+        return standard_normal(seed, stream, key).alias(f"z_{stream}")
+
+    # First the draws, each a column of its own, then the values built on them.
+    draws = row_ids.select(
+        packed.alias("stats"),
+        digest(seed, "driver", key).alias("hex"),
+        *[z(c) for c in _NORMAL],
+        z("earnings"),
+        z("specialist_ratio"),
+        z("rating"),
+        exponential(seed, "ordinary_ratio", key, 0.04).alias("e_ordinary"),
+        exponential(seed, "regularity", key, 40.0).alias("e_regularity"),
+        draw(seed, "is_specialist", key).alias("u_specialist"),
+        draw(seed, "tier", key).alias("u_tier"),
+        draw(seed, "sessions", key).alias("u_sessions"),
     )
-    drawn = base.select(
-        dashed.alias("driver_id"),
+    values = draws.select(
+        F.expr(
+            "concat_ws('-', substr(hex, 1, 8), substr(hex, 9, 4), substr(hex, 13, 4), "
+            "substr(hex, 17, 4), substr(hex, 21, 12))"
+        ).alias("driver_id"),
+        F.expr("z_rating * 0.15D + 4.75D").alias("rating"),
+        # Two kinds of drivers: some live on premium trips, most hardly take any.
+        F.when(F.col("u_specialist") < 0.15, clip(F.expr("z_specialist_ratio * 0.12D + 0.75D"), 0.4, 1.0))
+        .otherwise(clip(F.col("e_ordinary"), 0.0, 0.35))
+        .alias("premium"),
+        F.expr("exp(ln(stats.avg_earnings_per_hour_online.mean) + z_earnings * 0.5D)").alias("earnings"),
+        *[F.expr(f"stats.{c}.mean + stats.{c}.std * z_{c}").alias(c) for c in _NORMAL],
+        "e_regularity",
+        _weighted_choice(F.col("u_tier"), COHORT_TIER_WEIGHTS).alias("pro_tier_rank"),
+        F.expr("CAST(floor(u_sessions * 199) + 1 AS INT)").alias("session_count"),
+    )
+
+    def bounded(column: str, low: float, high: float, places: int, name: str) -> Column:
+        return round_half_even(clip(F.col(column), low, high), places).alias(name)
+
+    return values.select(
+        "driver_id",
         F.lit(week).alias("signup_date"),
-        round_half_even(rating, 2).alias("avg_rating"),
-        premium.alias("premium_trip_ratio"),
-        _weighted_choice(draw(seed, "tier", F.col(ROW)), COHORT_TIER_WEIGHTS).alias("pro_tier_rank"),
-        round_half_even(clip(earnings, 3.0, 80.0), 4).alias("avg_earnings_per_hour_online"),
-        *[
-            round_half_even(normal(c), 4).alias(c)
-            for c in (
-                "trip_utilization_rate",
-                "surge_reliance_score",
-                "quest_completion_rate",
-                "cancellation_rate",
-                "acceptance_rate",
-                "peak_hour_driver_score",
-                "incentive_reliance_pct",
-            )
-        ],
-        round_half_even(clip(exponential(seed, "regularity", F.col(ROW), 40.0), 0.0, 300.0), 2).alias(
-            "session_regularity"
-        ),
-        (F.floor(draw(seed, "sessions", F.col(ROW)) * 199) + 1).cast("int").alias("session_count"),
+        bounded("rating", 4.0, 5.0, 2, "avg_rating"),
+        F.expr("IF(premium > 0.3D, 1, 0)").alias("is_premium_capable"),
+        "pro_tier_rank",
+        bounded("earnings", 3.0, 80.0, 4, "avg_earnings_per_hour_online"),
+        round_half_even(F.col("premium"), 4).alias("premium_trip_ratio"),
+        *[bounded(c, 0.0, 1.0, 4, c) for c in _NORMAL],
+        bounded("e_regularity", 0.0, 300.0, 2, "session_regularity"),
+        "session_count",
         F.lit(week).alias("week"),
-    )
-    capable = F.when(F.col("premium_trip_ratio") > 0.3, 1).otherwise(0)
-    return (
-        drawn.withColumn("is_premium_capable", capable)
-        .withColumn("premium_trip_ratio", round_half_even(F.col("premium_trip_ratio"), 4))
-        .select(*COHORT_COLUMNS)
-    )
+    ).select(*COHORT_COLUMNS)
 
 
 def weekly_cohort(

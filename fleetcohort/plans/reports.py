@@ -171,3 +171,8 @@ def top_risk(scored: DataFrame, n: int = TOP_RISK_ROWS) -> DataFrame:
 
 def by_risk(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.desc("churn_probability"), "driver_id")
+
+
+def driver_record(scored: DataFrame, driver_id) -> DataFrame:
+    """One driver's row; the equality reaches the scan as a pushed filter."""
+    return scored.filter(F.col("driver_id") == driver_id)

@@ -18,7 +18,8 @@ from fleetcohort.sources.staging import stage
 
 def stored_week(spark: SparkSession, path: str, week: str) -> DataFrame:
     """One week of a stored table; the filter prunes all other partitions."""
-    return open_required(spark, path).filter(F.col("week") == week)
+    rows = open_required(spark, path).filter(F.col("week") == week)
+    return rows.withColumn("week", F.col("week").cast("string"))
 
 
 def run_week(
