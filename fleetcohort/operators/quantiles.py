@@ -9,7 +9,7 @@ quality of the sketch: a poor cut makes an interval larger, never wrong.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -23,50 +23,43 @@ def _cuts(probabilities: list[float]) -> list[float]:
     return sorted(edges)
 
 
-def _position(count: Column, probability: float) -> Column:
-    """Zero-based fractional rank of a quantile with linear interpolation."""
-    return (count - 1) * F.lit(float(probability))
-
-
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """One row per key with one column per quantile; NULL values are ignored.
 
     One row per group is broadcast, so ``keys`` must hold values the caller enumerates
-    (profiled columns, listed labels). ``df`` is read three times: pass a stored table.
+    (profiled columns, listed labels); no keys means the whole table. ``df`` is read
+    three times: pass a stored table.
     """
     edges = _cuts(list(quantiles.values()))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     guide = rows.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_cuts"))
 
-    # 1. Interval of every row: how many cuts lie below it.
-    interval = F.lit(0)
-    for i in range(len(edges)):
-        interval = interval + (F.col("_v") > F.col("_cuts")[i]).cast("int")
-    placed = rows.join(F.broadcast(guide), keys).select(*keys, "_v", interval.alias("_i"))
+    # 1. Interval of every row: cuts below it plus cuts at or below it. A value equal to a
+    # cut is an interval of its own, so a very frequent value drags no neighbours along.
+    if keys:
+        guided = rows.join(F.broadcast(guide), keys)
+    else:
+        guided = rows.withColumn("_cuts", guide.scalar())
+    passed = " + ".join(
+        f"CAST(_v > _cuts[{i}] AS INT) + CAST(_v >= _cuts[{i}] AS INT)" for i in range(len(edges))
+    )
+    placed = guided.select(*keys, "_v", F.expr(passed).alias("_i"))
 
-    # 2. Exact rank range of every interval; at most 2 * len(quantiles) + 1 per key.
+    # 2. Exact rank range of every interval; at most 4 * len(quantiles) + 1 per key.
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = F.array()
-    for p in quantiles.values():
-        at = _position(F.col("_n"), p)
-        ranks = F.array_union(ranks, F.array(F.floor(at), F.ceil(at)))
+    positions = [f"(_n - 1) * {float(p)!r}D" for p in quantiles.values()]
+    wanted = ", ".join(f"{end}({at})" for at in positions for end in ("floor", "ceil"))
     intervals = (
         placed.groupBy(*keys, "_i")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_n", F.sum("_c").over(by_key))
         .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
-        .withColumn("_ranks", ranks)
-        .withColumn(
-            "_ranks",
-            F.filter(
-                "_ranks",
-                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")),
-            ),
-        )
-        .filter(F.size("_ranks") > 0)
+        .withColumn("_ranks", F.expr(f"array_distinct(array({wanted}))"))
+        .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _before AND r < _before + _c)"))
+        .filter("size(_ranks) > 0")
     )
 
     # 3. Sort only the intervals that hold a wanted rank, one row per distinct value.
@@ -77,23 +70,14 @@ def exact_quantiles(
         .groupBy(*keys, "_i", "_before", "_n", "_ranks", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_last", F.col("_before") + F.sum("_c").over(running))
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter(
-                    "_ranks",
-                    lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_c")),
-                )
-            ),
-        )
+        .withColumn("_rank", F.expr("explode(filter(_ranks, r -> r < _last AND r >= _last - _c))"))
     )
 
     # 4. Interpolate between the two neighbouring ranks.
     columns = []
-    for name, p in quantiles.items():
-        at = _position(F.col("_n"), p)
-        low = F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v")))
-        fraction = F.max(at - F.floor(at))
-        columns.append((low + (high - low) * fraction).alias(name))
+    for name, at in zip(quantiles, positions):
+        low = f"max(_v) FILTER (WHERE _rank = floor({at}))"
+        high = f"max(_v) FILTER (WHERE _rank = ceil({at}))"
+        step = f"({high} - {low}) * max({at} - floor({at}))"
+        columns.append(F.expr(f"{low} + {step}").alias(name))
     return hits.groupBy(*keys).agg(*columns)

@@ -88,10 +88,7 @@ def lift(outcomes: DataFrame, retained: str, needed: float = 0.05) -> DataFrame:
 
 def top_earners(history: DataFrame) -> DataFrame:
     """Pro-Optimizer drivers, or the top quarter by earnings when there are none."""
-    quarter = exact_quantiles(
-        history.select(F.lit("all").alias("scope"), EARNINGS), ["scope"], EARNINGS, {"q3": 0.75}
-    )
-    top = F.col(EARNINGS) >= quarter.select(F.max("q3")).scalar()
+    top = F.col(EARNINGS) >= exact_quantiles(history, [], EARNINGS, {"q3": 0.75}).scalar()
     if "persona" not in history.columns:
         return history.filter(top)
     pro = F.coalesce(F.col("persona") == PRO, F.lit(False))

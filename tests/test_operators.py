@@ -52,6 +52,14 @@ def test_quantiles_do_not_trust_the_sketch(spark, monkeypatch):
     _check_quantiles(spark, {"g": [rng.gauss(0, 5) for _ in range(5000)]})
 
 
+def test_quantiles_of_the_whole_table_use_no_join_per_row(spark):
+    df = spark.range(1, 1001).selectExpr("CAST(id AS DOUBLE) AS v")
+    got = exact_quantiles(df, [], "v", {"q1": 0.25, "m": 0.5})
+    assert got.first().asDict() == {"q1": 250.75, "m": 500.5}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_quantiles_skip_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0)], "g string, v double")
     assert exact_quantiles(df, ["g"], "v", {"m": 0.5}).first()["m"] == 2.0
