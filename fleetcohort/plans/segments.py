@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,7 @@ from fleetcohort.settings import (
 from fleetcohort.sources.raw import require_columns
 
 LABEL = "cluster_label"
+PARALLEL_FITS = 5
 _WORK = ["cluster_raw", "cluster_scaled"]
 
 
@@ -120,6 +122,17 @@ def _kmeans(k: int, seed: int) -> KMeans:
     return KMeans(k=k, seed=seed, featuresCol=_WORK[1], predictionCol=LABEL, initMode="k-means||")
 
 
+def _fit_all(vectors: DataFrame, runs: list[tuple[int, int]]) -> list[KMeansModel]:
+    """One model per (k, seed); several fits share the cluster and the kept vectors."""
+    vectors.count()  # keep the vectors once, before the fits read them side by side
+
+    def fit(run: tuple[int, int]) -> KMeansModel:
+        return _kmeans(*run).fit(vectors)
+
+    with ThreadPool(min(PARALLEL_FITS, len(runs))) as pool:
+        return pool.map(inheritable_thread_target(vectors.sparkSession)(fit), runs)
+
+
 def centroids_in_units(pipeline: PipelineModel) -> DataFrame:
     """Cluster centres of a fitted pipeline back in original units: k rows."""
     scaler, kmeans = pipeline.stages[-2], pipeline.stages[-1]
@@ -144,7 +157,7 @@ def fit_segments(
     """Best of several k-means starts. Pass a stored feature table: it is read repeatedly."""
     preparation, vectors = _scaled_vectors(features)
     try:
-        fits = [_kmeans(k, seed + i).fit(vectors) for i in range(starts)]
+        fits = _fit_all(vectors, [(k, seed + i) for i in range(starts)])
         best = min(fits, key=lambda model: model.summary.trainingCost)
     finally:
         vectors.unpersist()
@@ -155,7 +168,8 @@ def elbow(features: DataFrame, ks: range = range(2, 9), seed: int = SEED) -> Dat
     """Training cost per number of clusters."""
     _, vectors = _scaled_vectors(features)
     try:
-        costs = [(k, float(_kmeans(k, seed).fit(vectors).summary.trainingCost)) for k in ks]
+        fits = _fit_all(vectors, [(k, seed) for k in ks])
+        costs = [(k, float(model.summary.trainingCost)) for k, model in zip(ks, fits)]
     finally:
         vectors.unpersist()
     return features.sparkSession.createDataFrame(costs, "k int, training_cost double")

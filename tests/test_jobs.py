@@ -363,3 +363,32 @@ def test_weekly_job(spark, history, scored, segment_model, churn_model, tmp_path
     assert stored.count() == 400
     assert stored.filter("nudge_sent AND ab_group <> 'nudge'").count() == 0
     assert set(CHURN_NUMERIC_FEATURES) <= set(stored.columns)
+
+
+def test_command_line_end_to_end(spark, tiny, tmp_path, capsys, monkeypatch):
+    """Raw CSV files to a campaign week, each step reading what the one before wrote."""
+    from fleetcohort import __main__ as cli
+    from fleetcohort.plans import training
+    from tests.test_sources import _write_raw
+
+    raw, table, out = (str(tmp_path / n) for n in ("raw", "features", "out"))
+    _write_raw(spark, tiny, raw, "csv")
+    cli.run(spark, ["quality", raw])
+    assert "domain of trip_type" in capsys.readouterr().out
+    cli.run(spark, ["features", raw, table])
+    quick = {"maxIter": [3], "maxDepth": [2, 3]}
+    monkeypatch.setattr(
+        cli,
+        "run_training",
+        lambda s, f, o, r, draws, folds: training.run_training(
+            s, f, o, r, starts=2, draws=draws, folds=folds, space=quick
+        ),
+    )
+    cli.run(spark, ["train", table, out, "run-1", "--draws", "1", "--folds", "2"])
+    assert "test_roc_auc" in capsys.readouterr().out
+    cli.run(spark, ["week", out, WEEK, "--drivers", "60", "--seed", "3"])
+    shown = capsys.readouterr().out
+    assert "persona_breakdown" in shown and "top_risk" in shown
+    cli.run(spark, ["log", out])
+    assert spark.read.parquet(f"{out}/scored_cohort").count() == 60
+    assert spark.read.parquet(f"{out}/runs").filter("key = 'test_roc_auc'").count() == 1
