@@ -41,7 +41,7 @@ def _marked(s, d):
 
 def _dispatch_log(s, d):
     """The message log ordered newest first, each row dated by the driver's signup day."""
-    days = scored_drivers(s, d).select("driver_id", F.col("signup_date").alias("timestamp"))
+    days = scored_drivers(s, d).select("driver_id", F.col("signup_date").cast("string").alias("timestamp"))
     log = _messages(s, d).join(days, "driver_id").select(
         "timestamp",
         F.concat(F.col("driver_id").cast("string"), F.lit("@drivers.example")).alias("recipient"),
@@ -93,7 +93,9 @@ QUERIES = {
     "tier_progress": lambda s, d: campaign.with_tier_progress(scored_drivers(s, d)).select(
         "driver_id", "tier", "next_tier", "trips_remaining", "tier_percent"
     ),
-    "nudge_messages": _messages,
+    "nudge_messages": lambda s, d: _messages(s, d).withColumn(
+        "generated_at", F.col("generated_at").cast("string")
+    ),
     "outbox_rows": lambda s, d: campaign.outbox(_messages(s, d)),
     "nudge_sent_flag": lambda s, d: _marked(s, d).select("driver_id", "nudge_sent"),
     "run_summary": lambda s, d: campaign.run_summary(_marked(s, d)),
@@ -215,7 +217,7 @@ CHAIN = {
                      || earn_txt || '.',
                    'Peak hours, open Quests and fewer cancellations (now ' || cancel_txt
                      || '%) get you there.') END) AS body,
-               DATE '{WEEK}' AS generated_at
+               '{WEEK}' AS generated_at
         FROM (SELECT *,
                 CASE WHEN coalesce(avg_earnings_per_hour_online, 99) < 15 THEN 'LOW_EARNINGS'
                      WHEN {_C} > 0.15 THEN 'HIGH_CANCEL' ELSE 'GOAL_GRADIENT' END AS variant,
@@ -364,7 +366,7 @@ ORACLE = {
            FROM marked"""
     ),
     "dispatch_log_newest": chain(
-        """SELECT signup_date AS "timestamp", driver_id || '@drivers.example' AS recipient,
+        """SELECT signup_date::VARCHAR AS "timestamp", driver_id || '@drivers.example' AS recipient,
                   subject, 'nudge:' || variant AS "type"
            FROM messages JOIN scored USING (driver_id) ORDER BY 1 DESC, 2"""
     ),

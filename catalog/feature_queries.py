@@ -43,9 +43,10 @@ QUERIES = {
     "feat_tier_rank": lambda s, d: features.tier_ranks(fixture.profiles(s, d)),
     "feat_cancellation": lambda s, d: features.cancellation(fixture.interactions(s, d)),
     "feat_acceptance": lambda s, d: features.acceptance(fixture.interactions(s, d)),
+    # The date as text: engines hand dates to Python in different types.
     "driver_features": lambda s, d: _rounded(
         feature_table(s, d), 4, "surge_reliance_score", "session_regularity"
-    ),
+    ).withColumn("signup_date", F.col("signup_date").cast("string")),
 }
 
 ORACLE = {
@@ -118,7 +119,8 @@ ORACLE = {
     ),
     "driver_features": sql(
         f"""SELECT * REPLACE ({rounded("surge_reliance_score", 4)} AS surge_reliance_score,
-                              {rounded("session_regularity", 4)} AS session_regularity)
+                              {rounded("session_regularity", 4)} AS session_regularity,
+                              CAST(signup_date AS VARCHAR) AS signup_date)
             FROM features""",
         "features",
     ),

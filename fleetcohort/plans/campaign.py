@@ -87,13 +87,16 @@ def lift(outcomes: DataFrame, retained: str, needed: float = 0.05) -> DataFrame:
 
 
 def top_earners(history: DataFrame) -> DataFrame:
-    """Pro-Optimizer drivers, or the top quarter by earnings when there are none."""
-    top = F.col(EARNINGS) >= exact_quantiles(history, [], EARNINGS, {"q3": 0.75}).scalar()
-    if "persona" not in history.columns:
-        return history.filter(top)
-    pro = F.coalesce(F.col("persona") == PRO, F.lit(False))
-    found = history.select(F.max(F.coalesce(F.col("persona") == PRO, F.lit(False)))).scalar()
-    return history.filter(F.when(found, pro).otherwise(top))
+    """Pro-Optimizer drivers, or the top quarter by earnings when there are none.
+
+    Looks for one such driver right away, so the quartile is only planned when needed.
+    """
+    if "persona" in history.columns:
+        pro = history.filter(F.col("persona") == PRO)
+        if not pro.isEmpty():
+            return pro
+    quarter = exact_quantiles(history, [], EARNINGS, {"q3": 0.75})
+    return history.filter(F.col(EARNINGS) >= quarter.scalar())
 
 
 def benchmarks(history: DataFrame) -> DataFrame:
