@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import idstore, sentencepiece, wordpiece
-from fleetcohort.llm.common import tokenizer_file
+from fleetcohort.llm import fingerprint, idstore, quality, sentencepiece, wordpiece
+from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = fingerprint.compare_with_next(_table(spark, folder, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprint.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        fingerprint.distinct_shingles(F.col("sketch")).alias("shingles"),
+    )
+
+
 def digest_ids(encoded: DataFrame) -> DataFrame:
     """doc_id and the digest columns of encoded and decoded texts."""
     return encoded.select(
@@ -45,10 +59,23 @@ def op6_id_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality.fit(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (crc_mod("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op6_id_store": op6_id_store,
+    "op8_quality": op8_quality,
 }
 
 ORACLE: dict[str, str] = {}
