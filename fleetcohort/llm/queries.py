@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import fingerprint, idstore, quality, sentencepiece, wordpiece
+from fleetcohort.llm import decontaminate, fingerprint, idstore, quality, sentencepiece, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -59,6 +59,17 @@ def op6_id_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, _table(spark, folder, "benchmark"))
+    return leaks.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.array_max("leaks.share").alias("best_share"),
+    )
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = quality.fit(docs, _table(spark, folder, "labels"))
@@ -75,6 +86,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op6_id_store": op6_id_store,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
 }
 
