@@ -25,6 +25,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +45,7 @@ MAGIC, VERSION, TAIL_WORDS = 0x7364_6977_6B65_7973, 1, 8
 SHARD_BYTES = 16 << 20
 #: Keys per bucket of the hash, on average.
 BUCKET_KEYS = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -172,6 +174,7 @@ class Shard:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -182,6 +185,55 @@ def _cache(path: str) -> dict[str, bytes]:
     return {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it shows,
+    else one of the letters from U+0100 on, in turn."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256))
+    return [chr(b) if b in shown else chr(256 + next(hidden)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words that one call hands to the tokenizer.
+_LOT = 1000
+
+
+def _word_ids(tokenizer, words: list[str], kind: str, cache: dict[str, bytes]) -> None:
+    """Put the ids of new words into the cache.
+
+    A run of lower-case Latin letters is one token to the tokenizer before its byte pairs, and
+    its normaliser leaves it as it is, so it goes straight to the tokenizer's model. Full
+    stops and commas after it are tokens of their own. Any other word takes the whole way.
+    """
+    rest = []
+    model = tokenizer.model
+    for word in words:
+        plain = word.encode("utf-8").lower().decode("utf-8")
+        base = plain.rstrip(".,")
+        # A special token's text is told by its case: words with its first sign stay as is.
+        if not _LATIN.fullmatch(base) or not base.isalpha():
+            rest.append(word)
+            continue
+        ids = cache.get(base)
+        if ids is None:
+            letters = "".join([_LETTERS[b] for b in base.encode("utf-8")])
+            ids = np.array([t.id for t in model.tokenize(letters)], dtype=kind).tobytes()
+            cache[base] = ids
+        tail = plain[len(base) :]
+        if tail:
+            if tail not in cache:
+                got = tokenizer.encode(tail, add_special_tokens=False).ids
+                cache[tail] = np.array(got, dtype=kind).tobytes()
+            ids = ids + cache[tail]
+        cache[word] = ids
+    for i in range(0, len(rest), _LOT):
+        part = rest[i : i + _LOT]
+        found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+        for word, got in zip(part, found, strict=True):
+            cache[word] = np.array(got.ids, dtype=kind).tobytes()
+
+
 def encode_texts(path: str, texts: list[str], width: int, end_id: int) -> list[bytes]:
     """Ids of each text with the end id, as bytes.
 
@@ -193,14 +245,14 @@ def encode_texts(path: str, texts: list[str], width: int, end_id: int) -> list[b
     kind = "<u2" if width == 2 else "<u4"
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    per_text = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = [w for w in {w for words in per_text for w in words} if w not in cache]
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[word] = np.array(got.ids, dtype=kind).tobytes()
-    end = np.array([end_id], dtype=kind).tobytes()
-    return [b"".join([cache[w] for w in words]) + end for words in per_text]
+    end, out = np.array([end_id], dtype=kind).tobytes(), []
+    for text in texts:
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        new = [w for w in set(words) if w not in cache]
+        if new:
+            _word_ids(tokenizer, new, kind, cache)
+        out.append(b"".join([cache[w] for w in words]) + end)
+    return out
 
 
 def id_width(path: str, end_id: int) -> int:

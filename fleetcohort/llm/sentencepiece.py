@@ -31,7 +31,7 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _NO_PAIR = np.int64(1 << 40)
 
 #: Words whose ids a Python worker remembers; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 class PieceModel:
