@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import decontaminate, fingerprint, idstore, quality, sentencepiece, wordpiece
+from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, quality, sentencepiece, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -50,6 +50,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(docs, tokenizer_file(PIECE_MODEL))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_components(_table(spark, folder, "documents"), width=3, num=9, den=10)
+
+
 def op6_id_store(spark: SparkSession, folder: str) -> DataFrame:
     store = idstore.new_folder(spark)
     idstore.write_ids(_table(spark, folder, "documents"), store, tokenizer_file(WORD_MODEL))
@@ -85,6 +89,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_id_store": op6_id_store,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
