@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, quality, sentencepiece, sitetree, wordpiece
+from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, lm, quality, sentencepiece, sitetree, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -85,6 +85,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"))
+
+
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     texts = sitetree.main_text(_table(spark, folder, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -98,6 +102,7 @@ QUERIES = {
     "op6_id_store": op6_id_store,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_language_model": op9_language_model,
     "op10_html_text": op10_html_text,
 }
 
