@@ -172,7 +172,8 @@ def compare_with_next(
     key has the empty text as its next one.
     """
     rows, seams = in_key_order(keyed_text(docs, key, text))
-    sketched = with_sketch(rows, "text", "sketch", size, width)
+    # Texts move before sketches are made: a sketch may be as large as its text.
+    sketched = with_sketch(rows.repartition("bucket"), "text", "sketch", size, width)
     seams = with_sketch(seams, "follower", "follower_sketch", size, width)
     order = Window.partitionBy("bucket").orderBy("key", "text")
     inside = F.lead(F.struct("text", "sketch")).over(order)
