@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, lm, quality, sentencepiece, sitetree, wordpiece
+from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, licenses, lm, quality, sentencepiece, sitetree, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -30,6 +30,19 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Where a document would lie as a file, in both dialects: source, then folders by its number.
+LICENCE_PATH = (
+    "coalesce(source, '') || '/p' || CAST({div64} AS {text}) || CASE WHEN doc_id % 64 = 1"
+    " THEN '/LICENSE' WHEN doc_id % 8 = 0 THEN '/m' || CAST({div8} AS {text}) || '/COPYING'"
+    " ELSE '/m' || CAST({div8} AS {text}) || '/' || CAST(doc_id AS {text}) || '.txt' END"
+)
+
+
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    path = LICENCE_PATH.format(div64="doc_id div 64", div8="doc_id div 8", text="STRING")
+    return licenses.scan(_table(spark, folder, "documents"), "doc_id", F.expr(path))
+
+
 def digest_ids(encoded: DataFrame) -> DataFrame:
     """doc_id and the digest columns of encoded and decoded texts."""
     return encoded.select(
@@ -96,6 +109,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_licences": op2_licences,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op5_jaccard_join": op5_jaccard_join,
@@ -106,4 +120,8 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_licences": licenses.oracle(
+        LICENCE_PATH.format(div64="doc_id // 64", div8="doc_id // 8", text="VARCHAR")
+    )
+}
