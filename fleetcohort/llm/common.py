@@ -73,7 +73,7 @@ def pieces(
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
         start, total = 0, 0
         for i, size in enumerate(sizes):
             if total and total + size > limit:

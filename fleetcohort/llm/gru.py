@@ -27,7 +27,7 @@ def classes_of(counts: np.ndarray, n_own: int, own_classes: int, shared_classes:
     for part, wanted in ((counts[:n_own], own_classes), (counts[n_own:], shared_classes)):
         if not len(part):
             continue
-        mass = np.cumsum(np.sqrt(part.astype(float)))
+        mass = np.cumsum(np.sqrt(np.maximum(part.astype(float), 1e-9)))
         number = np.minimum((mass / mass[-1] * wanted).astype(np.int64), wanted - 1)
         _, number = np.unique(number, return_inverse=True)  # no empty classes
         out.append(number + base)
@@ -54,8 +54,9 @@ class Layout:
         totals = np.bincount(self.of_word, weights=self.counts, minlength=self.n_classes)
         totals[self.rest] = self.unnumbered + 1
         self.totals = totals
-        with np.errstate(divide="ignore"):
-            self.log_share = np.log(self.counts / totals[self.of_word]) if len(self.counts) else self.counts
+        # Only an end token that no training document has is counted zero times.
+        seen = np.maximum(self.counts, 0.5)
+        self.log_share = np.log(seen / np.maximum(totals[self.of_word], 0.5))
         # Input row of each numbered word; words of shared classes share a row.
         self.row = np.where(
             np.arange(len(self.counts)) < n_own,
@@ -78,7 +79,7 @@ def start(layout: Layout, seed: int = 3, hidden: int = HIDDEN) -> dict[str, np.n
     """First parameters: small random weights; biases that give the words' overall shares."""
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(F32)
-    share = layout.totals / layout.totals.sum()
+    share = np.maximum(layout.totals, 0.5) / layout.totals.sum()
     return {
         "x": small(layout.n_rows, 3 * hidden),
         "u": small(hidden, 3 * hidden) * F32(2),

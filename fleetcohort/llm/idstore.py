@@ -272,7 +272,9 @@ def write_ids(
     """Encode every text and write the shards to ``folder``, keys ascending over the shards."""
     rows = keyed_text(docs, key, text).withColumn("key", F.col("key").cast("long"))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(1, -(-min(size, 1 << 50) // shard_bytes))
+    if size >= 1 << 60:  # a table that knows no size
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
     width = id_width(tokenizer_path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ class Vocabulary:
         self.end = self.number.pop(None)
         self.total, self.distinct = total, distinct
         self.rest_tokens = total - int(self.counts.sum())
-        self.rest_words = distinct - len(words)
+        self.rest_words = max(0, distinct - len(words))
         self.layout = gru.Layout(self.counts, OWN, float(self.rest_tokens))
         self.log_count = np.log10(self.counts + 1.0)
 
@@ -222,7 +222,7 @@ def score(
     joined = scored.withColumn("n_rest", n_rest).drop("rest").join(rest, "row", "left")
     rest_log = F.coalesce("rest_log", F.lit(0.0))
     base_all = float(np.log10(words.total + words.distinct + 1.0))
-    rest_all = float(np.log10(words.rest_tokens + words.rest_words + 1.0))
+    rest_all = float(np.log10(max(words.rest_tokens + words.rest_words, 0) + 1.0))
     return joined.select(
         F.col("key").alias(key),
         "held_out",
