@@ -25,6 +25,7 @@ its own name "". Null keys and repeated rows stay, one row each. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,45 +36,43 @@ from fleetcohort.llm.html_blocks import blocks, is_plain_article
 
 LEAST, PAGES, DAMPING = 0.2, 8, 0.9
 
+#: Low nodes up to which they are broadcast (host and path of each), beyond that joined by host.
+BROADCAST_NODES = 20_000
+
 _BLOCK = pa.struct(
-    [
-        ("path", pa.string()),
-        ("style", pa.string()),
-        ("noise", pa.bool_()),
-        ("plain", pa.bool_()),
-        ("text", pa.string()),
-    ]
-)
-_BLOCK_DDL = "array<struct<path:string,style:string,noise:boolean,plain:boolean,text:string>>"
-
-
-def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """key, url, host and the blocks of each page, with a row number; a written table."""
-    small_batches(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^\w+://([^/:?#]*)", 1))
+    [("path", pa.string()), ("style", pa.string()), ("text", pa.int64())]
+)
+_BLOCK_DDL = "array<struct<path:string,style:string,text:bigint>>"
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\w+://([^/:?#]*)", 1))
+
+
+def merged(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """row, host and blocks of each page, texts as hashes: what the trees are made of. A
+    written table, much smaller than the pages."""
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(f"`{key}`").alias("key"),
-        F.col(f"`{url}`").alias("url"),
-        host.alias("host"),
+        _host(F.col(f"`{url}`")).alias("host"),
         F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"),
     )
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
             found = [
-                [
-                    {"path": p, "style": s, "noise": n, "plain": is_plain_article(p), "text": t}
-                    for p, s, n, t in blocks(page)
-                ]
+                [{"path": p, "style": s, "text": _hash(t)} for p, s, _, t in blocks(page)]
                 for page in batch.column("html").to_pylist()
             ]
-            kept = batch.select(["row", "key", "url", "host"])
+            kept = batch.select(["row", "host"])
             yield kept.append_column("blocks", pa.array(found, type=pa.list_(_BLOCK)))
 
-    schema = f"row long, key {kinds['key']}, url {kinds['url']}, host string, blocks {_BLOCK_DDL}"
-    return stage(rows.mapInArrow(run, schema), "pages-parsed")
+    return stage(rows.mapInArrow(run, f"row long, host string, blocks {_BLOCK_DDL}"), "pages-merged")
+
+
+def _hash(text: str) -> int:
+    digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
 
 
 def _entropy_share(n: Column, pages: Column) -> Column:
@@ -87,7 +86,7 @@ def site_tree(read: DataFrame) -> DataFrame:
     nodes = each.select("row", "host", "b.path").distinct()
     pages = nodes.groupBy("host", "path").agg(F.count("row").alias("pages"))
 
-    contents = each.select("row", "host", "b.path", F.xxhash64("b.text").alias("text")).distinct()
+    contents = each.select("row", "host", "b.path", "b.text").distinct()
     counts = contents.groupBy("host", "path", "text").agg(F.count("row").alias("n"))
     content = (
         counts.join(pages, ["host", "path"])
@@ -117,31 +116,36 @@ def site_tree(read: DataFrame) -> DataFrame:
 def main_text(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
-    """Per row: key, url, ``text``: the blocks of the main text joined by line feeds."""
-    read = parsed(pages, key, url, html)
-    low = (
-        site_tree(read)
-        .where((F.col("importance") < LEAST) & (F.col("pages") >= PAGES))
-        .select("host", "path")
-    )
-    asked = read.select(
-        "row",
-        "host",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.filter("blocks", lambda b: ~b["noise"] & ~b["plain"]), lambda b: b["path"]
-                )
-            )
-        ).alias("path"),
-    )
-    cut = asked.join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("cut"))
-    marked = read.join(cut, "row", "left")
-    whole = F.filter("blocks", lambda b: ~b["noise"])
-    none = F.array().cast("array<string>")
-    pruned = F.filter(
-        whole, lambda b: b["plain"] | ~F.array_contains(F.coalesce("cut", none), b["path"])
-    )
-    left = F.when(F.size(pruned) > 0, pruned).otherwise(whole)
-    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    return marked.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))
+    """Per row: key, url, ``text``: the blocks of the main text joined by line feeds.
+
+    Pages are read twice, for the trees and for the texts, so that no text is moved or kept.
+    """
+    small_batches(pages.sparkSession)
+    tree = site_tree(merged(pages, url, html))
+    low = tree.where((F.col("importance") < LEAST) & (F.col("pages") >= PAGES))
+    low = stage(low.select("host", "path"), "pages-low")
+    by_host = low.groupBy("host").agg(F.collect_set("path").alias("cut"))
+    if low.count() <= BROADCAST_NODES:
+        by_host = F.broadcast(by_host)
+    rows = pages.select(
+        F.col(f"`{key}`").alias("key"),
+        F.col(f"`{url}`").alias("url"),
+        _host(F.col(f"`{url}`")).alias("host"),
+        F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"),
+    ).join(by_host, "host", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            texts = []
+            cuts = batch.column("cut").to_pylist()
+            for page, cut in zip(batch.column("html").to_pylist(), cuts, strict=True):
+                whole = [(p, t) for p, _, noise, t in blocks(page) if not noise]
+                gone = set(cut or ())
+                left = [t for p, t in whole if p not in gone or is_plain_article(p)]
+                texts.append("\n".join(left or [t for _, t in whole]))
+            kept = batch.select(["key", "url"])
+            yield kept.append_column("text", pa.array(texts, type=pa.string()))
+
+    out = rows.mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, text string")
+    return out.select(F.col("key").alias(key), F.col("url").alias(url), "text")
