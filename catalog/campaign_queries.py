@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from fleetcohort.functions.text import title_label
 from fleetcohort.plans import campaign, cohort, profile, reports
 from fleetcohort.settings import CALIBRATED_FEATURES, CLUSTERING_FEATURES, COHORT_COLUMNS, PERSONAS
 from fleetcohort.sources import fixture
-from fleetcohort.sources.sinks import newest_first
+from fleetcohort.sources.sinks import append_dispatch_log, read_dispatch_log
+from fleetcohort.sources.staging import staging_root
 
 WEEK = "2024-06-03"
 CLUSTER_METRICS = {c: c for c in CLUSTERING_FEATURES}
@@ -40,15 +43,13 @@ def _marked(s, d):
 
 
 def _dispatch_log(s, d):
-    """The message log ordered newest first, each row dated by the driver's signup day."""
-    days = scored_drivers(s, d).select("driver_id", F.col("signup_date").cast("string").alias("timestamp"))
-    log = _messages(s, d).join(days, "driver_id").select(
-        "timestamp",
-        F.concat(F.col("driver_id").cast("string"), F.lit("@drivers.example")).alias("recipient"),
-        "subject",
-        F.concat(F.lit("nudge:"), "variant").alias("type"),
-    )
-    return newest_first(log)
+    """The stored log, newest first: outbox rows through the writer and the reader, each stamped
+    with the driver's signup day."""
+    days = scored_drivers(s, d).select("driver_id", F.col("signup_date").cast("timestamp").alias("day"))
+    path = f"{staging_root(s)}/fleetcohort/{s.sparkContext.applicationId}/log-{uuid.uuid4().hex}"
+    rows = campaign.outbox(_messages(s, d)).join(days, "driver_id")
+    append_dispatch_log(rows, path, stamp=F.col("day"))
+    return read_dispatch_log(s, path).withColumn("timestamp", F.col("timestamp").cast("string"))
 
 
 def _cohort(s, d):
@@ -349,7 +350,7 @@ ORACLE = {
     ),
     "nudge_messages": chain("SELECT * FROM messages"),
     "outbox_rows": chain(
-        """SELECT substr(driver_id::VARCHAR, 1, 8) || '@drivers.example' AS recipient, subject,
+        """SELECT driver_id, driver_id::VARCHAR || '@drivers.example' AS recipient, subject,
                   'nudge:' || variant AS "type", 'skipped' AS status, '' AS error FROM messages"""
     ),
     "nudge_sent_flag": chain("SELECT driver_id, nudge_sent FROM marked"),
@@ -366,8 +367,9 @@ ORACLE = {
            FROM marked"""
     ),
     "dispatch_log_newest": chain(
-        """SELECT signup_date::VARCHAR AS "timestamp", driver_id || '@drivers.example' AS recipient,
-                  subject, 'nudge:' || variant AS "type"
+        """SELECT signup_date::TIMESTAMP::VARCHAR AS "timestamp",
+                  driver_id || '@drivers.example' AS recipient, subject,
+                  'nudge:' || variant AS "type", 'skipped' AS status, '' AS error
            FROM messages JOIN scored USING (driver_id) ORDER BY 1 DESC, 2"""
     ),
     "cohort_calibration": sql(_CALIBRATION, "features"),

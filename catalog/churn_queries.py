@@ -6,16 +6,20 @@ from pyspark.sql import functions as F
 
 from catalog.campaign_queries import chain, uniform_sql
 from catalog.oracle_base import rounded
-from catalog.scored import scored_drivers
+from catalog.scored import UNROUNDED_SQL, scored_drivers, unrounded
 from catalog.tables import stored_features, written_once
 from fleetcohort.functions.numeric import round_half_even
 from fleetcohort.plans import churn, evaluation, scoring, segments
-from fleetcohort.settings import SEARCH_SPACE
 
-# Small fits for routine checks; the full search is the library default.
-QUICK = {"maxIter": 15, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.8}
-QUICK_SPACE = {**SEARCH_SPACE, "maxIter": [5, 10], "maxDepth": [3, 4]}
-QUICK_STARTS = 2
+_fitted: dict[tuple, tuple] = {}
+
+
+def _once(s, d, label, fit):
+    """A fit of this session and folder, shared by the queries that need it."""
+    key = (s.sparkContext.applicationId, d, label)
+    if key not in _fitted:
+        _fitted[key] = fit()
+    return _fitted[key]
 
 
 def _predicted(s, d):
@@ -28,36 +32,50 @@ def _labelled(s, d):
     def build(spark, folder):
         features = stored_features(spark, folder)
         train = churn.with_split(features).filter(~F.col("is_test"))
-        return segments.fit_segments(train, starts=QUICK_STARTS).transform(features)
+        return segments.fit_segments(train).transform(features)
 
     return churn.with_split(written_once(s, d, "clustered", build))
 
 
 def _fit(s, d):
     labelled = _labelled(s, d)
-    return labelled, churn.fit_churn(labelled.filter(~F.col("is_test")), QUICK)
+    return labelled, _once(
+        s, d, "train", lambda: churn.fit_churn(labelled.filter(~F.col("is_test")))
+    )
 
 
 def _metrics(s, d):
+    """The report and the AUC of both sides, from one pass of the ensemble."""
     labelled, model = _fit(s, d)
-    scored = churn.predict(labelled, model)
-    report = evaluation.classification_report
-    train, test = scored.filter(~F.col("is_test")), scored.filter("is_test")
+    counts = written_once(s, d, "score-counts", lambda *_: churn.score_counts(labelled, model))
     parts = [
-        report(part, churn.TARGET, "churn_prediction")
+        evaluation.classification_report(part, churn.TARGET, "churn_prediction", weight="n")
         .withColumn("split", F.lit(name))
-        .withColumn("auc", evaluation.roc_auc(part, churn.TARGET, "churn_probability").select("auc").scalar())
-        for name, part in (("train", train), ("test", test))
+        .withColumn(
+            "auc", evaluation.roc_auc(part, churn.TARGET, churn.RAW, weight="n").select("auc").scalar()
+        )
+        for name, part in (
+            ("train", counts.filter(~F.col("is_test"))),
+            ("test", counts.filter("is_test")),
+        )
     ]
     return parts[0].unionByName(parts[1])
 
 
+def _whole(s, d):
+    """Segments and churn model fitted on all drivers."""
+
+    def fit():
+        features = stored_features(s, d)
+        model = segments.fit_segments(features)
+        clustered = written_once(s, d, "clustered-all", lambda *_: model.transform(features))
+        return model, churn.fit_churn(clustered)
+
+    return _once(s, d, "whole", fit)
+
+
 def _scores(s, d):
-    features = stored_features(s, d)
-    segment_model = segments.fit_segments(features, starts=QUICK_STARTS)
-    clustered = segment_model.transform(features)
-    model = churn.fit_churn(clustered, QUICK)
-    return scoring.score_drivers(features, segment_model, model).select(
+    return scoring.score_drivers(stored_features(s, d), *_whole(s, d)).select(
         "driver_id", "cluster_label", "persona", "churn_probability", "is_high_risk"
     )
 
@@ -65,24 +83,15 @@ def _scores(s, d):
 def _what_if(s, d):
     """Every driver re-scored as if it earned a fifth more per online hour."""
     features = stored_features(s, d)
-    segment_model = segments.fit_segments(features, starts=QUICK_STARTS)
-    model = churn.fit_churn(segment_model.transform(features), QUICK)
     earnings = "avg_earnings_per_hour_online"
-    now = scoring.score_drivers(features, segment_model, model)
-    raised = scoring.score_drivers(
-        features.withColumn(earnings, F.col(earnings) * 1.2), segment_model, model
-    )
+    raised = features.withColumn(earnings, F.col(earnings) * 1.2)
+    now = scoring.score_drivers(features, *_whole(s, d))
+    then = scoring.score_drivers(raised, *_whole(s, d))
     return now.select("driver_id", F.col("churn_probability").alias("now")).join(
-        raised.select("driver_id", F.col("churn_probability").alias("raised")), "driver_id"
+        then.select("driver_id", F.col("churn_probability").alias("raised")), "driver_id"
     )
 
 
-def _search(s, d):
-    train = _labelled(s, d).filter(~F.col("is_test"))
-    ranked = churn.random_search(train, draws=3, folds=3, space=QUICK_SPACE)
-    return churn.search_table(s, ranked)
-
-
 def _importance(s, d):
     _, model = _fit(s, d)
     return churn.feature_importance(s, model)
@@ -104,7 +113,7 @@ QUERIES = {
     ),
     "class_weight": lambda s, d: evaluation.class_balance(stored_features(s, d), churn.TARGET),
     "roc_auc_exact": lambda s, d: evaluation.roc_auc(
-        scored_drivers(s, d), churn.TARGET, "churn_probability"
+        unrounded(s, d), churn.TARGET, "score"
     ).withColumn("auc", round_half_even(F.col("auc"), 9)),
     "confusion_matrix": lambda s, d: evaluation.confusion_matrix(
         _predicted(s, d), churn.TARGET, "predicted"
@@ -114,7 +123,6 @@ QUERIES = {
     "churn_feature_importance": _importance,
     "churn_scores": _scores,
     "what_if_scores": _what_if,
-    "random_search_results": _search,
 }
 
 _CELL = """(count(*) FILTER ("Churned" = {a} AND is_high_risk = {p}))::DOUBLE"""
@@ -127,7 +135,8 @@ ORACLE = {
     ),
     "stratified_folds": chain(
         f"""SELECT driver_id, "Churned",
-                   CAST(floor(({uniform_sql("fold", "(\"Churned\" || '|' || driver_id)")}) * 5) AS INT)
+                   CAST((row_number() OVER (PARTITION BY "Churned"
+                         ORDER BY {uniform_sql("fold", "driver_id")}, driver_id) - 1) % 5 AS INT)
                      AS fold FROM features"""
     ),
     "class_weight": chain(
@@ -141,9 +150,9 @@ ORACLE = {
             FROM (SELECT count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n,
                          sum(r) FILTER (y = 1) AS ranks
                   FROM (SELECT "Churned" AS y,
-                               rank() OVER (ORDER BY churn_probability)
-                               + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0::DOUBLE
-                                 AS r FROM scored))"""
+                               rank() OVER (ORDER BY score)
+                               + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE
+                                 AS r FROM ({UNROUNDED_SQL})))"""
     ),
     "confusion_matrix": chain(
         """SELECT a::INT AS actual, p::INT AS predicted,

@@ -60,6 +60,15 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def unrounded(spark: SparkSession, folder: str) -> DataFrame:
+    """Label and full-precision score of the same formula."""
+    odds = F.lit(WEIGHTS[0])
+    for weight, z in zip(WEIGHTS[1:], Z):
+        odds = odds + F.col(z) * weight
+    score = (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("score")
+    return segments.standardised(stored_features(spark, folder)).select("Churned", score)
+
+
 def scored_drivers(spark: SparkSession, folder: str) -> DataFrame:
     return written_once(spark, folder, "scored", _scored)
 
@@ -80,6 +89,8 @@ _ODDS = f"{WEIGHTS[0]}::DOUBLE" + "".join(
 )
 _MEANS = ", ".join(f"avg(coalesce({c}, 0)) AS {c}" for c in CLUSTERING_FEATURES)
 
+UNROUNDED_SQL = f'SELECT "Churned", 1 / (1 + exp(-({_ODDS}))) AS score FROM standard'
+
 SCORED_SQL: dict[str, str] = {
     "standard": f"SELECT f.*, {_Z_SQL} FROM features f, (SELECT {_STATS} FROM features)",
     "labelled": "SELECT *, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS cluster_label FROM "

@@ -11,6 +11,11 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
 
 
+def real(value: Column) -> Column:
+    """The value as a double; NaN, which files written elsewhere carry for missing, is NULL."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 def cents(amount: Column) -> Column:
     """Money as a whole number of cents (BIGINT): exact to add, cheap in generated code."""
     return F.rint(amount.cast("double") * 100).cast("bigint")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetcohort.functions.hashing import in_share
 from fleetcohort.functions.mapping import map_codes
-from fleetcohort.functions.numeric import round_half_even, truncated_percent
-from fleetcohort.functions.text import fixed_text, money_text, percent_text, short_id
+from fleetcohort.functions.numeric import real, round_half_even, truncated_percent
+from fleetcohort.functions.text import fixed_text, money_text, percent_text
 from fleetcohort.operators.membership import with_membership
 from fleetcohort.operators.quantiles import exact_quantiles
 from fleetcohort.operators.reshape import melt
@@ -89,14 +89,15 @@ def lift(outcomes: DataFrame, retained: str, needed: float = 0.05) -> DataFrame:
 def top_earners(history: DataFrame) -> DataFrame:
     """Pro-Optimizer drivers, or the top quarter by earnings when there are none.
 
-    Looks for one such driver right away, so the quartile is only planned when needed.
+    One plan: how many there are is a scalar subquery, so no job runs while it is built.
     """
-    if "persona" in history.columns:
-        pro = history.filter(F.col("persona") == PRO)
-        if not pro.isEmpty():
-            return pro
     quarter = exact_quantiles(history, [], EARNINGS, {"q3": 0.75})
-    return history.filter(F.col(EARNINGS) >= quarter.scalar())
+    top_quarter = F.col(EARNINGS) >= quarter.scalar()
+    if "persona" not in history.columns:
+        return history.filter(top_quarter)
+    is_pro = F.coalesce(F.col("persona") == PRO, F.lit(False))
+    any_pro = history.agg(F.count_if(is_pro) > 0).scalar()
+    return history.filter(F.when(any_pro, is_pro).otherwise(top_quarter))
 
 
 def benchmarks(history: DataFrame) -> DataFrame:
@@ -124,8 +125,8 @@ def benchmarks(history: DataFrame) -> DataFrame:
 
 def variant() -> Column:
     """Weakest signal first; a missing signal never selects its variant."""
-    earnings = F.coalesce(F.col(EARNINGS), F.lit(MISSING_EARNINGS))
-    cancel = F.coalesce(F.col(CANCEL), F.lit(MISSING_CANCEL))
+    earnings = F.coalesce(real(F.col(EARNINGS)), F.lit(MISSING_EARNINGS))
+    cancel = F.coalesce(real(F.col(CANCEL)), F.lit(MISSING_CANCEL))
     return (
         F.when(earnings < LOW_EARNINGS_BELOW, "LOW_EARNINGS")
         .when(cancel > HIGH_CANCEL_ABOVE, "HIGH_CANCEL")
@@ -271,9 +272,10 @@ def nudges(scored: DataFrame, bench: DataFrame, run_date: str) -> DataFrame:
 
 
 def outbox(messages: DataFrame, domain: str = "drivers.example") -> DataFrame:
-    """Dispatch rows. Nothing is sent from here, so every row is ``skipped``."""
+    """Dispatch rows, one per driver. Nothing is sent from here, so every row is ``skipped``."""
     return messages.select(
-        F.concat(short_id(F.col("driver_id")), F.lit(f"@{domain}")).alias("recipient"),
+        "driver_id",
+        F.concat(F.col("driver_id").cast("string"), F.lit(f"@{domain}")).alias("recipient"),
         "subject",
         F.concat(F.lit("nudge:"), "variant").alias("type"),
         F.lit("skipped").alias("status"),

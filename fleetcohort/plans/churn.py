@@ -13,12 +13,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetcohort.functions.hashing import draw, in_share
 from fleetcohort.functions.numeric import round_half_even
-from fleetcohort.plans.evaluation import class_balance, roc_auc
+from fleetcohort.plans.evaluation import class_balance, classification_report, roc_auc
 from fleetcohort.settings import (
     CHURN_FEATURES,
     CHURN_NUMERIC_FEATURES,
@@ -33,6 +33,10 @@ from fleetcohort.settings import (
 from fleetcohort.sources.raw import require_columns
 
 TARGET = "Churned"
+#: Unrounded probability, for ranking; published scores are rounded.
+RAW = "churn_raw"
+#: Slices of the hash range that folds are ranked in.
+FOLD_SLICES = 1024
 WEIGHT = "_weight"
 _VECTOR = "_churn_vector"
 _OUTPUTS = ["rawPrediction", "probability", "prediction"]
@@ -58,9 +62,23 @@ def with_split(
 
 
 def with_folds(df: DataFrame, folds: int, key: str = "driver_id", seed: int = SEED) -> DataFrame:
-    """Adds ``fold``: an even hash spread within each class."""
-    place = F.concat(F.col(TARGET).cast("string"), F.lit("|"), F.col(key).cast("string"))
-    return df.withColumn("fold", F.floor(draw(seed, "fold", place) * folds).cast("int"))
+    """Adds ``fold``: rank by hash within each class, modulo ``folds``, so the folds of a class
+    differ by one row at most.
+
+    Ranks come from slices of the hash range: counts of the slices before, plus the rank inside
+    the slice, so no task sorts a whole class.
+    """
+    drawn = df.withColumn("_draw", draw(seed, "fold", F.col(key))).withColumn(
+        "_slice", F.floor(F.col("_draw") * FOLD_SLICES).cast("int")
+    )
+    counts = drawn.groupBy(TARGET, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(TARGET).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(TARGET, "_slice").orderBy("_draw", key)
+    rank = F.col("_before") + F.row_number().over(inside) - 1
+    same = drawn[TARGET].eqNullSafe(starts[TARGET]) & (drawn["_slice"] == starts["_slice"])
+    ranked = drawn.join(starts, same).select(drawn["*"], "_before")
+    return ranked.withColumn("fold", (rank % folds).cast("int")).drop("_draw", "_slice", "_before")
 
 
 def with_weights(df: DataFrame) -> DataFrame:
@@ -76,7 +94,7 @@ def with_weights(df: DataFrame) -> DataFrame:
 def _stages(params: dict, clusters: int, seed: int) -> list:
     """Missing numbers become 0 plus a flag; the cluster is a nominal feature with a
     fixed set of values, the same at training and scoring time."""
-    parts = [f"COALESCE(CAST({c} AS DOUBLE), 0.0D) AS _in_{c}" for c in CHURN_NUMERIC_FEATURES]
+    parts = [f"COALESCE(NANVL(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D) AS _in_{c}" for c in CHURN_NUMERIC_FEATURES]
     parts += [
         f"CAST({c} IS NULL OR isnan(CAST({c} AS DOUBLE)) AS DOUBLE) AS _no_{c}"
         for c in CHURN_NUMERIC_FEATURES
@@ -111,15 +129,21 @@ def fit_churn(
     return Pipeline(stages=stages).fit(with_weights(train))
 
 
-def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Adds ``churn_probability`` (four decimals) and the 0/1 ``churn_prediction``."""
+def predict_raw(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Adds the unrounded ``churn_raw`` and the 0/1 ``churn_prediction``."""
     require_columns(df, CHURN_FEATURES)
     kept = df.columns
     share: Column = vector_to_array(F.col("probability"))[1]
     return model.transform(df).select(
-        *kept,
-        round_half_even(share, 4).alias("churn_probability"),
-        F.col("prediction").cast("int").alias("churn_prediction"),
+        *kept, share.alias(RAW), F.col("prediction").cast("int").alias("churn_prediction")
+    )
+
+
+def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Adds ``churn_probability`` (four decimals) and the 0/1 ``churn_prediction``."""
+    scored = predict_raw(df, model)
+    return scored.select(
+        *df.columns, round_half_even(F.col(RAW), 4).alias("churn_probability"), "churn_prediction"
     )
 
 
@@ -154,8 +178,7 @@ def draw_settings(space: dict[str, list], draws: int, seed: int = SEED) -> list[
 
 
 def _fold_auc(model: PipelineModel, held_out: DataFrame) -> float:
-    scored = predict(held_out, model)
-    return roc_auc(scored, TARGET, "churn_probability").first()["auc"]
+    return roc_auc(predict_raw(held_out, model), TARGET, RAW).first()["auc"]
 
 
 def random_search(
@@ -173,7 +196,7 @@ def random_search(
     """
     settings = draw_settings(space, draws, seed)
     totals = [0.0] * len(settings)
-    folded = with_folds(train, folds, seed=seed)
+    folded = with_folds(train.select("driver_id", *CHURN_FEATURES, TARGET), folds, seed=seed)
     for fold in range(folds):
         inside = folded.filter(F.col("fold") != fold).persist(StorageLevel.MEMORY_AND_DISK)
         outside = folded.filter(F.col("fold") == fold).persist(StorageLevel.MEMORY_AND_DISK)
@@ -181,11 +204,13 @@ def random_search(
         def run(setting: dict) -> float:
             return _fold_auc(fit_churn(inside, setting, clusters, seed), outside)
 
-        with ThreadPool(min(parallel_fits, len(settings))) as pool:
-            aucs = pool.map(inheritable_thread_target(train.sparkSession)(run), settings)
+        try:
+            with ThreadPool(min(parallel_fits, len(settings))) as pool:
+                aucs = pool.map(inheritable_thread_target(train.sparkSession)(run), settings)
+        finally:
+            inside.unpersist()
+            outside.unpersist()
         totals = [t + a for t, a in zip(totals, aucs)]
-        inside.unpersist()
-        outside.unpersist()
     ranked = [(setting, total / folds) for setting, total in zip(settings, totals)]
     return sorted(ranked, key=lambda entry: -entry[1])
 
@@ -210,23 +235,38 @@ class ChurnRun:
     metrics: dict[str, float]
 
 
-def _split_metrics(scored: DataFrame, name: str) -> dict[str, float]:
-    accuracy = scored.agg(
-        F.avg((F.col("churn_prediction") == F.col(TARGET)).cast("double")).alias("accuracy")
-    ).first()["accuracy"]
-    auc = roc_auc(scored, TARGET, "churn_probability").first()["auc"]
-    return {f"{name}_accuracy": accuracy, f"{name}_roc_auc": auc}
+def score_counts(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Rows per side, label, prediction and unrounded score: the ensemble runs once per row,
+    and accuracy, report and AUC all follow from these counts."""
+    scored = predict_raw(df, model)
+    return scored.groupBy("is_test", TARGET, "churn_prediction", RAW).agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
-def evaluate(df: DataFrame, model: PipelineModel) -> dict[str, float]:
-    """Accuracy and AUC on both sides of the split."""
-    scored = predict(df, model)
+def _split_metrics(counts: DataFrame, name: str) -> dict[str, float]:
+    report = classification_report(counts, TARGET, "churn_prediction", weight="n")
+    rows = {r["row"]: r for r in report.collect()}  # five rows
+    auc = roc_auc(counts, TARGET, RAW, weight="n").first()["auc"]
     return {
-        **_split_metrics(scored.filter(~F.col("is_test")), "train"),
-        **_split_metrics(scored.filter("is_test"), "test"),
+        f"{name}_accuracy": rows["accuracy"]["precision"],
+        f"{name}_roc_auc": auc,
+        **{f"{name}_{m}": rows["1"][m] for m in ("precision", "recall", "f1")},
     }
 
 
+def evaluate(df: DataFrame, model: PipelineModel) -> dict[str, float]:
+    """Accuracy, AUC, and precision, recall and F1 of churners on both sides of the split."""
+    counts = score_counts(df, model).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {
+            **_split_metrics(counts.filter(~F.col("is_test")), "train"),
+            **_split_metrics(counts.filter("is_test"), "test"),
+        }
+    finally:
+        counts.unpersist()
+
+
 def train_churn(
     labelled: DataFrame,
     draws: int = SEARCH_DRAWS,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcohort.functions.numeric import round_half_even
+#: Slices of the score range that are ordered one by one.
+SCORE_SLICES = 4096
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -34,13 +35,21 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def _rows(condition: Column, weight: str | None) -> Column:
+    """Rows that meet the condition; ``weight`` names a count if rows stand for several."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
+
+
+def classification_report(
+    df: DataFrame, label: str, prediction: str, weight: str | None = None
+) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy, macro and weighted means."""
     actual, predicted = F.col(label), F.col(prediction)
     counts = df.agg(
-        *[F.count_if((actual == c) & (predicted == c)).alias(f"hit{c}") for c in (0, 1)],
-        *[F.count_if(actual == c).alias(f"sup{c}") for c in (0, 1)],
-        *[F.count_if(predicted == c).alias(f"pred{c}") for c in (0, 1)],
+        *[_rows((actual == c) & (predicted == c), weight).alias(f"hit{c}") for c in (0, 1)],
+        *[_rows(actual == c, weight).alias(f"sup{c}") for c in (0, 1)],
+        *[_rows(predicted == c, weight).alias(f"pred{c}") for c in (0, 1)],
     )
 
     def ratio(a, b):
@@ -82,18 +91,31 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return derived.select(F.inline(F.array(*lines)))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, places: int = 4) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve, ties averaged: one row (positives, negatives, auc).
 
-    Probabilities are compared at ``places`` decimals, the precision they are published
-    with, and counted per value first. The ordered pass therefore runs over at most
-    10**places + 1 rows whatever the table size.
+    Scores are probabilities and are compared unrounded. They are counted per value first, then
+    ordered inside slices of the score range; only the slices' totals (``SCORE_SLICES`` rows)
+    are ordered in one task. A NULL or NaN score is left out.
     """
-    by_score = df.groupBy(round_half_even(F.col(score), places).alias("_score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    by_score = scored.groupBy(F.col(score).cast("double").alias("_score")).agg(
+        _rows(F.col(label) == 1, weight).alias("pos"), _rows(F.col(label) == 0, weight).alias("neg")
+    )
+    place = F.floor(F.col("_score") * SCORE_SLICES)
+    sliced = by_score.withColumn(
+        "_slice", F.greatest(F.lit(0), F.least(F.lit(SCORE_SLICES - 1), place)).cast("int")
+    )
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("_slice").agg(F.sum("neg").alias("_neg"))
+    starts = totals.select(
+        "_slice", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_before")
+    )
+    below = Window.partitionBy("_slice").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("_inside", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    ranked = ranked.join(starts, "_slice").withColumn(
+        "neg_below", F.col("_inside") + F.col("_before")
     )
-    below = Window.orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     # A positive beats every negative below it and half of those it ties with.
     wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))
     pairs = F.col("positives").cast("double") * F.col("negatives")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcohort.functions.mapping import map_codes
+from fleetcohort.functions.numeric import real
 from fleetcohort.settings import (
     CASUAL,
     CLUSTER_COUNT,
@@ -35,7 +36,7 @@ _WORK = ["cluster_raw", "cluster_scaled"]
 
 
 def filled(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    return F.coalesce(real(F.col(column)), F.lit(0.0))
 
 
 def standardised(df: DataFrame, columns: list[str] = CLUSTERING_FEATURES) -> DataFrame:
@@ -103,7 +104,7 @@ class SegmentModel:
 
 def _preparation() -> list:
     fills = ", ".join(
-        f"COALESCE(CAST({c} AS DOUBLE), 0.0D) AS _fill_{c}" for c in CLUSTERING_FEATURES
+        f"COALESCE(NANVL(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D) AS _fill_{c}" for c in CLUSTERING_FEATURES
     )
     return [
         SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
@@ -164,12 +165,18 @@ def fit_segments(
     return with_personas(PipelineModel([*preparation.stages, best]))
 
 
-def elbow(features: DataFrame, ks: range = range(2, 9), seed: int = SEED) -> DataFrame:
-    """Training cost per number of clusters."""
+def elbow(
+    features: DataFrame, ks: range = range(2, 9), starts: int = CLUSTER_STARTS, seed: int = SEED
+) -> DataFrame:
+    """Training cost of the best start per number of clusters."""
     _, vectors = _scaled_vectors(features)
     try:
-        fits = _fit_all(vectors, [(k, seed) for k in ks])
-        costs = [(k, float(model.summary.trainingCost)) for k, model in zip(ks, fits)]
+        runs = [(k, seed + i) for k in ks for i in range(starts)]
+        least: dict[int, float] = {}
+        for (k, _), model in zip(runs, _fit_all(vectors, runs)):
+            cost = float(model.summary.trainingCost)
+            least[k] = min(cost, least.get(k, cost))
+        costs = sorted(least.items())
     finally:
         vectors.unpersist()
     return features.sparkSession.createDataFrame(costs, "k int, training_cost double")

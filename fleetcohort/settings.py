@@ -159,7 +159,9 @@ SEARCH_SPACE = {
     "maxIter": [100, 200, 300, 400, 500],
     "stepSize": [0.01, 0.03, 0.05, 0.1, 0.2],
     "maxDepth": [3, 4, 5, 6],
-    "minInfoGain": [0.0, 0.1, 0.5, 1.0],
+    # Least gain of a split on this library's scale, impurity per row; the original's values,
+    # a loss reduction summed over rows, would leave no tree a single split.
+    "minInfoGain": [0.0, 0.0005, 0.002, 0.01],
     "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
     "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
 }

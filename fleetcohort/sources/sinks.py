@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcohort.sources import schemas
@@ -27,10 +27,10 @@ def write_week(df: DataFrame, path: str) -> None:
     )
 
 
-def append_dispatch_log(outbox: DataFrame, path: str) -> None:
-    """Append one batch of dispatch rows, stamped at write time."""
+def append_dispatch_log(outbox: DataFrame, path: str, stamp: Column | None = None) -> None:
+    """Append one batch of dispatch rows, stamped at write time or with ``stamp``."""
     (
-        outbox.withColumn("timestamp", F.current_timestamp())
+        outbox.withColumn("timestamp", F.current_timestamp() if stamp is None else stamp)
         .select(*schemas.DISPATCH_LOG.fieldNames())
         .write.mode("append")
         .parquet(path)

@@ -6,6 +6,7 @@ lineage, keeps column pruning and survives the loss of an executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def staging_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="fleetcohort-")

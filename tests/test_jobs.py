@@ -151,15 +151,13 @@ def test_training_run(spark, history, segment_model, tmp_path):
     space = {"maxIter": [3], "maxDepth": [2, 3], "stepSize": [0.1]}
     run = churn.train_churn(clustered, draws=2, folds=2, space=space)
     assert run.metrics.keys() == {
-        "train_accuracy",
-        "train_roc_auc",
-        "test_accuracy",
-        "test_roc_auc",
-        "cv_best_roc_auc",
-    }
+        f"{side}_{m}"
+        for side in ("train", "test")
+        for m in ("accuracy", "roc_auc", "precision", "recall", "f1")
+    } | {"cv_best_roc_auc"}
     assert run.metrics["test_roc_auc"] > 0.5
     sinks.append_run_log(spark, str(tmp_path / "runs"), "r", run.params, run.metrics)
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == len(run.params) + 5
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == len(run.params) + 11
 
 
 def test_split_does_not_depend_on_layout(history):
@@ -276,6 +274,58 @@ def test_messages_mention_the_numbers(spark):
     sent = campaign.outbox(campaign.nudges(df, bench, WEEK)).collect()
     assert {r["type"] for r in sent} == {"nudge:LOW_EARNINGS", "nudge:HIGH_CANCEL", "nudge:GOAL_GRADIENT"}
     assert {r["status"] for r in sent} == {"skipped"}
+    assert {r["driver_id"] for r in sent} == {"a", "b", "c"}
+
+
+def test_outbox_keeps_whole_ids(spark):
+    rows = [(1234567801, "LOW_EARNINGS", "s"), (1234567802, "LOW_EARNINGS", "s")]
+    messages = spark.createDataFrame(rows, "driver_id long, variant string, subject string")
+    assert {r["recipient"] for r in campaign.outbox(messages).collect()} == {
+        "1234567801@drivers.example",
+        "1234567802@drivers.example",
+    }
+
+
+def test_nan_signals_select_no_variant(spark):
+    nan = float("nan")
+    rows = [("a", nan, nan), ("b", 20.0, nan), ("c", nan, 0.5), ("d", 5.0, 0.9)]
+    df = spark.createDataFrame(
+        rows, "driver_id string, avg_earnings_per_hour_online double, cancellation_rate double"
+    )
+    got = {r["driver_id"]: r["v"] for r in df.select("driver_id", campaign.variant().alias("v")).collect()}
+    assert got == {
+        "a": "GOAL_GRADIENT", "b": "GOAL_GRADIENT", "c": "HIGH_CANCEL", "d": "LOW_EARNINGS",
+    }
+
+
+def test_nan_features_are_scored_as_missing(spark, history, segment_model, churn_model):
+    column = "cancellation_rate"
+    three = history.limit(3)
+    keys = ["driver_id", "persona", "churn_probability"]
+    nan = scoring.score_drivers(three.withColumn(column, F.lit(float("nan"))), segment_model, churn_model)
+    null = scoring.score_drivers(
+        three.withColumn(column, F.lit(None).cast("double")), segment_model, churn_model
+    )
+    assert sorted(nan.select(*keys).collect()) == sorted(null.select(*keys).collect())
+
+
+def test_folds_are_balanced_within_each_class(spark):
+    df = spark.range(1003).select(
+        F.col("id").alias("driver_id"), (F.col("id") % 3 == 0).cast("int").alias("Churned")
+    )
+    counts = churn.with_folds(df, 5).groupBy("Churned", "fold").count().collect()
+    for label in (0, 1):
+        own = [r["count"] for r in counts if r["Churned"] == label]
+        assert len(own) == 5 and max(own) - min(own) <= 1
+
+
+@pytest.mark.parametrize("gain", SEARCH_SPACE["minInfoGain"])
+def test_every_gain_of_the_search_still_splits(scored, gain):
+    earnings = "avg_earnings_per_hour_online"
+    (median,) = scored.approxQuantile(earnings, [0.5], 0.01)
+    planted = scored.withColumn("Churned", F.coalesce(F.col(earnings) > median, F.lit(False)).cast("int"))
+    model = churn.fit_churn(planted, {"maxIter": 2, "maxDepth": 3, "minInfoGain": gain})
+    assert all(tree.numNodes > 1 for tree in model.stages[-1].trees[:1])
 
 
 def test_lift(spark):
