@@ -39,8 +39,8 @@ STATISTICS = [
 def with_statistics(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Adds the statistics of the text column, as columns named ``prefix`` + statistic.
 
-    They are plain columns, not a struct, and words and lines are split in a step below, so
-    that the optimiser computes each once per row however many rules read it.
+    They leave a generator of one row, so the optimiser cannot put their expressions in the
+    place of each use: every statistic is computed once per row, however many rules read it.
     """
 
     def share(pattern: str) -> Column:
@@ -72,7 +72,9 @@ def with_statistics(df: DataFrame, text: str, prefix: str) -> DataFrame:
         "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
         "line_chars": F.log1p(chars / n_lines),
     }
-    return df.withColumns({prefix + k: found[k] for k in STATISTICS}).drop(words, lines)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (words, lines)]
+    row = F.struct(*(found[k].alias(prefix + k) for k in STATISTICS))
+    return df.select(*kept, F.inline(F.array(row)))
 
 
 Test = tuple[int, bool, float]  # statistic, greater (or else at most), threshold
