@@ -15,7 +15,7 @@ from fleetcohort.functions.mapping import risk_band
 from fleetcohort.functions.numeric import round_half_even
 from fleetcohort.functions.text import title_label
 from fleetcohort.plans import campaign, cohort, profile, reports
-from fleetcohort.settings import CALIBRATED_FEATURES, CLUSTERING_FEATURES, COHORT_COLUMNS, PERSONAS
+from fleetcohort.settings import CALIBRATED_FEATURES, CLUSTERING_FEATURES, COHORT_COLUMNS
 from fleetcohort.sources import fixture
 from fleetcohort.sources.sinks import append_dispatch_log, read_dispatch_log
 from fleetcohort.sources.staging import staging_root
@@ -113,7 +113,7 @@ QUERIES = {
         reports.earnings_composition(scored_drivers(s, d), fixture.raw_logs(s, d)), 6, "pct"
     ),
     "box_stats_by_persona": lambda s, d: _rounded(
-        profile.box_stats(scored_drivers(s, d), BY_LABEL, "persona", PERSONAS), 6, *BOX_COLUMNS
+        profile.box_stats(scored_drivers(s, d), BY_LABEL, "persona"), 6, *BOX_COLUMNS
     ),
     "churn_by_persona": lambda s, d: reports.churn_by_persona(scored_drivers(s, d)),
     "persona_summary": lambda s, d: reports.persona_summary(scored_drivers(s, d)),

@@ -97,6 +97,77 @@ def _importance(s, d):
     return churn.feature_importance(s, model)
 
 
+def _checks(df, **bad):
+    """One row per name: how many rows of ``df`` meet the condition."""
+    counts = df.agg(*[F.count_if(c).alias(n) for n, c in bad.items()])
+    rows = [
+        F.struct(F.lit(n.replace("_", " ")).alias("check"), F.col(n).cast("double").alias("value"))
+        for n in bad
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def _invariants(s, d):
+    """What must hold of every fit, whatever it learned."""
+    features = stored_features(s, d)
+    segment_model, _ = _whole(s, d)
+    scores = written_once(s, d, "fitted-scores", _scores)
+    centres = segments.centroids_in_units(segment_model.pipeline)
+    rules = segments.persona_rules(centres).select("cluster_label", F.col("persona").alias("rule"))
+    named = scores.join(rules, "cluster_label", "left")
+    share = F.col("churn_probability")
+    parts = [
+        _checks(
+            named,
+            drivers_scored=F.lit(True),
+            probability_outside_its_range=~share.between(0, 1),
+            flag_differs_from_the_probability=F.col("is_high_risk") != (share >= 0.5),
+            persona_differs_from_the_rule=~F.col("persona").eqNullSafe(F.col("rule")),
+        )
+    ]
+    # The nearest centre, in units of the scaler's deviations.
+    scaler = segment_model.pipeline.stages[-2]
+    spread = dict(zip(segments.CLUSTERING_FEATURES, [float(x) for x in scaler.std], strict=True))
+    far = [
+        sum(
+            (
+                F.pow((segments.filled(c) - F.lit(float(centre[c]))) / spread[c], 2)
+                for c in segments.CLUSTERING_FEATURES
+                if spread[c]
+            ),
+            F.lit(0.0),
+        )
+        for centre in centres.orderBy("cluster_label").collect()  # k rows
+    ]
+    labelled = features.join(scores.select("driver_id", "cluster_label"), "driver_id")
+    distances = labelled.withColumn("_far", F.array(*far))
+    own = F.get("_far", F.col("cluster_label"))
+    parts.append(_checks(distances, label_is_not_the_nearest=own > F.array_min("_far") + 1e-6))
+    counts = _metrics(s, d)
+    parts.append(
+        _checks(
+            counts,
+            report_lines=F.lit(True),
+            auc_outside_its_range=~F.col("auc").between(0, 1),
+            rate_outside_its_range=~(
+                F.col("precision").between(0, 1) & F.col("recall").between(0, 1)
+            ),
+        )
+    )
+    total = counts.where("row = 'accuracy'").groupBy(
+        F.concat(F.lit("rows of the "), "split", F.lit(" side")).alias("check")
+    )
+    parts.append(total.agg(F.sum("support").cast("double").alias("value")))
+    importance = _importance(s, d).agg(
+        F.lit("importances sum to").alias("check"),
+        round_half_even(F.sum("importance"), 9).alias("value"),
+    )
+    out = importance
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def _report(s, d):
     table = evaluation.classification_report(_predicted(s, d), churn.TARGET, "predicted")
     return table.withColumns(
@@ -123,6 +194,7 @@ QUERIES = {
     "churn_feature_importance": _importance,
     "churn_scores": _scores,
     "what_if_scores": _what_if,
+    "fitted_invariants": _invariants,
 }
 
 _CELL = """(count(*) FILTER ("Churned" = {a} AND is_high_risk = {p}))::DOUBLE"""
@@ -139,6 +211,18 @@ ORACLE = {
                          ORDER BY {uniform_sql("fold", "driver_id")}, driver_id) - 1) % 5 AS INT)
                      AS fold FROM features"""
     ),
+    "fitted_invariants": chain(
+        f"""SELECT v."check", v.value::DOUBLE AS value FROM (VALUES
+              ('probability outside its range', 0), ('flag differs from the probability', 0),
+              ('persona differs from the rule', 0), ('label is not the nearest', 0),
+              ('report lines', 10), ('auc outside its range', 0), ('rate outside its range', 0),
+              ('importances sum to', 1)) v("check", value)
+            UNION ALL SELECT 'drivers scored', count(*)::DOUBLE FROM features
+            UNION ALL SELECT 'rows of the test side', count(*)::DOUBLE FROM features
+                      WHERE {uniform_sql("split", "driver_id")} < 0.2
+            UNION ALL SELECT 'rows of the train side', count(*)::DOUBLE FROM features
+                      WHERE {uniform_sql("split", "driver_id")} >= 0.2"""
+    ),
     "class_weight": chain(
         """SELECT n::BIGINT AS negatives, p::BIGINT AS positives, n::DOUBLE / nullif(p, 0) AS ratio
            FROM (SELECT count(*) FILTER ("Churned" = 0) AS n, count(*) FILTER ("Churned" = 1) AS p

@@ -13,8 +13,9 @@ from fleetcohort.settings import CORRELATION_FEATURES, EVENT_TYPES, TIERS, TRIP_
 from fleetcohort.sources import fixture
 from fleetcohort.sources.raw import numeric_columns
 
-# Every numeric feature except identifier, label, flag and rank.
-NOT_PROFILED = ["driver_id", "Churned", "pro_tier_rank", "is_premium_capable"]
+# Distributions are shown for every numeric feature except identifier, label and flag;
+# those two are described like any other number.
+NOT_PROFILED = ["driver_id", "Churned", "is_premium_capable"]
 PROFILED = [
     "avg_rating",
     "avg_earnings_per_hour_online",
@@ -28,7 +29,15 @@ PROFILED = [
     "cancellation_rate",
     "acceptance_rate",
     "session_count",
+    "pro_tier_rank",
 ]
+DESCRIBED = [*PROFILED, "is_premium_capable", '"Churned"']
+RAW_DESCRIBED = {
+    "profiles": ["avg_rating", '"Churned"'],
+    "trips": ["trip_duration_seconds", "fare", "tip", "surge_multiplier"],
+    "incentives": ["bonus_amount"],
+}
+STATS = ["mean", "std", "min", "q1", "median", "q3", "max"]
 BOXED = ["cancellation_rate", "surge_reliance_score"]
 BY_LABEL = ["avg_earnings_per_hour_online", "trip_utilization_rate"]
 
@@ -39,9 +48,19 @@ def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 def _describe(s, d):
     features = stored_features(s, d)
-    columns = numeric_columns(features, exclude=NOT_PROFILED)
-    stats = ["mean", "std", "min", "q1", "median", "q3", "max"]
-    return _rounded(profile.describe(features, columns), 3, *stats)
+    columns = numeric_columns(features, exclude=["driver_id"])
+    return _rounded(profile.describe(features, columns), 3, *STATS)
+
+
+def _describe_raw(s, d):
+    """Every number of the raw logs; sessions and interactions hold identifiers only."""
+    logs = {"profiles": fixture.profiles, "trips": fixture.trips, "incentives": fixture.incentives}
+    parts = []
+    for name, read in logs.items():
+        columns = [c.strip('"') for c in RAW_DESCRIBED[name]]
+        log = read(s, d).select(*[F.col(c).cast("double") for c in columns])
+        parts.append(profile.describe(log, columns).withColumn("table", F.lit(name)))
+    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 3, *STATS)
 
 
 def _histogram(s, d):
@@ -60,12 +79,13 @@ QUERIES = {
     "quality_suite": lambda s, d: quality.quality_suite(fixture.raw_logs(s, d)),
     "tier_value_counts": lambda s, d: quality.value_counts(fixture.profiles(s, d), "current_tier"),
     "describe_exact": _describe,
+    "describe_raw": _describe_raw,
     "histogram_30": _histogram,
     "box_stats": lambda s, d: _rounded(
         profile.box_stats(stored_features(s, d), BOXED), 6, *BOX_COLUMNS
     ),
     "box_stats_by_label": lambda s, d: _rounded(
-        profile.box_stats(stored_features(s, d), BY_LABEL, "Churned", [0, 1]), 3, *BOX_COLUMNS
+        profile.box_stats(stored_features(s, d), BY_LABEL, "Churned"), 3, *BOX_COLUMNS
     ),
     "corr_matrix": lambda s, d: _rounded(
         profile.correlation_matrix(stored_features(s, d)), 6, "r"
@@ -75,12 +95,13 @@ QUERIES = {
 
 
 def _kde(s, d):
-    grid = profile.density(stored_features(s, d), BY_LABEL)
+    features = stored_features(s, d)
+    grid = profile.density(features, numeric_columns(features, exclude=NOT_PROFILED))
     return grid.select(
         "column",
         "point",
         round_half_even(F.col("x"), 3).alias("x"),
-        round_half_even(F.col("density") * 1000, 6).alias("density_per_mille"),
+        round_half_even(F.col("density") * 1000, 3).alias("density_per_mille"),
     )
 
 
@@ -189,6 +210,28 @@ def box_sql(columns: list[str], by: str | None, places: int, table: str = "featu
     return f'SELECT {key}"column", {outer}, outliers, n FROM ({_per_column(block, columns)})'
 
 
+def _melted(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{c.strip('"')}' AS "column", {c}::DOUBLE AS v FROM {table}"""
+        for c in columns
+    )
+
+
+_STATS_SQL = ", ".join(
+    ["count(v)::BIGINT AS n"]
+    + [
+        f"{rounded(text, 3)} AS {name}"
+        for text, name in (
+            ("avg(v)", "mean"),
+            ("stddev_samp(v)", "std"),
+            ("min(v)", "min"),
+            ("quantile_cont(v, 0.25)", "q1"),
+            ("quantile_cont(v, 0.5)", "median"),
+            ("quantile_cont(v, 0.75)", "q3"),
+            ("max(v)", "max"),
+        )
+    ]
+)
 _MELTED = _per_column("SELECT '{c}' AS \"column\", {c}::DOUBLE AS v FROM features", PROFILED)
 
 ORACLE = {
@@ -212,14 +255,15 @@ ORACLE = {
     ),
     "tier_value_counts": sql(_share_sql("profiles", "current_tier"), "profiles"),
     "describe_exact": sql(
-        f"""SELECT "column", count(v)::BIGINT AS n, {rounded("avg(v)", 3)} AS mean,
-                   {rounded("stddev_samp(v)", 3)} AS std, {rounded("min(v)", 3)} AS min,
-                   {rounded("quantile_cont(v, 0.25)", 3)} AS q1,
-                   {rounded("quantile_cont(v, 0.5)", 3)} AS median,
-                   {rounded("quantile_cont(v, 0.75)", 3)} AS q3, {rounded("max(v)", 3)} AS max
-            FROM ({_MELTED}) GROUP BY "column" """,
+        f'SELECT "column", {_STATS_SQL} FROM ({_melted("features", DESCRIBED)}) GROUP BY "column"',
         "features",
     ),
+    "describe_raw": sql(
+        f"""SELECT "table", "column", {_STATS_SQL}
+            FROM ({" UNION ALL ".join(_melted(t, c) for t, c in RAW_DESCRIBED.items())})
+            GROUP BY "table", "column" """,
+        *RAW_DESCRIBED,
+    ),
     "histogram_30": sql(
         f"""SELECT "column", bin, coalesce(n, 0)::BIGINT AS n
             FROM (SELECT DISTINCT "column", unnest(range(30))::INT AS bin FROM ({_MELTED}))
@@ -245,13 +289,13 @@ ORACLE = {
     "kde_grid": sql(
         f"""SELECT "column", point, {rounded("low + (high - low) / 199 * point", 3)} AS x,
                    {rounded("1000 * sum(exp(-0.5 * pow((low + (high - low) / 199 * point - v) / h, 2)))"
-                            " / (any_value(n) * any_value(h) * sqrt(2 * pi()))", 6)}
+                            " / (any_value(n) * any_value(h) * sqrt(2 * pi()))", 3)}
                      AS density_per_mille
             FROM (SELECT *, unnest(range(200))::INT AS point,
                          sd * pow(n::DOUBLE, -0.2) AS h
                   FROM (SELECT "column", min(v) AS low, max(v) AS high, count(v) AS n,
                                stddev_samp(v) AS sd FROM ({_MELTED}) GROUP BY 1)
-                  WHERE "column" IN ('trip_utilization_rate', 'avg_earnings_per_hour_online'))
+                  WHERE n > 1 AND sd > 0)
             JOIN ({_MELTED}) m USING ("column")
             WHERE v IS NOT NULL
             GROUP BY "column", point, low, high""",

@@ -94,29 +94,32 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per column, optionally per group.
 
-    Values that are not numbers are dropped. ``groups`` lists the values of ``by`` to
-    show, which bounds the broadcast fences to columns x groups rows.
+    Values that are not numbers are dropped. Every value of ``by`` is a group, NULL too, unless
+    ``groups`` lists those to show.
     """
     ids = [by] if by else []
     clean = df.select(*ids, *[coerce_number(c).alias(c) for c in columns])
-    keys = ids + ["column"]
     rows = melt(clean, ids, columns, "column", "value").filter(F.col("value").isNotNull())
-    if by:
+    if by and groups is not None:
         rows = rows.filter(F.col(by).isin(groups))
+    # Groups meet under a text that is never NULL.
+    rows = rows.withColumn("_group", F.to_json(F.struct(by)) if by else F.lit(""))
+    keys = ["_group", "column"]
     quartiles = exact_quantiles(rows, keys, "value", QUARTILES)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({"fence_low": F.col("q1") - reach, "fence_high": F.col("q3") + reach})
     value = F.col("value")
     inside = (value >= F.col("fence_low")) & (value <= F.col("fence_high"))
     return (
-        rows.join(F.broadcast(fences), keys)
-        .groupBy(*keys, "q1", "median", "q3")
+        rows.join(fences, keys)
+        .groupBy("_group", *ids, "column", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, value)).alias("whisker_low"),
             F.max(F.when(inside, value)).alias("whisker_high"),
             F.count_if(~inside).alias("outliers"),
             F.count(F.lit(1)).alias("n"),
         )
+        .drop("_group")
     )
 
 
@@ -135,8 +138,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATION_FEATURES)
 def density(df: DataFrame, columns: list[str], points: int = DENSITY_POINTS) -> DataFrame:
     """Gaussian kernel density on an even grid from minimum to maximum (Scott bandwidth).
 
-    Each row adds to every grid point inside one aggregation, so no (row, point) pairs
-    are ever produced or shuffled.
+    Values are counted first; each distinct value then adds to every grid point inside one
+    aggregation, so no (row, point) pairs are ever produced or shuffled.
     """
     ranges = _ranges(df, columns).filter("n > 1 AND std > 0")
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
@@ -147,9 +150,12 @@ def density(df: DataFrame, columns: list[str], points: int = DENSITY_POINTS) ->
     rows = (
         melt(df, [], columns, "column", "value")
         .filter(F.col("value").isNotNull())
-        .join(F.broadcast(frame), "column")
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(F.broadcast(frame), "column")  # one row per profiled column
         .select(
             "column",
+            "times",
             ((F.col("value") - F.col("low")) / F.col("bandwidth")).alias("z"),
             (step / F.col("bandwidth")).alias("step_z"),
         )
@@ -157,7 +163,7 @@ def density(df: DataFrame, columns: list[str], points: int = DENSITY_POINTS) ->
 
     def kernel(i: int):
         offset = F.col("z") - F.col("step_z") * i
-        return F.sum(F.exp(offset * offset * -0.5))
+        return F.sum(F.col("times") * F.exp(offset * offset * -0.5))
 
     sums = rows.groupBy("column").agg(F.array(*[kernel(i) for i in range(points)]).alias("sums"))
     return (

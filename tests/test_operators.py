@@ -233,3 +233,17 @@ def test_epoch_text_is_exact_for_micros(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:07.179575' AS ts")
     got = df.select(temporal.epoch_seconds(F.col("ts"))).first()[0]
     assert got == 1704067207 and math.isclose(got % 60, 7)
+
+
+def test_box_groups_keep_null_and_unlisted_values(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), ("b", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["median"], r["n"]) for r in profile.box_stats(df, ["x"], "g").collect()}
+    assert got == {"a": (2.0, 2), None: (5.0, 1), "b": (7.0, 1)}
+    one = profile.box_stats(df, ["x"], "g", ["b"]).collect()
+    assert [r["g"] for r in one] == ["b"]
+
+
+def test_auc_compares_unrounded_scores(spark):
+    df = spark.createDataFrame([(1, 0.10000002), (0, 0.10000001)], "y int, s double")
+    assert evaluation.roc_auc(df, "y", "s").first()["auc"] == 1.0
