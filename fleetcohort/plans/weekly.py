@@ -13,7 +13,7 @@ from fleetcohort.plans.segments import SegmentModel
 from fleetcohort.settings import COHORT_SIZE, SEED
 from fleetcohort.sources.raw import open_required
 from fleetcohort.sources.sinks import append_dispatch_log, write_week
-from fleetcohort.sources.staging import stage
+from fleetcohort.sources.staging import staged
 
 
 def stored_week(spark: SparkSession, path: str, week: str) -> DataFrame:
@@ -42,15 +42,14 @@ def run_week(
     write_week(weekly_cohort(spark, history, week, n, seed), f"{out}/weekly_cohort")
     cohort = stored_week(spark, f"{out}/weekly_cohort", week)
     # Scored once; the campaign steps below read the staged copy.
-    scored = stage(campaign.assign_arms(score_drivers(cohort, segments, churn), seed=arm_seed), "scored")
-
-    messages = campaign.nudges(scored, campaign.benchmarks(history), week)
-    write_week(messages.withColumn("week", F.lit(week)), f"{out}/nudges")
-    written = stored_week(spark, f"{out}/nudges", week)
-    write_week(campaign.outbox(written).withColumn("week", F.lit(week)), f"{out}/outbox")
-    append_dispatch_log(stored_week(spark, f"{out}/outbox", week), f"{out}/dispatch_log")
-
-    write_week(campaign.mark_nudged(scored, written), f"{out}/scored_cohort")
+    armed = campaign.assign_arms(score_drivers(cohort, segments, churn), seed=arm_seed)
+    with staged(armed, "scored") as scored:
+        messages = campaign.nudges(scored, campaign.benchmarks(history), week)
+        write_week(messages.withColumn("week", F.lit(week)), f"{out}/nudges")
+        written = stored_week(spark, f"{out}/nudges", week)
+        write_week(campaign.outbox(written).withColumn("week", F.lit(week)), f"{out}/outbox")
+        append_dispatch_log(stored_week(spark, f"{out}/outbox", week), f"{out}/dispatch_log")
+        write_week(campaign.mark_nudged(scored, written), f"{out}/scored_cohort")
     final = stored_week(spark, f"{out}/scored_cohort", week)
     return {
         "summary": campaign.run_summary(final),

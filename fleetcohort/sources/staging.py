@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,36 @@ def staging_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/fleetcohort/{spark.sparkContext.applicationId}"
+
+
+def _written(df: DataFrame, label: str) -> str:
+    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a frame that scans the written copy."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{staging_root(spark)}/fleetcohort/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, label))
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``stage``, for the length of a ``with`` block; the copy is deleted after it."""
+    path = _written(df, label)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete everything this application staged; call when no staged frame is needed."""
-    app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/fleetcohort/{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
