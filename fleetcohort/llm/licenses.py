@@ -12,8 +12,8 @@ files, look for their ancestors, and top directories are joined under salted key
 that holds a third of all files is one row.
 
 A line can only reach ``LEAST`` if it holds terms that carry ``LEAST`` squared of a template's
-weight (Cauchy), so lines without any of the heavier key terms are left out beforehand; that
-loses nothing. Built-in functions only.
+weight (Cauchy), so texts without any of the heavier key terms, and lines without that much,
+are left out beforehand; that loses nothing. Built-in functions only.
 
 Null and empty texts have no licence of their own; a null path is a file in no directory and
 inherits nothing. Repeated rows stay, one row each. An empty table gives no rows.
@@ -49,6 +49,11 @@ TEMPLATES = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved."),
 ]
+#: The commonest words of English, the first to be no key terms.
+COMMON = (
+    "the of and to in is that for with this be by as it on are was from at not or a an all any"
+    " you we can may will no if has have which their there use under"
+).split()
 LICENCE_FILES = ["LICENSE", "LICENCE", "COPYING", "NOTICE"]
 # -----------------------------------------------------------------------------------------------
 
@@ -75,9 +80,10 @@ class Model:
             weights = {t: words.count(t) * self.idf[t] for t in sorted(set(words))}
             length = math.sqrt(sum(w * w for w in weights.values()))
             self.vectors += [(number, name, t, w / length) for t, w in weights.items()]
-            # The shortest words are the commonest; as many of them as cannot suffice are no keys.
+            # The commonest words, then the shortest: as many as cannot suffice are no keys.
             mass = 0.0
-            for t in sorted(weights, key=lambda t: (len(t), t)):
+            place = {t: n for n, t in enumerate(COMMON)}
+            for t in sorted(weights, key=lambda t: (place.get(t, len(place)), len(t), t)):
                 mass += (weights[t] / length) ** 2
                 if mass >= least * least - 1e-9:
                     self.keys.add(t)
@@ -87,6 +93,16 @@ def _words(text: Column) -> Column:
     return F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+")
 
 
+def _can_reach(words: Column, model: Model) -> Column:
+    """Whether the words hold ``least`` squared of some template's weight."""
+    shares: dict[int, Column] = {}
+    for number, _, term, weight in model.vectors:
+        held = F.when(F.array_contains(words, term), weight * weight).otherwise(0.0)
+        shares[number] = shares[number] + held if number in shares else held
+    most = F.greatest(*shares.values()) if len(shares) > 1 else shares[0]
+    return most >= model.least * model.least - 1e-9
+
+
 def own_licences(files: DataFrame, model: Model) -> DataFrame:
     """row, licence, score of the files (row, text, is_licence_file) that have one."""
     spark = files.sparkSession
@@ -94,8 +110,10 @@ def own_licences(files: DataFrame, model: Model) -> DataFrame:
     likely = files.where(F.arrays_overlap(_words(F.col("text")), keys))
     lines = F.array_distinct(F.split("text", "\n"))
     whole = F.when(F.col("is_licence_file"), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = likely.select("row", F.posexplode(F.array_distinct(F.concat(lines, whole))).alias("unit", "part"))
-    units = units.withColumn("words", _words(F.col("part"))).where(F.arrays_overlap("words", keys))
+    # Words leave the generator with their line, so no filter computes them again.
+    split = F.transform(F.array_distinct(F.concat(lines, whole)), _words)
+    units = likely.select("row", F.posexplode(split).alias("unit", "words"))
+    units = units.where(F.arrays_overlap("words", keys)).where(_can_reach(F.col("words"), model))
     terms = (
         units.select("row", "unit", F.explode("words").alias("term"))
         .where("term != ''").groupBy("row", "unit", "term").agg(F.count("term").alias("n"))
