@@ -6,8 +6,8 @@
    the tasks. All other words are one class, and a word's share of it needs its count, which a
    join brings; nothing about them is collected.
 3. In each round every task trains a copy of the model on its own share of documents, and the
-   copies are averaged by tokens, in two levels, in pieces of the parameters. A round takes one
-   in ``SHARE`` training documents, chosen by key hash, so training grows with the corpus.
+   copies are averaged by tokens, in two levels, in pieces of the parameters. Every training
+   document is in one of the ``ROUNDS`` rounds, dealt by key hash.
 4. Every whole text is scored, its state carried from window to window.
 
 Tokens are words (what ASCII white space separates, A-Z in lower case), then one end per
@@ -33,8 +33,8 @@ from fleetcohort.llm.common import crc_mod, keyed_text, pieces, stage
 
 #: Words with a number, how often they must be seen, and how many have vectors of their own.
 NUMBERED, LEAST_COUNT, OWN = 1 << 16, 3, 1024
-#: Training rounds, and of how many documents a round takes one.
-ROUNDS, SHARE = 2, 32
+#: Training rounds; each takes its share of the training documents.
+ROUNDS = 2
 #: Text that a task scores at a time; longer lanes, fewer steps with few lanes.
 SCORE_BYTES, TRAIN_BYTES = 6 << 20, 1 << 20
 #: Different words that a task counts before it hands them on.
@@ -124,10 +124,10 @@ def _averaged(copies: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.nd
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters after ``ROUNDS`` rounds over shares of the training rows."""
+    """Parameters after ``ROUNDS`` rounds, which share the training rows out among them."""
     parameters = gru.start(vocabulary.layout)
     for number in range(ROUNDS):
-        chosen = rows.where(F.pmod(F.xxhash64(F.lit("lm"), "key"), F.lit(SHARE)) == number)
+        chosen = rows.where(F.pmod(F.xxhash64(F.lit("lm"), "key"), F.lit(ROUNDS)) == number)
 
         def run(
             batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray] = parameters

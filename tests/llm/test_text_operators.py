@@ -234,6 +234,20 @@ def small_model(n_words=40):
     return layout, gru.start(layout, hidden=5)
 
 
+def test_every_training_document_gives_gradient_steps_once(spark, monkeypatch):
+    seen, averaged = [], lm._averaged
+
+    def watched(copies, like):
+        seen.append(copies.where("piece = 0").agg(F.sum("weight")).first()[0] or 0)
+        return averaged(copies, like)
+
+    monkeypatch.setattr(lm, "_averaged", watched)
+    rows = [(n, "some words " * (n % 5 + 1)) for n in range(60)]
+    out = lm.score(documents(spark, rows)).collect()
+    assert len(seen) == lm.ROUNDS and all(seen)
+    assert sum(seen) == sum(r["n_tokens"] for r in out if not r["held_out"])
+
+
 def test_probabilities_sum_to_one():
     layout, p = small_model()
     p["wc"] += 0.3
