@@ -12,7 +12,7 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp"
     " small span strike strong sub sup time tt u var wbr".split()
 )
-NOISE_TAGS = set("nav footer aside form menu dialog button head frameset applet audio video".split())
+NOISE_TAGS = set("nav footer aside menu dialog button head frameset applet audio video".split())
 CONTENT_TAGS = set(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption"
     " figure figcaption section div address hgroup header".split()
@@ -24,7 +24,11 @@ NOISE_WORDS = set(
     " subscription share sharing social related recommended recommendations comment comments"
     " disqus respond reply replies widget login signup search pagination pager tags".split()
 )
-NOISE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu".split())
+#: Parts that a noise name may have beside noise words.
+NEUTRAL_WORDS = set("site global".split())
+NOISE_ROLES = set("navigation banner contentinfo complementary alert dialog menu".split())
+#: As names: these count only for a branch that is not the page itself.
+NAME_TAGS, NAME_ROLES = {"form"}, {"search", "form"}
 #: An open element of the first kind ends where one of the second kind starts.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
@@ -47,34 +51,44 @@ _NAME = re.compile(r"[a-z]+")
 Block = tuple[str, str, bool, str]  # path, inline style, noise by role, text
 
 
-def _names(attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Signature of class and id (digits dropped), and whether they name a noise element."""
-    signature, noise = [], False
+def _is_noise_name(token: str, in_article: bool) -> bool:
+    """Whether a class or id as a whole names noise: "cookie-notice", not "has-sidebar"."""
+    words = set(_NAME.findall(token)) - NEUTRAL_WORDS
+    return bool(words) and words <= (NOISE_WORDS if in_article else NOISE_WORDS | {"header"})
+
+
+def _names(attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Signature of class and id (digits dropped), whether role or style mark the element as
+    noise, and whether a name does."""
+    signature, noise, named = [], False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words = _NAME.findall(value)
-            signature += words
-            hit = NOISE_WORDS.intersection(words)
-            noise |= bool(hit) or ("header" in words and not in_article)
+            signature += _NAME.findall(value)
+            named |= any(_is_noise_name(token, in_article) for token in value.split())
         elif name == "role":
             noise |= value in NOISE_ROLES
+            named |= value in NAME_ROLES
         elif name == "style":
             noise |= "display:none" in value.replace(" ", "")
         else:
             noise |= value != "false"
-    return ".".join(signature), noise
+    return ".".join(signature), noise, named
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks with text, in page order; of the article if the page marks one, else of its main
     part, else of its body. Noise by role is there too, marked.
 
+    A noise name counts only if its branch holds no article or main part and at most half of the
+    page's text, and only on pages that have text besides.
     Inline elements belong to the block around them; an unclosed one ends with it.
     """
-    out: list[tuple[int, Block]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
+    out: list[tuple[int, tuple[int, ...], Block]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, noise, named branches
+    held: list[int] = []  # characters of each named branch
+    whole: set[int] = set()  # named branches with an article or main part
     words: list[str] = []
     styles: set[str] = set()
     zone_of = {"article": 2, "main": 1}
@@ -86,8 +100,12 @@ def blocks(html: str) -> list[Block]:
         if text:
             path = stack[-1][1] if stack else "body"
             noise = bool(stack) and stack[-1][2]
-            zone = max((zone_of.get(t, 0) for t, _, _ in stack), default=0)
-            out.append((zone, (path, " ".join(sorted(styles)), noise, text)))
+            branches = stack[-1][3] if stack else ()
+            zone = max((zone_of.get(s[0], 0) for s in stack), default=0)
+            out.append((zone, branches, (path, " ".join(sorted(styles)), noise, text)))
+            if not noise:
+                for n in branches:
+                    held[n] += len(text)
         styles.clear()
 
     while at < end:
@@ -103,7 +121,7 @@ def blocks(html: str) -> list[Block]:
             continue  # a comment or declaration
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if tag in INLINE and not any(t == tag for t, _, _ in stack):
+            if tag in INLINE and not any(s[0] == tag for s in stack):
                 continue
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
@@ -124,13 +142,21 @@ def blocks(html: str) -> list[Block]:
             elif tag == "br":
                 words.append(" ")
             continue
-        in_article = any(t == "article" for t, _, _ in stack)
-        signature, noise = _names(attributes, in_article) if attributes else ("", False)
+        in_article = any(s[0] == "article" for s in stack)
+        signature, noise, named = (
+            _names(attributes, in_article) if attributes else ("", False, False)
+        )
         if tag in INLINE:
             styles.add(tag)
-            if noise:  # an inline element is kept open only to leave out what it holds
+            if noise or named:  # an inline element is kept open only to leave out what it holds
                 flush()
-                stack.append((tag, (stack[-1][1] if stack else "body") + f">{tag}.{signature}", True))
+                noise |= bool(stack) and stack[-1][2]
+                branches = stack[-1][3] if stack else ()
+                if named:
+                    branches += (len(held),)
+                    held.append(0)
+                path = (stack[-1][1] if stack else "body") + f">{tag}.{signature}"
+                stack.append((tag, path, noise, branches))
             continue
         if tag in ("html", "body"):
             flush()
@@ -139,14 +165,28 @@ def blocks(html: str) -> list[Block]:
         while stack and (stack[-1][0] == "p" or tag in ENDS.get(stack[-1][0], ())):
             stack.pop()
         noise |= tag in NOISE_TAGS or (tag == "header" and not in_article)
+        named |= tag in NAME_TAGS
         path = (stack[-1][1] if stack else "body") + ">" + tag + (f".{signature}" if signature else "")
         noise |= bool(stack) and stack[-1][2]
         if tag == "body" or attributes.endswith("/"):
             continue
-        stack.append((tag, path, noise))
+        branches = stack[-1][3] if stack else ()
+        if named:
+            branches += (len(held),)
+            held.append(0)
+        if tag in zone_of and not noise:
+            whole.update(branches)
+        stack.append((tag, path, noise, branches))
     flush()
-    best = max((zone for zone, b in out if not b[2]), default=0)
-    return [b if zone == best or b[2] else (b[0], b[1], True, b[3]) for zone, b in out]
+    total = sum(len(b[3]) for _, _, b in out if not b[2])
+    cut = {n for n, size in enumerate(held) if n not in whole and 2 * size <= total}
+    if all(b[2] or cut.intersection(branches) for _, branches, b in out):
+        cut = set()
+    found = [
+        (zone, (*b[:2], b[2] or bool(cut.intersection(branches)), b[3])) for zone, branches, b in out
+    ]
+    best = max((zone for zone, b in found if not b[2]), default=0)
+    return [b if zone == best or b[2] else (b[0], b[1], True, b[3]) for zone, b in found]
 
 
 def is_plain_article(path: str) -> bool:

@@ -51,6 +51,27 @@ def test_tolerant_reading(html, text):
     assert kept(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='layout has-sidebar'><p>a</p></div><p>other text</p>", ["a", "other text"]),
+        ("<div class='no-sidebar'><p>a</p></div><p>other text</p>", ["a", "other text"]),
+        ("<article class='post category-advertising'><p>a</p></article>", ["a"]),
+        ("<main class='search-results'><p>a</p></main>", ["a"]),
+        ("<div id='social-science'><p>a</p></div><p>other text</p>", ["a", "other text"]),
+        ("<form><h1>Head</h1><p>the whole page</p></form>", ["Head", "the whole page"]),
+        ("<form><article>a</article></form><p>much longer than that</p>", ["a"]),
+        ("<div class=widget><main><p>a</p></main></div><p>longer text</p>", ["a"]),
+        ("<div class=comments>one</div><div class=sidebar>two</div>", ["one", "two"]),
+        ("<form>Send</form><div class=sidebar>Side</div><p>text of the page</p>", ["text of the page"]),
+        ("<div class=site-header>S</div><div class='x cookie-notice'>C</div><p>text</p>", ["text"]),
+        ("<nav>menu only</nav>", []),
+    ],
+)
+def test_names_do_not_cut_a_page_itself(html, text):
+    assert kept(html) == text
+
+
 def test_repeated_branches_of_a_host_are_removed(spark):
     def page(n, host="one.example"):
         body = (
