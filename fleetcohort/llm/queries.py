@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import decontaminate, fingerprint, idstore, jaccard, licenses, lm, quality, sentencepiece, sitetree, wordpiece
+from fleetcohort.llm import centroids, decontaminate, fingerprint, idstore, jaccard, licenses, lm, packing, quality, sentencepiece, sitetree, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -107,6 +108,31 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(_table(spark, folder, "documents"), tokenizer_file(BYTE_MODEL))
+    return packed.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster_vectors(_table(spark, folder, "embeddings"))
+    return centroids.with_inertia(found).select(
+        F.col("key").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        "centroid_sha256",
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_licences": op2_licences,
@@ -118,10 +144,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_model": op9_language_model,
     "op10_html_text": op10_html_text,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
     "op2_licences": licenses.oracle(
         LICENCE_PATH.format(div64="doc_id // 64", div8="doc_id // 8", text="VARCHAR")
-    )
+    ),
+    "op13_centroids": centroids.oracle(),
 }
