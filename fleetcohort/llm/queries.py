@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcohort.llm import centroids, decontaminate, fingerprint, idstore, jaccard, licenses, lm, packing, quality, sentencepiece, sitetree, wordpiece
+from fleetcohort.llm import centroids, decontaminate, fingerprint, idstore, jaccard, licenses, lm, packing, quality, sentencepiece, sitetree, turntrie, wordpiece
 from fleetcohort.llm.common import crc_mod, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -108,6 +108,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turntrie.turn_trie(_table(spark, folder, "conversations"))
+
+
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(_table(spark, folder, "documents"), tokenizer_file(BYTE_MODEL))
     return packed.select(
@@ -144,6 +148,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_model": op9_language_model,
     "op10_html_text": op10_html_text,
+    "op11_turn_trie": op11_turn_trie,
     "op12_packing": op12_packing,
     "op13_centroids": op13_centroids,
 }
