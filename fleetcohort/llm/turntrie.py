@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -185,25 +186,42 @@ def ends_hash(members: DataFrame) -> DataFrame:
     return dealt.select("seq", "keys").mapInArrow(digest, "seq long, ends_sha256 string")
 
 
-def _cut(rows: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
-    """Cut all tries of this height at half depth.
+def _due(rows: DataFrame, tallest: int, height: int) -> DataFrame:
+    """Rows of a table of sequences of at most ``tallest`` positions that a cut of tries of this
+    height concerns: those that reach half depth. Shorter ones wait for a lower cut, so a row
+    takes part in as many cuts as its own sequence is long, whatever the longest one is.
+    """
+    reach = F.col("length") - F.col("a")
+    due = reach * 2 >= height
+    return rows.where(due if height == tallest else due & (reach < height))
+
+
+def _cut(rows: DataFrame, height: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Cut tries of this height at half depth.
 
     Gives the rows of the tries of half the height, and (a, seq, name, whole): the cut prefix
-    that each sequence runs through, or that it is itself if it ends earlier, and whether the
-    sequence fills its trie.
+    that each sequence runs through or is, and whether the sequence fills its trie. The prefixes
+    and their names are tables, so that a prefix shared by a large part of all sequences is
+    a skewed join between shuffles, which adaptive execution splits.
     """
     middle = F.col("a") + height // 2
-    heads = _print_of(rows.where(F.col("pos") <= middle), "a", "seq", "g", "n", "ender", "length")
-    cuts = heads.groupBy("a", "g", "f1", "f2").agg(
-        F.min("seq").alias("name"),
-        F.sum("n").alias("n_cut"),
-        F.max(F.when(F.col("length") <= middle, F.col("ender"))).alias("ender_cut"),
+    upper, lower = F.col("pos") <= middle, F.col("pos") > middle
+    heads = scratch.put(
+        _print_of(rows.where(upper), "a", "seq", "g", "n", "ender", "length"), f"heads{height}"
+    )
+    cuts = scratch.put(
+        heads.groupBy("a", "g", "f1", "f2").agg(
+            F.min("seq").alias("name"),
+            F.sum("n").alias("n_cut"),
+            F.max(F.when(F.col("length") <= middle, F.col("ender"))).alias("ender_cut"),
+        ),
+        f"names{height}",
     )
     named = heads.join(cuts, ["a", "g", "f1", "f2"]).select(
         "a", "seq", "name", "n_cut", "ender_cut", (F.col("length") == F.col("a") + height).alias("whole")
     )
-    upper, lower = F.col("pos") <= middle, F.col("pos") > middle
-    parts = rows.join(named, ["a", "seq"]).where(lower | (F.col("seq") == F.col("name")))
+    named = scratch.put(named, f"cuts{height}")
+    parts = rows.join(named.drop("whole"), ["a", "seq"]).where(lower | (F.col("seq") == F.col("name")))
     half = parts.select(
         F.when(upper, F.col("a")).otherwise(middle).alias("a"),
         "seq",
@@ -216,6 +234,9 @@ def _cut(rows: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
         "t2",
         "words",
     )
+    half = scratch.put(half, f"rows{height}")
+    scratch.drop(f"heads{height}")
+    scratch.drop(f"names{height}")
     return half, named.select("a", "seq", "name", "whole")
 
 
@@ -299,10 +320,9 @@ def turn_trie(conversations: DataFrame) -> DataFrame:
         total = {"n": 0, "root": None, "length": 0}
 
     # Down: cut at half depth until every trie is one level.
-    height = 1
-    while height < total["length"]:
-        height *= 2
-    deep = height
+    deep = 1
+    while deep < total["length"]:
+        deep *= 2
     rows = scratch.put(
         rows.join(groups.where("length > 0").select(F.col("seq").alias("conv"), "n", "length"), "conv").select(
             F.lit(0).cast("long").alias("a"),
@@ -318,13 +338,12 @@ def turn_trie(conversations: DataFrame) -> DataFrame:
         ),
         "rows",
     )
-    cuts: dict[int, DataFrame] = {}
+    tables, cuts, height = [(rows, deep)], {}, deep
     while height > 1:
-        half, named = _cut(rows, height)
-        cuts[height] = scratch.put(named, f"cut{height}")
-        rows = scratch.put(half, f"rows{height // 2}")
-        scratch.drop("rows" if height == deep else f"rows{height}")
+        due = reduce(DataFrame.unionByName, [_due(df, tallest, height) for df, tallest in tables])
+        rows, cuts[height] = _cut(due, height, scratch)
         height //= 2
+        tables.append((rows, height))
 
     # At height 1 every row is a node.
     own = rows.select(
