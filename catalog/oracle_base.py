@@ -180,8 +180,9 @@ def rounded(expression: str, places: int) -> str:
     return f"round_even(({expression}) * {scale}::DOUBLE, 0) / {scale}::DOUBLE"
 
 
-def sql(body: str, *needs: str, extra: dict[str, str] | None = None) -> str:
-    """``body`` prefixed by the shared sub-queries it needs, then by ``extra`` ones."""
+def sql(body: str, *needs: str, extra: dict[str, str] | None = None, once: bool = False) -> str:
+    """``body`` prefixed by the shared sub-queries it needs, then by ``extra`` ones; ``once``
+    keeps every sub-query's rows instead of running it for each reader."""
     wanted: set[str] = set()
 
     def add(name: str) -> None:
@@ -191,6 +192,7 @@ def sql(body: str, *needs: str, extra: dict[str, str] | None = None) -> str:
 
     for name in needs:
         add(name)
-    ctes = [f"{name} AS ({PARTS[name][1]})" for name in PARTS if name in wanted]
-    ctes += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
+    how = "AS MATERIALIZED" if once else "AS"
+    ctes = [f"{name} {how} ({PARTS[name][1]})" for name in PARTS if name in wanted]
+    ctes += [f"{name} {how} ({text})" for name, text in (extra or {}).items()]
     return f"WITH {', '.join(ctes)} {body}" if ctes else body

@@ -32,11 +32,13 @@ WEIGHTS = (0.3, -1.2, -0.8, 0.2, 0.1, -0.6, 0.4)
 MONEY_UNIT = 4000.0
 
 
+def anchors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ANCHORS, "cluster_label int, " + ", ".join(f"{z} double" for z in Z))
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "cluster_label int, " + ", ".join(f"{z} double" for z in Z)
-    anchors = spark.createDataFrame(ANCHORS, schema)
     table = segments.standardised(stored_features(spark, folder))
-    return assign_nearest(table, anchors, "cluster_label", Z)
+    return assign_nearest(table, anchors(spark), "cluster_label", Z)
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +82,7 @@ _STATS = ", ".join(
     for c in CLUSTERING_FEATURES
 )
 _Z_SQL = ", ".join(f"(coalesce({c}, 0) - m_{c}) / s_{c} AS z_{c}" for c in CLUSTERING_FEATURES)
-_DISTANCES = {
+DISTANCES = {
     a[0]: " + ".join(f"({z} - ({x}::DOUBLE)) * ({z} - ({x}::DOUBLE))" for z, x in zip(Z, a[1:]))
     for a in ANCHORS
 }
@@ -94,7 +96,7 @@ UNROUNDED_SQL = f'SELECT "Churned", 1 / (1 + exp(-({_ODDS}))) AS score FROM stan
 SCORED_SQL: dict[str, str] = {
     "standard": f"SELECT f.*, {_Z_SQL} FROM features f, (SELECT {_STATS} FROM features)",
     "labelled": "SELECT *, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS cluster_label FROM "
-    f"(SELECT *, [{', '.join(_DISTANCES[i] for i in range(4))}] AS ds FROM standard)",
+    f"(SELECT *, [{', '.join(DISTANCES[i] for i in range(4))}] AS ds FROM standard)",
     "centroids": f"SELECT cluster_label, {_MEANS} FROM labelled GROUP BY cluster_label",
     "personas": """
         SELECT cluster_label,

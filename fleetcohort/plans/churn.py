@@ -5,24 +5,18 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 from math import prod
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetcohort.functions.hashing import draw, in_share
 from fleetcohort.functions.numeric import round_half_even
+from fleetcohort.plans.boosting import DEFAULTS, Ensemble, Run, boost
 from fleetcohort.plans.evaluation import class_balance, classification_report, roc_auc
 from fleetcohort.settings import (
     CHURN_FEATURES,
     CHURN_NUMERIC_FEATURES,
-    CLUSTER_COUNT,
     HIGH_RISK_FROM,
     SEARCH_DRAWS,
     SEARCH_FOLDS,
@@ -31,27 +25,24 @@ from fleetcohort.settings import (
     TEST_SHARE,
 )
 from fleetcohort.sources.raw import require_columns
+from fleetcohort.sources.staging import staged
 
 TARGET = "Churned"
 #: Unrounded probability, for ranking; published scores are rounded.
 RAW = "churn_raw"
 #: Slices of the hash range that folds are ranked in.
 FOLD_SLICES = 1024
-WEIGHT = "_weight"
-_VECTOR = "_churn_vector"
-_OUTPUTS = ["rawPrediction", "probability", "prediction"]
-
 DEFAULT_PARAMS = {
-    "maxIter": 100,
-    "stepSize": 0.1,
-    "maxDepth": 4,
-    "minInfoGain": 0.0,
-    "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8",
+    **DEFAULTS,
+    "n_estimators": 100,
+    "learning_rate": 0.1,
+    "max_depth": 4,
+    "subsample": 0.8,
+    "colsample_bytree": 0.8,
 }
 
 
-# --- split and weights ------------------------------------------------------------
+# --- split and folds ------------------------------------------------------------
 
 
 def with_split(
@@ -81,65 +72,35 @@ def with_folds(df: DataFrame, folds: int, key: str = "driver_id", seed: int = SE
     return ranked.withColumn("fold", (rank % folds).cast("int")).drop("_draw", "_slice", "_before")
 
 
-def with_weights(df: DataFrame) -> DataFrame:
-    """Adds the row weight: negatives / positives on positive rows, 1 on negative rows."""
-    ratio = class_balance(df, TARGET).select("ratio").scalar()
-    weight = F.when(F.col(TARGET) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(1.0)
-    return df.withColumn(WEIGHT, weight)
-
-
 # --- model --------------------------------------------------------------------------
 
 
-def _stages(params: dict, clusters: int, seed: int) -> list:
-    """Missing numbers become 0 plus a flag; the cluster is a nominal feature with a
-    fixed set of values, the same at training and scoring time."""
-    parts = [f"COALESCE(NANVL(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D) AS _in_{c}" for c in CHURN_NUMERIC_FEATURES]
-    parts += [
-        f"CAST({c} IS NULL OR isnan(CAST({c} AS DOUBLE)) AS DOUBLE) AS _no_{c}"
-        for c in CHURN_NUMERIC_FEATURES
-    ]
-    parts.append("CAST(cluster_label AS STRING) AS _in_cluster")
-    inputs = (
-        [f"_in_{c}" for c in CHURN_NUMERIC_FEATURES]
-        + ["_cluster_index"]
-        + [f"_no_{c}" for c in CHURN_NUMERIC_FEATURES]
-    )
-    return [
-        SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"),
-        StringIndexerModel.from_labels(
-            [str(i) for i in range(clusters)],
-            inputCol="_in_cluster",
-            outputCol="_cluster_index",
-            handleInvalid="keep",
-        ),
-        VectorAssembler(inputCols=inputs, outputCol=_VECTOR),
-        GBTClassifier(
-            featuresCol=_VECTOR, labelCol=TARGET, weightCol=WEIGHT, seed=seed, **params
-        ),
-    ]
+def positive_weight(df: DataFrame) -> float:
+    """Negatives per positive: the weight of a positive row."""
+    return class_balance(df, TARGET).first()["ratio"] or 1.0
+
 
+def fit_churn(train: DataFrame, params: dict | None = None, seed: int = SEED) -> Ensemble:
+    """Fit on rows with features, ``cluster_label`` and ``Churned``; pass a stored table.
 
-def fit_churn(
-    train: DataFrame, params: dict | None = None, clusters: int = CLUSTER_COUNT, seed: int = SEED
-) -> PipelineModel:
-    """Fit on rows with features, ``cluster_label`` and ``Churned``; pass a stored table."""
+    Missing numbers are a side of their own in every split; the cluster is a category.
+    """
     require_columns(train, [*CHURN_FEATURES, TARGET])
-    stages = _stages(params or DEFAULT_PARAMS, clusters, seed)
-    return Pipeline(stages=stages).fit(with_weights(train))
+    run = Run({**DEFAULT_PARAMS, **(params or {})})
+    (model,) = boost(
+        train, [run], CHURN_NUMERIC_FEATURES, "cluster_label", TARGET, positive_weight(train), seed=seed
+    )
+    return model
 
 
-def predict_raw(df: DataFrame, model: PipelineModel) -> DataFrame:
+def predict_raw(df: DataFrame, model: Ensemble) -> DataFrame:
     """Adds the unrounded ``churn_raw`` and the 0/1 ``churn_prediction``."""
     require_columns(df, CHURN_FEATURES)
-    kept = df.columns
-    share: Column = vector_to_array(F.col("probability"))[1]
-    return model.transform(df).select(
-        *kept, share.alias(RAW), F.col("prediction").cast("int").alias("churn_prediction")
-    )
+    scored = model.score(df, RAW)
+    return scored.withColumn("churn_prediction", (F.col(RAW) > 0.5).cast("int"))
 
 
-def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
+def predict(df: DataFrame, model: Ensemble) -> DataFrame:
     """Adds ``churn_probability`` (four decimals) and the 0/1 ``churn_prediction``."""
     scored = predict_raw(df, model)
     return scored.select(
@@ -147,16 +108,9 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Share of impurity reduction per feature, largest first; a missing-value flag
-    counts towards its feature."""
-    scores = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-    n = len(CHURN_NUMERIC_FEATURES)
-    rows = [
-        (name, scores[i] + (scores[n + 1 + i] if i < n else 0.0))
-        for i, name in enumerate(CHURN_FEATURES)
-    ]
-    table = spark.createDataFrame(rows, "feature string, importance double")
+def feature_importance(spark: SparkSession, model: Ensemble) -> DataFrame:
+    """Mean gain of each feature's splits as a share of all, largest first."""
+    table = spark.createDataFrame(model.importance(), "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")
 
 
@@ -177,40 +131,59 @@ def draw_settings(space: dict[str, list], draws: int, seed: int = SEED) -> list[
     return settings
 
 
-def _fold_auc(model: PipelineModel, held_out: DataFrame) -> float:
-    return roc_auc(predict_raw(held_out, model), TARGET, RAW).first()["auc"]
-
-
 def random_search(
     train: DataFrame,
     draws: int = SEARCH_DRAWS,
     folds: int = SEARCH_FOLDS,
     space: dict[str, list] = SEARCH_SPACE,
-    clusters: int = CLUSTER_COUNT,
     seed: int = SEED,
-    parallel_fits: int = 4,
 ) -> list[tuple[dict, float]]:
     """Mean held-out AUC per drawn setting, best first. Pass a stored table.
 
-    Each fold is kept once for all settings; several fits share the cluster.
+    All settings and folds grow side by side over one table of binned rows, a job a level.
+    Settings that differ in their number of trees alone are one ensemble: its beginnings are
+    scored as it grows.
     """
-    settings = draw_settings(space, draws, seed)
+    settings = [{**DEFAULT_PARAMS, **s} for s in draw_settings(space, draws, seed)]
+    alike: dict[tuple, list[int]] = {}
+    for at, setting in enumerate(settings):
+        rest = tuple(sorted((k, v) for k, v in setting.items() if k != "n_estimators"))
+        alike.setdefault(rest, []).append(at)
+    groups = [
+        ({**settings[own[0]], "n_estimators": max(settings[i]["n_estimators"] for i in own)}, own)
+        for own in alike.values()
+    ]
+    runs = [Run(setting, fold) for setting, _ in groups for fold in range(folds)]
     totals = [0.0] * len(settings)
+
+    def judge(margins: DataFrame, numbers: list[int], trees: int) -> None:
+        wanted = {
+            run: [i for i in groups[run // folds][1] if settings[i]["n_estimators"] == trees] for run in numbers
+        }
+        if not any(wanted.values()):
+            return
+        held = ", ".join(str(runs[run].held_out) for run in numbers)
+        rows = margins.selectExpr("_y", "_fold", "posexplode(margins) AS (at, margin)")
+        aucs = roc_auc(rows.where(f"_fold = get(array({held}), at)"), "_y", "margin", keys=["at"])
+        for row in aucs.collect():  # a row per run
+            for i in wanted[numbers[row["at"]]]:
+                totals[i] += row["auc"] or 0.0
+
     folded = with_folds(train.select("driver_id", *CHURN_FEATURES, TARGET), folds, seed=seed)
-    for fold in range(folds):
-        inside = folded.filter(F.col("fold") != fold).persist(StorageLevel.MEMORY_AND_DISK)
-        outside = folded.filter(F.col("fold") == fold).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def run(setting: dict) -> float:
-            return _fold_auc(fit_churn(inside, setting, clusters, seed), outside)
-
-        try:
-            with ThreadPool(min(parallel_fits, len(settings))) as pool:
-                aucs = pool.map(inheritable_thread_target(train.sparkSession)(run), settings)
-        finally:
-            inside.unpersist()
-            outside.unpersist()
-        totals = [t + a for t, a in zip(totals, aucs)]
+    counts = sorted({s["n_estimators"] for s in settings})
+    with staged(folded, "folds") as rows:
+        boost(
+            rows,
+            runs,
+            CHURN_NUMERIC_FEATURES,
+            "cluster_label",
+            TARGET,
+            positive_weight(rows),
+            fold="fold",
+            seed=seed,
+            on_margins=judge,
+            stops=counts,
+        )
     ranked = [(setting, total / folds) for setting, total in zip(settings, totals)]
     return sorted(ranked, key=lambda entry: -entry[1])
 
@@ -230,12 +203,12 @@ def search_table(spark: SparkSession, ranked: list[tuple[dict, float]]) -> DataF
 
 @dataclass(frozen=True)
 class ChurnRun:
-    model: PipelineModel
+    model: Ensemble
     params: dict
     metrics: dict[str, float]
 
 
-def score_counts(df: DataFrame, model: PipelineModel) -> DataFrame:
+def score_counts(df: DataFrame, model: Ensemble) -> DataFrame:
     """Rows per side, label, prediction and unrounded score: the ensemble runs once per row,
     and accuracy, report and AUC all follow from these counts."""
     scored = predict_raw(df, model)
@@ -255,7 +228,7 @@ def _split_metrics(counts: DataFrame, name: str) -> dict[str, float]:
     }
 
 
-def evaluate(df: DataFrame, model: PipelineModel) -> dict[str, float]:
+def evaluate(df: DataFrame, model: Ensemble) -> dict[str, float]:
     """Accuracy, AUC, and precision, recall and F1 of churners on both sides of the split."""
     counts = score_counts(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -272,18 +245,16 @@ def train_churn(
     draws: int = SEARCH_DRAWS,
     folds: int = SEARCH_FOLDS,
     space: dict[str, list] = SEARCH_SPACE,
-    clusters: int = CLUSTER_COUNT,
     seed: int = SEED,
 ) -> ChurnRun:
     """Search on the training side, refit the best setting, evaluate both sides."""
     split = with_split(labelled, seed=seed)
     train = split.filter(~F.col("is_test"))
-    ranked = random_search(train, draws, folds, space, clusters, seed)
+    ranked = random_search(train, draws, folds, space, seed)
     params, cv_auc = ranked[0]
-    model = fit_churn(train, params, clusters, seed)
+    model = fit_churn(train, params, seed)
     metrics = {**evaluate(split, model), "cv_best_roc_auc": cv_auc}
-    ratio = class_balance(train, TARGET).first()["ratio"]
-    return ChurnRun(model, {**params, "scale_pos_weight": ratio}, metrics)
+    return ChurnRun(model, {**params, "scale_pos_weight": positive_weight(train)}, metrics)
 
 
 def flag_high_risk(df: DataFrame) -> DataFrame:

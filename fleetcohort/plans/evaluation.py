@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the score range that are ordered one by one.
-SCORE_SLICES = 4096
+#: Slices of the scores that are ordered one by one.
+SCORE_SLICES = 256
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -91,34 +93,44 @@ def classification_report(
     return derived.select(F.inline(F.array(*lines)))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve, ties averaged: one row (positives, negatives, auc).
+def roc_auc(
+    df: DataFrame, label: str, score: str, weight: str | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Area under the ROC curve, ties averaged: one row (positives, negatives, auc), or one for
+    each value of ``keys``.
 
-    Scores are probabilities and are compared unrounded. They are counted per value first, then
-    ordered inside slices of the score range; only the slices' totals (``SCORE_SLICES`` rows)
-    are ordered in one task. A NULL or NaN score is left out.
+    Scores are compared unrounded and may have any range. They are counted per value first, then
+    ordered inside slices cut at the scores' own quantiles, so that scores that lie close together
+    still spread over the slices; only the slices' totals are ordered in one task (a key's
+    ``SCORE_SLICES`` rows). A NULL or NaN score is left out.
     """
+    keys = list(keys)
     scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    by_score = scored.groupBy(F.col(score).cast("double").alias("_score")).agg(
+    by_score = scored.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         _rows(F.col(label) == 1, weight).alias("pos"), _rows(F.col(label) == 0, weight).alias("neg")
     )
-    place = F.floor(F.col("_score") * SCORE_SLICES)
-    sliced = by_score.withColumn(
-        "_slice", F.greatest(F.lit(0), F.least(F.lit(SCORE_SLICES - 1), place)).cast("int")
-    )
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy("_slice").agg(F.sum("neg").alias("_neg"))
+    steps = [i / SCORE_SLICES for i in range(1, SCORE_SLICES)]
+    cuts = F.percentile_approx("_score", F.lit(steps), 4 * SCORE_SLICES).alias("_cuts")
+    if keys:
+        guided = by_score.join(by_score.groupBy(*keys).agg(cuts), keys)
+    else:
+        guided = by_score.withColumn("_cuts", by_score.agg(cuts).scalar())
+    sliced = guided.withColumn("_slice", F.expr("size(filter(_cuts, c -> c < _score))")).drop("_cuts")
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("neg").alias("_neg"))
     starts = totals.select(
-        "_slice", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_before")
+        *keys, "_slice", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_before")
     )
-    below = Window.partitionBy("_slice").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys, "_slice").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn("_inside", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    ranked = ranked.join(starts, "_slice").withColumn(
+    ranked = ranked.join(starts, [*keys, "_slice"]).withColumn(
         "neg_below", F.col("_inside") + F.col("_before")
     )
     # A positive beats every negative below it and half of those it ties with.
     wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))
     pairs = F.col("positives").cast("double") * F.col("negatives")
-    return ranked.agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(wins).alias("wins")
-    ).select("positives", "negatives", (F.col("wins") / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return (
+        ranked.groupBy(*keys)
+        .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(wins).alias("wins"))
+        .select(*keys, "positives", "negatives", (F.col("wins") / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    )

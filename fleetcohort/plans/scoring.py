@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
+from fleetcohort.plans.boosting import Ensemble
 from fleetcohort.plans.churn import flag_high_risk, predict
 from fleetcohort.plans.segments import SegmentModel
 from fleetcohort.settings import CHURN_NUMERIC_FEATURES
 from fleetcohort.sources.raw import require_columns
 
 
-def score_drivers(drivers: DataFrame, segments: SegmentModel, churn: PipelineModel) -> DataFrame:
+def score_drivers(drivers: DataFrame, segments: SegmentModel, churn: Ensemble) -> DataFrame:
     """Adds cluster_label, persona, churn_probability and is_high_risk.
 
     The same path serves a weekly cohort and a table of what-if scenarios.

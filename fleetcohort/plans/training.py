@@ -29,7 +29,7 @@ def run_training(
     segments = fit_segments(features, clusters, starts, seed)
     write_table(segments.transform(features), f"{out}/clustered")
     clustered = open_required(spark, f"{out}/clustered")
-    run = train_churn(clustered, draws, folds, space, clusters, seed)
+    run = train_churn(clustered, draws, folds, space, seed)
     save_models(f"{out}/models", segments, run.model)
     append_run_log(spark, f"{out}/runs", run_id, run.params, run.metrics)
     return run

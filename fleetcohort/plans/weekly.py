@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcohort.plans import campaign, reports
+from fleetcohort.plans.boosting import Ensemble
 from fleetcohort.plans.cohort import weekly_cohort
 from fleetcohort.plans.scoring import score_drivers
 from fleetcohort.plans.segments import SegmentModel
@@ -26,7 +26,7 @@ def run_week(
     spark: SparkSession,
     history: DataFrame,
     segments: SegmentModel,
-    churn: PipelineModel,
+    churn: Ensemble,
     out: str,
     week: str,
     n: int = COHORT_SIZE,

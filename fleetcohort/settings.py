@@ -156,14 +156,13 @@ COHORT_TIER_WEIGHTS = {1: 0.45, 2: 0.30, 3: 0.15, 4: 0.10}
 
 # Churn model search space.
 SEARCH_SPACE = {
-    "maxIter": [100, 200, 300, 400, 500],
-    "stepSize": [0.01, 0.03, 0.05, 0.1, 0.2],
-    "maxDepth": [3, 4, 5, 6],
-    # Least gain of a split on this library's scale, impurity per row; the original's values,
-    # a loss reduction summed over rows, would leave no tree a single split.
-    "minInfoGain": [0.0, 0.0005, 0.002, 0.01],
-    "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
+    "n_estimators": [100, 200, 300, 400, 500],
+    "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.2],
+    "max_depth": [3, 4, 5, 6],
+    "gamma": [0.0, 0.1, 0.5, 1.0],
+    "subsample": [0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.7, 0.8, 0.9, 1.0],
+    "reg_lambda": [0.1, 1.0, 5.0, 10.0],
 }
 SEARCH_DRAWS = 50
 SEARCH_FOLDS = 5

@@ -1,31 +1,43 @@
-"""Model artefacts: one folder per fitted pipeline."""
+"""Model artefacts: one folder per fitted model."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from fleetcohort.plans.boosting import Ensemble
 from fleetcohort.plans.segments import SegmentModel, with_personas
 from fleetcohort.sources.raw import MissingSource
 
 
-def save_models(root: str, segments: SegmentModel, churn: PipelineModel) -> None:
+def save_models(root: str, segments: SegmentModel, churn: Ensemble) -> None:
+    """The segments' pipeline, the churn ensemble as one row of text, and its nodes as a table
+    to look into."""
+    spark = SparkSession.active()
     segments.pipeline.write().overwrite().save(f"{root}/segments")
-    churn.write().overwrite().save(f"{root}/churn")
+    whole = spark.createDataFrame([(churn.to_json(),)], "model string")
+    whole.write.mode("overwrite").parquet(f"{root}/churn")
+    churn.node_table(spark).write.mode("overwrite").parquet(f"{root}/churn_nodes")
 
 
-def _is_saved(spark: SparkSession, path: str) -> bool:
+def _is_saved(read: Callable[[], DataFrame]) -> bool:
     try:
-        return not spark.read.text(f"{path}/metadata").isEmpty()
+        return not read().isEmpty()
     except AnalysisException:
         return False
 
 
-def load_models(spark: SparkSession, root: str) -> tuple[SegmentModel, PipelineModel]:
+def load_models(spark: SparkSession, root: str) -> tuple[SegmentModel, Ensemble]:
     """Both models, or an error naming what is missing. Personas are derived again."""
-    paths = [f"{root}/segments", f"{root}/churn"]
-    missing = [p for p in paths if not _is_saved(spark, p)]
+    paths = {
+        f"{root}/segments": lambda: spark.read.text(f"{root}/segments/metadata"),
+        f"{root}/churn": lambda: spark.read.parquet(f"{root}/churn"),
+    }
+    missing = [path for path, read in paths.items() if not _is_saved(read)]
     if missing:
         raise MissingSource(f"no model at {', '.join(missing)}; fit the models first")
-    return with_personas(PipelineModel.load(paths[0])), PipelineModel.load(paths[1])
+    churn = Ensemble.from_json(spark.read.parquet(f"{root}/churn").first()["model"])
+    return with_personas(PipelineModel.load(f"{root}/segments")), churn

@@ -65,7 +65,7 @@ def segment_model(history):
 @pytest.fixture(scope="module")
 def churn_model(history, segment_model):
     clustered = stage(segment_model.transform(history), "clustered")
-    return churn.fit_churn(clustered, {"maxIter": 10, "maxDepth": 3})
+    return churn.fit_churn(clustered, {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3})
 
 
 @pytest.fixture(scope="module")
@@ -148,8 +148,8 @@ def test_search_draws_are_distinct_and_stable():
 
 def test_training_run(spark, history, segment_model, tmp_path):
     clustered = stage(segment_model.transform(history), "train")
-    space = {"maxIter": [3], "maxDepth": [2, 3], "stepSize": [0.1]}
-    run = churn.train_churn(clustered, draws=2, folds=2, space=space)
+    space = {"n_estimators": [2, 3], "max_depth": [2, 3], "learning_rate": [0.3]}
+    run = churn.train_churn(clustered, draws=4, folds=2, space=space)
     assert run.metrics.keys() == {
         f"{side}_{m}"
         for side in ("train", "test")
@@ -319,13 +319,13 @@ def test_folds_are_balanced_within_each_class(spark):
         assert len(own) == 5 and max(own) - min(own) <= 1
 
 
-@pytest.mark.parametrize("gain", SEARCH_SPACE["minInfoGain"])
-def test_every_gain_of_the_search_still_splits(scored, gain):
+@pytest.mark.parametrize("gamma", SEARCH_SPACE["gamma"])
+def test_every_gamma_of_the_search_still_splits(scored, gamma):
     earnings = "avg_earnings_per_hour_online"
     (median,) = scored.approxQuantile(earnings, [0.5], 0.01)
     planted = scored.withColumn("Churned", F.coalesce(F.col(earnings) > median, F.lit(False)).cast("int"))
-    model = churn.fit_churn(planted, {"maxIter": 2, "maxDepth": 3, "minInfoGain": gain})
-    assert all(tree.numNodes > 1 for tree in model.stages[-1].trees[:1])
+    model = churn.fit_churn(planted, {"n_estimators": 1, "max_depth": 2, "gamma": gamma})
+    assert model.trees[0].feature[1] == CHURN_NUMERIC_FEATURES.index(earnings)
 
 
 def test_lift(spark):
@@ -426,7 +426,7 @@ def test_command_line_end_to_end(spark, tiny, tmp_path, capsys, monkeypatch):
     cli.run(spark, ["quality", raw])
     assert "domain of trip_type" in capsys.readouterr().out
     cli.run(spark, ["features", raw, table])
-    quick = {"maxIter": [3], "maxDepth": [2, 3]}
+    quick = {"n_estimators": [2], "max_depth": [2, 3]}
     monkeypatch.setattr(
         cli,
         "run_training",
