@@ -134,7 +134,7 @@ def _invariants(s, d):
     scores = written_once(
         s, d, "fitted-scores", lambda *_: scoring.score_drivers(features, segment_model, model)
     )
-    centres = segments.centroids_in_units(segment_model.pipeline)
+    centres = segments.centroids_in_units(segment_model.scale, segment_model.centres)
     rules = segments.persona_rules(centres).select("cluster_label", F.col("persona").alias("rule"))
     named = scores.join(rules, "cluster_label", "left")
     share = F.col("churn_probability")
@@ -147,23 +147,17 @@ def _invariants(s, d):
             persona_differs_from_the_rule=~F.col("persona").eqNullSafe(F.col("rule")),
         )
     ]
-    # The nearest centre, in units of the scaler's deviations.
-    scaler = segment_model.pipeline.stages[-2]
-    spread = dict(zip(segments.CLUSTERING_FEATURES, [float(x) for x in scaler.std], strict=True))
+    # Every centre, without the array functions that chose the label.
     far = [
         sum(
-            (
-                F.pow((segments.filled(c) - F.lit(float(centre[c]))) / spread[c], 2)
-                for c in segments.CLUSTERING_FEATURES
-                if spread[c]
-            ),
+            (F.pow(F.col("_at")[i] - F.lit(x), 2) for i, x in enumerate(centre)),
             F.lit(0.0),
         )
-        for centre in centres.orderBy("cluster_label").collect()  # k rows
+        for centre in segment_model.centres
     ]
-    distances = scores.withColumn("_far", F.array(*far))
+    distances = scores.withColumn("_at", segment_model.scale.vector()).withColumn("_far", F.array(*far))
     own = F.get("_far", F.col("cluster_label"))
-    parts.append(_checks(distances, label_is_not_the_nearest=own > F.array_min("_far") + 1e-6))
+    parts.append(_checks(distances, label_is_not_the_nearest=own > F.array_min("_far")))
     importance = churn.feature_importance(s, model).agg(
         F.lit("importances sum to").alias("check"),
         round_half_even(F.sum("importance"), 9).alias("value"),

@@ -20,7 +20,7 @@ from fleetcohort.functions.temporal import (
     local_epoch_seconds,
     seconds_between,
 )
-from fleetcohort.operators.ordering import range_segments, segment_neighbours
+from fleetcohort.operators.ordering import calendar_segment, segment_neighbours
 from fleetcohort.settings import FEATURE_COLUMNS, PREMIUM_TRIP_TYPES
 from fleetcohort.sources.raw import RawLogs
 
@@ -76,8 +76,12 @@ def session_totals(sessions: DataFrame) -> DataFrame:
     """
     order = ["session_start", "session_id"]
     previous, is_last = segment_neighbours(KEY, order)
-    inside = range_segments(
-        sessions.select(KEY, "session_id", "session_start", "session_end"), KEY, order
+    inside = sessions.select(
+        KEY,
+        calendar_segment(F.col("session_start")).alias("segment"),
+        "session_id",
+        "session_start",
+        "session_end",
     ).select(
         "segment",
         KEY,
@@ -92,7 +96,7 @@ def session_totals(sessions: DataFrame) -> DataFrame:
             "seconds": seconds_between(F.col("session_start"), F.col("session_end")),
         }
     )
-    parts = measured.groupBy("segment", KEY).agg(
+    parts = measured.groupBy(KEY, "segment").agg(
         F.min("session_start").alias("first_start"),
         F.max(F.when(F.col("is_last"), F.col("session_end"))).alias("last_end"),
         F.sum("seconds").alias("seconds"),
@@ -101,7 +105,7 @@ def session_totals(sessions: DataFrame) -> DataFrame:
         F.sum("gap").alias("gap_sum"),
         F.sum(F.col("gap") * F.col("gap")).alias("gap_squares"),
     )
-    # At most one row per partition that holds the driver: a short window.
+    # One row per segment that holds the driver: a short window.
     chain = Window.partitionBy(KEY).orderBy("segment")
     seam = hours_between(F.lag("last_end").over(chain), F.col("first_start"))
     return (

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.pipeline import Pipeline
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcohort.functions.mapping import map_codes
 from fleetcohort.functions.numeric import real
+from fleetcohort.plans.kmeans import Scale, best_of, constant, fit_all, fit_scale, nearest
 from fleetcohort.settings import (
     CASUAL,
     CLUSTER_COUNT,
@@ -31,8 +27,6 @@ from fleetcohort.settings import (
 from fleetcohort.sources.raw import require_columns
 
 LABEL = "cluster_label"
-PARALLEL_FITS = 5
-_WORK = ["cluster_raw", "cluster_scaled"]
 
 
 def filled(column: str) -> Column:
@@ -89,94 +83,54 @@ def cluster_profile(labelled: DataFrame, label: str = LABEL) -> DataFrame:
 
 @dataclass(frozen=True)
 class SegmentModel:
-    """Scaler and k-means as one pipeline, plus its persona per cluster."""
+    """Scale and centres, plus the persona of each cluster."""
 
-    pipeline: PipelineModel
+    scale: Scale
+    centres: list[list[int]]
     personas: dict[int, str]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``cluster_label`` and ``persona``."""
         require_columns(df, CLUSTERING_FEATURES)
-        labelled = self.pipeline.transform(df).drop(*_WORK)
-        keep = [c for c in labelled.columns if not c.startswith("_fill_")]
-        return labelled.select(*keep).withColumn("persona", map_codes(F.col(LABEL), self.personas))
-
-
-def _preparation() -> list:
-    fills = ", ".join(
-        f"COALESCE(NANVL(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D) AS _fill_{c}" for c in CLUSTERING_FEATURES
-    )
-    return [
-        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_fill_{c}" for c in CLUSTERING_FEATURES], outputCol=_WORK[0]),
-        StandardScaler(inputCol=_WORK[0], outputCol=_WORK[1], withMean=True, withStd=True),
-    ]
-
-
-def _scaled_vectors(features: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    preparation = Pipeline(stages=_preparation()).fit(features)
-    vectors = preparation.transform(features).select(_WORK[1])
-    return preparation, vectors.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _kmeans(k: int, seed: int) -> KMeans:
-    return KMeans(k=k, seed=seed, featuresCol=_WORK[1], predictionCol=LABEL, initMode="k-means||")
-
-
-def _fit_all(vectors: DataFrame, runs: list[tuple[int, int]]) -> list[KMeansModel]:
-    """One model per (k, seed); several fits share the cluster and the kept vectors."""
-    vectors.count()  # keep the vectors once, before the fits read them side by side
+        label = F.expr(f"{nearest(constant(self.centres, 'array<array<bigint>>'))}.c")
+        labelled = df.withColumn("_v", self.scale.vector()).withColumn(LABEL, label).drop("_v")
+        return labelled.withColumn("persona", map_codes(F.col(LABEL), self.personas))
 
-    def fit(run: tuple[int, int]) -> KMeansModel:
-        return _kmeans(*run).fit(vectors)
+    def to_json(self) -> str:
+        return json.dumps({"scale": asdict(self.scale), "centres": self.centres})
 
-    with ThreadPool(min(PARALLEL_FITS, len(runs))) as pool:
-        return pool.map(inheritable_thread_target(vectors.sparkSession)(fit), runs)
+    @classmethod
+    def from_json(cls, text: str) -> SegmentModel:
+        parts = json.loads(text)
+        return with_personas(Scale(**parts["scale"]), parts["centres"])
 
 
-def centroids_in_units(pipeline: PipelineModel) -> DataFrame:
-    """Cluster centres of a fitted pipeline back in original units: k rows."""
-    scaler, kmeans = pipeline.stages[-2], pipeline.stages[-1]
-    mean, std = scaler.mean, scaler.std
-    rows = [
-        (label, *[float(c * s + m) for c, s, m in zip(centre, std, mean)])
-        for label, centre in enumerate(kmeans.clusterCenters())
-    ]
+def centroids_in_units(scale: Scale, centres: list[list[int]]) -> DataFrame:
+    """Cluster centres back in original units: k rows."""
+    rows = [(label, *scale.in_units(centre)) for label, centre in enumerate(centres)]
     schema = f"{LABEL} int, " + ", ".join(f"{c} double" for c in CLUSTERING_FEATURES)
     return SparkSession.active().createDataFrame(rows, schema)
 
 
-def with_personas(pipeline: PipelineModel) -> SegmentModel:
+def with_personas(scale: Scale, centres: list[list[int]]) -> SegmentModel:
     """Personas are derived from the centroids each time: cluster numbers carry no meaning."""
-    named = persona_rules(centroids_in_units(pipeline)).collect()  # k rows
-    return SegmentModel(pipeline, {row[LABEL]: row["persona"] for row in named})
+    named = persona_rules(centroids_in_units(scale, centres)).collect()  # k rows
+    return SegmentModel(scale, centres, {row[LABEL]: row["persona"] for row in named})
 
 
 def fit_segments(
     features: DataFrame, k: int = CLUSTER_COUNT, starts: int = CLUSTER_STARTS, seed: int = SEED
 ) -> SegmentModel:
     """Best of several k-means starts. Pass a stored feature table: it is read repeatedly."""
-    preparation, vectors = _scaled_vectors(features)
-    try:
-        fits = _fit_all(vectors, [(k, seed + i) for i in range(starts)])
-        best = min(fits, key=lambda model: model.summary.trainingCost)
-    finally:
-        vectors.unpersist()
-    return with_personas(PipelineModel([*preparation.stages, best]))
+    scale = fit_scale(features, CLUSTERING_FEATURES)
+    return with_personas(scale, best_of(fit_all(features, scale, [k], starts, seed)).centres)
 
 
 def elbow(
     features: DataFrame, ks: range = range(2, 9), starts: int = CLUSTER_STARTS, seed: int = SEED
 ) -> DataFrame:
     """Training cost of the best start per number of clusters."""
-    _, vectors = _scaled_vectors(features)
-    try:
-        runs = [(k, seed + i) for k in ks for i in range(starts)]
-        least: dict[int, float] = {}
-        for (k, _), model in zip(runs, _fit_all(vectors, runs)):
-            cost = float(model.summary.trainingCost)
-            least[k] = min(cost, least.get(k, cost))
-        costs = sorted(least.items())
-    finally:
-        vectors.unpersist()
+    scale = fit_scale(features, CLUSTERING_FEATURES)
+    fits = fit_all(features, scale, list(ks), starts, seed)
+    costs = [(k, best_of([f for f in fits if f.k == k]).cost) for k in ks]
     return features.sparkSession.createDataFrame(costs, "k int, training_cost double")

@@ -36,7 +36,8 @@ def run_week(
     """Run one week and return its report tables.
 
     Tables under ``out``: weekly_cohort and scored_cohort (``week`` partitions, a re-run
-    replaces its week), nudges and outbox (same) and dispatch_log (append only). ``history`` is a
+    replaces its week), nudges and outbox (same) and dispatch_log (one batch a week, however often
+    it is run). ``history`` is a
     stored feature table, with ``persona`` if the benchmarks should use it.
     """
     write_week(weekly_cohort(spark, history, week, n, seed), f"{out}/weekly_cohort")
@@ -48,7 +49,7 @@ def run_week(
         write_week(messages.withColumn("week", F.lit(week)), f"{out}/nudges")
         written = stored_week(spark, f"{out}/nudges", week)
         write_week(campaign.outbox(written).withColumn("week", F.lit(week)), f"{out}/outbox")
-        append_dispatch_log(stored_week(spark, f"{out}/outbox", week), f"{out}/dispatch_log")
+        append_dispatch_log(stored_week(spark, f"{out}/outbox", week), f"{out}/dispatch_log", batch=week)
         write_week(campaign.mark_nudged(scored, written), f"{out}/scored_cohort")
     final = stored_week(spark, f"{out}/scored_cohort", week)
     return {

@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from fleetcohort.plans.boosting import Ensemble
-from fleetcohort.plans.segments import SegmentModel, with_personas
+from fleetcohort.plans.segments import SegmentModel
 from fleetcohort.sources.raw import MissingSource
 
 
 def save_models(root: str, segments: SegmentModel, churn: Ensemble) -> None:
-    """The segments' pipeline, the churn ensemble as one row of text, and its nodes as a table
-    to look into."""
+    """Each model as one row of text, and the ensemble's nodes as a table to look into."""
     spark = SparkSession.active()
-    segments.pipeline.write().overwrite().save(f"{root}/segments")
-    whole = spark.createDataFrame([(churn.to_json(),)], "model string")
-    whole.write.mode("overwrite").parquet(f"{root}/churn")
+    for name, model in (("segments", segments), ("churn", churn)):
+        whole = spark.createDataFrame([(model.to_json(),)], "model string")
+        whole.write.mode("overwrite").parquet(f"{root}/{name}")
     churn.node_table(spark).write.mode("overwrite").parquet(f"{root}/churn_nodes")
 
 
-def _is_saved(read: Callable[[], DataFrame]) -> bool:
+def _read(spark: SparkSession, path: str) -> str | None:
     try:
-        return not read().isEmpty()
+        row = spark.read.parquet(path).first()
     except AnalysisException:
-        return False
+        return None
+    return row["model"] if row else None
 
 
 def load_models(spark: SparkSession, root: str) -> tuple[SegmentModel, Ensemble]:
     """Both models, or an error naming what is missing. Personas are derived again."""
-    paths = {
-        f"{root}/segments": lambda: spark.read.text(f"{root}/segments/metadata"),
-        f"{root}/churn": lambda: spark.read.parquet(f"{root}/churn"),
-    }
-    missing = [path for path, read in paths.items() if not _is_saved(read)]
+    found = {path: _read(spark, path) for path in (f"{root}/segments", f"{root}/churn")}
+    missing = [path for path, text in found.items() if text is None]
     if missing:
         raise MissingSource(f"no model at {', '.join(missing)}; fit the models first")
-    churn = Ensemble.from_json(spark.read.parquet(f"{root}/churn").first()["model"])
-    return with_personas(PipelineModel.load(f"{root}/segments")), churn
+    segments, churn = found.values()
+    return SegmentModel.from_json(segments), Ensemble.from_json(churn)

@@ -73,6 +73,15 @@ DISPATCH_LOG = _table(
     ("error", T.StringType()),
 )
 
+#: Stored log rows: with the batch and the attempt they were written by.
+DISPATCH_ROWS = T.StructType(
+    [*DISPATCH_LOG.fields, T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType())]
+)
+
+DISPATCH_MANIFEST = _table(
+    ("batch", T.StringType()), ("attempt", T.StringType()), ("committed", T.TimestampType())
+)
+
 RUN_LOG = _table(
     ("run_id", T.StringType()),
     ("kind", T.StringType()),

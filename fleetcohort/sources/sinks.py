@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcohort.sources import schemas
-from fleetcohort.sources.raw import open_optional
+from fleetcohort.sources.raw import open_optional, open_required
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -27,13 +29,36 @@ def write_week(df: DataFrame, path: str) -> None:
     )
 
 
-def append_dispatch_log(outbox: DataFrame, path: str, stamp: Column | None = None) -> None:
-    """Append one batch of dispatch rows, stamped at write time or with ``stamp``."""
+def append_dispatch_log(
+    outbox: DataFrame, path: str, stamp: Column | None = None, batch: str | None = None
+) -> None:
+    """Add a batch of dispatch rows, stamped at write time or with ``stamp``, exactly once.
+
+    Rows of an attempt are written first, then the attempt is entered in the log's manifest.
+    Readers follow the manifest: an attempt that died half-way is never seen, and when a batch
+    (a week) is run again its newest attempt stands for it. Without a name every call is a batch
+    of its own.
+    """
+    attempt = uuid.uuid4().hex
+    write_attempt(outbox, path, batch or attempt, attempt, stamp)
+    entry = [(batch or attempt, attempt)]
+    (
+        outbox.sparkSession.createDataFrame(entry, "batch string, attempt string")
+        .withColumn("committed", F.current_timestamp())
+        .coalesce(1)
+        .write.mode("append")
+        .parquet(f"{path}/manifest")
+    )
+
+
+def write_attempt(outbox: DataFrame, path: str, batch: str, attempt: str, stamp: Column | None = None) -> None:
+    """The rows of an attempt, not yet part of the log."""
     (
         outbox.withColumn("timestamp", F.current_timestamp() if stamp is None else stamp)
-        .select(*schemas.DISPATCH_LOG.fieldNames())
+        .select(*schemas.DISPATCH_LOG.fieldNames(), F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"))
         .write.mode("append")
-        .parquet(path)
+        .partitionBy("batch", "attempt")
+        .parquet(f"{path}/rows")
     )
 
 
@@ -42,11 +67,16 @@ def newest_first(log: DataFrame) -> DataFrame:
 
 
 def read_dispatch_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows, newest first; an absent log is an empty one."""
-    log = open_optional(spark, path, schema=schemas.DISPATCH_LOG)
-    if log is None:
-        log = spark.createDataFrame([], schemas.DISPATCH_LOG)
-    return newest_first(log)
+    """Rows of each batch's newest committed attempt, newest first; an absent log is empty."""
+    manifest = open_optional(spark, f"{path}/manifest", schema=schemas.DISPATCH_MANIFEST)
+    if manifest is None:
+        return newest_first(spark.createDataFrame([], schemas.DISPATCH_LOG))
+    newest = F.max_by("attempt", F.struct("committed", "attempt"))
+    # A row per batch; the join prunes the folders of other attempts.
+    standing = manifest.groupBy("batch").agg(newest.alias("attempt"))
+    rows = open_required(spark, f"{path}/rows", schema=schemas.DISPATCH_ROWS)
+    kept = rows.join(standing, ["batch", "attempt"], "left_semi")
+    return newest_first(kept.select(*schemas.DISPATCH_LOG.fieldNames()))
 
 
 def append_run_log(

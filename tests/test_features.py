@@ -261,15 +261,10 @@ def test_heavy_driver_is_spread_and_exact(spark):
     )
     both = heavy.unionAll(light)
     both.createOrReplaceTempView("skewed_sessions")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        from fleetcohort.operators.ordering import range_segments
+    from fleetcohort.operators.ordering import calendar_segment
 
-        spread = range_segments(both, "driver_id", ["session_start", "session_id"])
-        heavy_rows = spread.filter("driver_id = 'heavy'").groupBy("segment").count().collect()
-        assert max(r["count"] for r in heavy_rows) < 12_000
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+    spread = both.where("driver_id = 'heavy'").groupBy(calendar_segment(F.col("session_start"))).count()
+    assert max(r["count"] for r in spread.collect()) < 4_000
     got = by_driver(features.session_regularity(both))
     plain = spark.sql(
         """SELECT driver_id, coalesce(stddev_samp(gap), 0D) AS r, count(*) AS n FROM (
@@ -286,6 +281,27 @@ def test_heavy_driver_is_spread_and_exact(spark):
         assert row["session_regularity"] == pytest.approx(expected[key]["r"], abs=1e-9)
 
 
+def test_gaps_over_empty_weeks_and_rows_without_a_start(spark):
+    rows = [
+        ("s1", "a", "2024-01-01 10:00:00", "2024-01-01 11:00:00"),
+        ("s2", "a", "2024-05-01 10:00:00", "2024-05-01 11:00:00"),  # 121 days later
+        ("s3", "a", "2024-05-01 12:00:00", "2024-05-20 11:00:00"),
+        ("s4", "a", "2024-05-20 13:00:00", "2024-05-20 14:00:00"),
+        ("s5", "b", None, "2024-01-01 00:00:00"),
+        ("s6", "b", "2024-01-01 03:00:00", None),
+        ("s7", "b", "2024-03-01 03:00:00", "2024-03-01 04:00:00"),
+    ]
+    table = spark.createDataFrame(rows, "session_id string, driver_id string, s string, e string").select(
+        "session_id", "driver_id", F.col("s").cast("timestamp_ntz").alias("session_start"), F.col("e").cast("timestamp_ntz").alias("session_end")
+    )
+    totals = by_driver(features.session_totals(table))
+    gaps = [121 * 24 - 1, 1, 2]
+    assert (totals["a"]["gap_count"], totals["a"]["gap_sum"]) == (3, sum(gaps))
+    assert totals["a"]["gap_squares"] == sum(g * g for g in gaps)
+    # From the row without a start to the first one; the row without an end leaves no gap after it.
+    assert (totals["b"]["gap_count"], totals["b"]["gap_sum"], totals["b"]["session_count"]) == (1, 3, 3)
+
+
 # Local New York times and whether they are peak.
 PEAKS = [
     ("2024-06-08 02:59:59", True),  # Saturday

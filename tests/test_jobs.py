@@ -409,6 +409,9 @@ def test_weekly_job(spark, history, scored, segment_model, churn_model, tmp_path
     run("2024-06-10")
     again = run(WEEK)["summary"].first()
     assert again == summary
+    # One row a message, though the week was run twice.
+    sent = spark.read.parquet(f"{out}/outbox").count()
+    assert sinks.read_dispatch_log(spark, f"{out}/dispatch_log").count() == sent
     stored = spark.read.parquet(f"{out}/scored_cohort")
     assert stored.count() == 400
     assert stored.filter("nudge_sent AND ab_group <> 'nudge'").count() == 0

@@ -68,3 +68,12 @@ def test_weeks_are_pruned(spark, tmp_path):
     week = stored_week(spark, str(tmp_path / "t"), "2024-06-03")
     assert week.count() == 5
     assert re.search(r"PartitionFilters: \[[^\]]*week", plan_of(week))
+
+
+def test_session_gaps_take_one_exchange_of_the_sessions(spark, tiny):
+    from fleetcohort.plans.features import session_totals
+
+    plan = plan_of(session_totals(fixture.sessions(spark, tiny)))
+    assert "rangepartitioning" not in plan
+    by_segment = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "segment" in x]
+    assert len(by_segment) == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) == 2

@@ -94,6 +94,29 @@ def test_dispatch_log_appends_and_reads_newest_first(spark, tmp_path):
     assert rows[0].asDict().keys() == set(schemas.DISPATCH_LOG.fieldNames())
 
 
+def test_dispatch_log_counts_a_batch_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "recipient string, subject string, type string, status string, error string"
+
+    def outbox(*names):
+        return spark.createDataFrame([(n, "s", "nudge:X", "skipped", "") for n in names], schema)
+
+    def logged():
+        return sorted(r["recipient"] for r in sinks.read_dispatch_log(spark, path).collect())
+
+    # An attempt that died before its commit is not there, nor after its retry.
+    sinks.write_attempt(outbox("a", "b"), path, "2024-06-03", "died")
+    assert logged() == []
+    sinks.append_dispatch_log(outbox("a", "b"), path, batch="2024-06-03")
+    assert logged() == ["a", "b"]
+    sinks.append_dispatch_log(outbox("c"), path, batch="2024-06-10")
+    # A re-run stands for the week, whatever it sends now; another batch stays.
+    sinks.append_dispatch_log(outbox("b", "d", "e"), path, batch="2024-06-03")
+    assert logged() == ["b", "c", "d", "e"]
+    sinks.append_dispatch_log(outbox(), path, batch="2024-06-03")
+    assert logged() == ["c"]
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "runs")
     sinks.append_run_log(spark, path, "r1", {"maxDepth": 4}, {"auc": 0.75})
