@@ -17,7 +17,7 @@ from fleetcohort.functions.text import title_label
 from fleetcohort.plans import campaign, cohort, profile, reports
 from fleetcohort.settings import CALIBRATED_FEATURES, CLUSTERING_FEATURES, COHORT_COLUMNS
 from fleetcohort.sources import fixture
-from fleetcohort.sources.sinks import append_dispatch_log, read_dispatch_log
+from fleetcohort.sources.sinks import append_dispatch_log, read_dispatch_log, write_by_key
 from fleetcohort.sources.staging import staging_root
 
 WEEK = "2024-06-03"
@@ -52,6 +52,16 @@ def _dispatch_log(s, d):
     return read_dispatch_log(s, path).withColumn("timestamp", F.col("timestamp").cast("string"))
 
 
+def _record(s, d):
+    """One driver (the last by id) out of the scored table as it is stored for look-ups."""
+    columns = ["driver_id", "persona", "churn_probability", "is_high_risk"]
+    scored = scored_drivers(s, d).select(columns)
+    path = f"{staging_root(s)}/fleetcohort/{s.sparkContext.applicationId}/lookup-{uuid.uuid4().hex}"
+    write_by_key(scored, path, "driver_id")
+    wanted = scored.agg(F.max("driver_id")).first()[0]
+    return reports.driver_record(s.read.schema(scored.schema).parquet(path), wanted)
+
+
 def _cohort(s, d):
     ids = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("row_id"))
     return cohort.synthesize(ids, stored_features(s, d), WEEK, SEED)
@@ -101,6 +111,7 @@ QUERIES = {
     "nudge_sent_flag": lambda s, d: _marked(s, d).select("driver_id", "nudge_sent"),
     "run_summary": lambda s, d: campaign.run_summary(_marked(s, d)),
     "dispatch_log_newest": _dispatch_log,
+    "driver_record": _record,
     "cohort_calibration": _calibration,
     "cohort_synthetic": _cohort,
     "label_titles": _labels,
@@ -366,6 +377,10 @@ ORACLE = {
                   (count(*) FILTER (persona = 'Pro-Optimizer'))::BIGINT AS pro_count
            FROM marked"""
     ),
+    "driver_record": chain(
+        """SELECT driver_id, persona, churn_probability, is_high_risk FROM scored
+           WHERE driver_id = (SELECT max(driver_id) FROM scored)"""
+    ),
     "dispatch_log_newest": chain(
         """SELECT signup_date::TIMESTAMP::VARCHAR AS "timestamp",
                   driver_id || '@drivers.example' AS recipient, subject,
@@ -408,7 +423,7 @@ ORACLE = {
     "fingerprint_clusters": chain(_fingerprint_sql("cluster_label", CLUSTER_METRICS)),
     "maturity_gap": chain(_GAP),
     "earnings_composition": chain(
-        f"""SELECT persona, component, {rounded("avg(pct)", 6)} AS pct
+        f"""SELECT persona, component, {rounded("avg(pct)", 6)} AS pct, NULL::VARCHAR AS note
             FROM (SELECT persona, unnest(['Organic (Fare + Tip)', 'Inorganic (Quest Bonuses)'])
                            AS component,
                          unnest([organic / nullif(organic + extra, 0) * 100,

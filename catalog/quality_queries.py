@@ -95,13 +95,15 @@ QUERIES = {
 
 
 def _kde(s, d):
+    """Density times bandwidth has no unit, so nine places say as much of every column."""
     features = stored_features(s, d)
     grid = profile.density(features, numeric_columns(features, exclude=NOT_PROFILED))
     return grid.select(
         "column",
         "point",
         round_half_even(F.col("x"), 3).alias("x"),
-        round_half_even(F.col("density") * 1000, 3).alias("density_per_mille"),
+        round_half_even(F.col("density") * F.col("bandwidth"), 9).alias("density_times_bandwidth"),
+        round_half_even(F.col("bandwidth"), 6).alias("bandwidth"),
     )
 
 
@@ -288,9 +290,9 @@ ORACLE = {
     ),
     "kde_grid": sql(
         f"""SELECT "column", point, {rounded("low + (high - low) / 199 * point", 3)} AS x,
-                   {rounded("1000 * sum(exp(-0.5 * pow((low + (high - low) / 199 * point - v) / h, 2)))"
-                            " / (any_value(n) * any_value(h) * sqrt(2 * pi()))", 3)}
-                     AS density_per_mille
+                   {rounded("sum(exp(-0.5 * pow((low + (high - low) / 199 * point - v) / h, 2)))"
+                            " / (any_value(n) * sqrt(2 * pi()))", 9)} AS density_times_bandwidth,
+                   {rounded("any_value(h)", 6)} AS bandwidth
             FROM (SELECT *, unnest(range(200))::INT AS point,
                          sd * pow(n::DOUBLE, -0.2) AS h
                   FROM (SELECT "column", min(v) AS low, max(v) AS high, count(v) AS n,

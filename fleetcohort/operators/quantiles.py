@@ -1,10 +1,10 @@
 """Exact quantiles without gathering a group in one task.
 
-``percentile`` keeps every distinct value of a group in one task. Here a mergeable
-sketch only proposes cut points around each wanted quantile; exact counts between
-the cuts then tell which interval holds which rank, and only the rows of those
-intervals (a few in ten thousand) are sorted. The result is exact whatever the
-quality of the sketch: a poor cut makes an interval larger, never wrong.
+``percentile`` keeps every distinct value of a group in one task. Here values are counted once;
+the distinct values are then cut into slices at their own approximate quantiles, so however
+close together values lie, a slice holds about one ``SLICES``-th of them. The slices' counts
+tell which slice holds which rank, and only the wanted slices are ordered, each by itself. The
+result is exact whatever the quality of the cuts: a poor cut makes a slice longer, never wrong.
 """
 
 from __future__ import annotations
@@ -12,15 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-MARGIN = 2.0 / ACCURACY
-
-
-def _cuts(probabilities: list[float]) -> list[float]:
-    edges = set()
-    for p in probabilities:
-        edges |= {max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)}
-    return sorted(edges)
+SLICES = 128
 
 
 def exact_quantiles(
@@ -28,52 +20,51 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with one column per quantile; NULL values are ignored.
 
-    One row per group is broadcast, so ``keys`` must hold values the caller enumerates
-    (profiled columns, listed labels); no keys means the whole table. ``df`` is read
-    three times: pass a stored table.
+    There may be any number of keys: all joins are by key, and what is small enough to be
+    broadcast is found out at run time. No keys means the whole table.
     """
-    edges = _cuts(list(quantiles.values()))
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    guide = rows.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_cuts"))
+    # 1. Count each value.
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
 
-    # 1. Interval of every row: cuts below it plus cuts at or below it. A value equal to a
-    # cut is an interval of its own, so a very frequent value drags no neighbours along.
+    # 2. Slice of every value: the cuts below it.
+    steps = [i / SLICES for i in range(1, SLICES)]
+    cuts = F.percentile_approx("_v", F.lit(steps), 4 * SLICES).alias("_cuts")
     if keys:
-        guided = rows.join(F.broadcast(guide), keys)
+        guided = counts.join(counts.groupBy(*keys).agg(cuts), keys)
     else:
-        guided = rows.withColumn("_cuts", guide.scalar())
-    passed = " + ".join(
-        f"CAST(_v > _cuts[{i}] AS INT) + CAST(_v >= _cuts[{i}] AS INT)" for i in range(len(edges))
-    )
-    placed = guided.select(*keys, "_v", F.expr(passed).alias("_i"))
+        guided = counts.withColumn("_cuts", counts.agg(cuts).scalar())
+    sliced = guided.withColumn("_i", F.expr("size(filter(_cuts, cut -> cut < _v))")).drop("_cuts")
 
-    # 2. Exact rank range of every interval; at most 4 * len(quantiles) + 1 per key.
+    # 3. Exact rank range of every slice; at most SLICES rows per key.
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     positions = [f"(_n - 1) * {float(p)!r}D" for p in quantiles.values()]
     wanted = ", ".join(f"{end}({at})" for at in positions for end in ("floor", "ceil"))
-    intervals = (
-        placed.groupBy(*keys, "_i")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_n", F.sum("_c").over(by_key))
-        .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+    located = (
+        sliced.groupBy(*keys, "_i")
+        .agg(F.sum("_c").alias("_s"))
+        .withColumn("_n", F.sum("_s").over(by_key))
+        .withColumn("_before", F.sum("_s").over(upto) - F.col("_s"))
         .withColumn("_ranks", F.expr(f"array_distinct(array({wanted}))"))
-        .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _before AND r < _before + _c)"))
+        .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _before AND r < _before + _s)"))
         .filter("size(_ranks) > 0")
+        .drop("_s")
     )
 
-    # 3. Sort only the intervals that hold a wanted rank, one row per distinct value.
+    # 4. Order the slices that hold a wanted rank.
     inside = Window.partitionBy(*keys, "_i").orderBy("_v")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
-        placed.join(F.broadcast(intervals.drop("_c")), [*keys, "_i"])
-        .groupBy(*keys, "_i", "_before", "_n", "_ranks", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        sliced.join(located, [*keys, "_i"])
         .withColumn("_last", F.col("_before") + F.sum("_c").over(running))
         .withColumn("_rank", F.expr("explode(filter(_ranks, r -> r < _last AND r >= _last - _c))"))
     )
 
-    # 4. Interpolate between the two neighbouring ranks.
+    # 5. Interpolate between the two neighbouring ranks.
     columns = []
     for name, at in zip(quantiles, positions):
         low = f"max(_v) FILTER (WHERE _rank = floor({at}))"

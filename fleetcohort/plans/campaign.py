@@ -89,15 +89,15 @@ def lift(outcomes: DataFrame, retained: str, needed: float = 0.05) -> DataFrame:
 def top_earners(history: DataFrame) -> DataFrame:
     """Pro-Optimizer drivers, or the top quarter by earnings when there are none.
 
-    One plan: how many there are is a scalar subquery, so no job runs while it is built.
+    Whether there are any is looked up first (one matching row ends that scan), so the quartile
+    is computed only where it decides.
     """
+    if "persona" in history.columns:
+        pros = history.filter(F.col("persona") == PRO)
+        if not pros.isEmpty():
+            return pros
     quarter = exact_quantiles(history, [], EARNINGS, {"q3": 0.75})
-    top_quarter = F.col(EARNINGS) >= quarter.scalar()
-    if "persona" not in history.columns:
-        return history.filter(top_quarter)
-    is_pro = F.coalesce(F.col("persona") == PRO, F.lit(False))
-    any_pro = history.agg(F.count_if(is_pro) > 0).scalar()
-    return history.filter(F.when(any_pro, is_pro).otherwise(top_quarter))
+    return history.filter(F.col(EARNINGS) >= quarter.scalar())
 
 
 def benchmarks(history: DataFrame) -> DataFrame:

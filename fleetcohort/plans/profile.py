@@ -18,6 +18,10 @@ from fleetcohort.sources.raw import coerce_number
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 BINS = 30
 DENSITY_POINTS = 200
+#: Of the density's transform: bandwidths in a box, moments of a box, bandwidths a box reaches.
+BOX = 0.5
+TERMS = 12
+REACH = 9.5
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,41 +142,70 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATION_FEATURES)
 def density(df: DataFrame, columns: list[str], points: int = DENSITY_POINTS) -> DataFrame:
     """Gaussian kernel density on an even grid from minimum to maximum (Scott bandwidth).
 
-    Values are counted first; each distinct value then adds to every grid point inside one
-    aggregation, so no (row, point) pairs are ever produced or shuffled.
+    A fast Gauss transform: values are gathered in boxes of half a bandwidth, and a box is
+    described by ``TERMS`` moments of its values about its centre. Its part of the density at a
+    grid point is a Hermite series in these moments, off by less than 1e-11 of its rows; points
+    over ``REACH`` bandwidths away get less than 1e-19 of a row and are left out. So a value
+    costs a few multiplications, whatever the number of grid points, and a box one row per
+    point near it.
     """
     ranges = _ranges(df, columns).filter("n > 1 AND std > 0")
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    frame = ranges.select(
-        "column", "low", "high", "n", bandwidth.alias("bandwidth")
-    )
     step = (F.col("high") - F.col("low")) / (points - 1)
-    rows = (
-        melt(df, [], columns, "column", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(F.broadcast(frame), "column")  # one row per profiled column
-        .select(
-            "column",
-            "times",
-            ((F.col("value") - F.col("low")) / F.col("bandwidth")).alias("z"),
-            (step / F.col("bandwidth")).alias("step_z"),
-        )
+    frame = ranges.select("column", "low", "n", bandwidth.alias("bandwidth"), step.alias("step"))
+    # One row per profiled column.
+    rows = melt(df, [], columns, "column", "value").filter(F.col("value").isNotNull()).join(frame, "column")
+    placed = rows.select(
+        "column", ((F.col("value") - F.col("low")) / F.col("bandwidth")).alias("z")
+    ).withColumn("box", F.floor(F.col("z") / BOX))
+    off = F.col("z") - (F.col("box") + 0.5) * BOX
+    moments = placed.withColumn("off", off).groupBy("column", "box").agg(
+        *[
+            F.sum(F.expr(" * ".join(["off"] * k)) if k else F.lit(1.0)).alias(f"m{k}")
+            for k in range(TERMS)
+        ]
+    )
+    # The series as a polynomial of the distance, times the kernel.
+    hermite = _hermite(TERMS)
+    factors = [
+        sum(
+            (F.col(f"m{k}") * (hermite[k][j] / math.factorial(k)) for k in range(j, TERMS) if hermite[k][j]),
+            F.lit(0.0),
+        ).alias(f"a{j}")
+        for j in range(TERMS)
+    ]
+    step_z, centre = F.col("step") / F.col("bandwidth"), (F.col("box") + 0.5) * BOX
+    first = F.greatest(F.lit(0), F.ceil((centre - REACH) / step_z)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((centre + REACH) / step_z)).cast("int")
+    near = (
+        moments.select("column", "box", *factors)
+        .join(frame, "column")
+        .where(first <= last)
+        .withColumn("point", F.explode(F.sequence(first, last)))
+        .withColumn("t", F.col("point") * step_z - centre)
+    )
+    series = F.col(f"a{TERMS - 1}")
+    for j in reversed(range(TERMS - 1)):
+        series = series * F.col("t") + F.col(f"a{j}")
+    totals = near.groupBy("column", "point").agg(
+        F.sum(series * F.exp(F.col("t") * F.col("t") * -0.5)).alias("total")
+    )
+    grid = frame.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    scale = F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi)
+    return grid.join(totals, ["column", "point"], "left").select(
+        "column",
+        "point",
+        (F.col("low") + F.col("step") * F.col("point")).alias("x"),
+        (F.coalesce("total", F.lit(0.0)) / scale).alias("density"),
+        "bandwidth",
     )
 
-    def kernel(i: int):
-        offset = F.col("z") - F.col("step_z") * i
-        return F.sum(F.col("times") * F.exp(offset * offset * -0.5))
 
-    sums = rows.groupBy("column").agg(F.array(*[kernel(i) for i in range(points)]).alias("sums"))
-    return (
-        sums.join(frame, "column")
-        .select("column", "low", "high", "n", "bandwidth", F.posexplode("sums").alias("point", "total"))
-        .select(
-            "column",
-            "point",
-            (F.col("low") + step * F.col("point")).alias("x"),
-            (F.col("total") / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"),
-        )
-    )
+def _hermite(terms: int) -> list[list[float]]:
+    """Coefficients of the first Hermite polynomials (those of exp(-t*t/2))."""
+    found = [[1.0], [0.0, 1.0]]
+    for k in range(1, terms - 1):
+        up = [0.0, *found[k]]
+        down = [*found[k - 1], 0.0, 0.0]
+        found.append([a - k * b for a, b in zip(up, down, strict=True)])
+    return found

@@ -88,8 +88,14 @@ def driver_earnings(segmented: DataFrame, logs: RawLogs) -> DataFrame:
 def earnings_composition(segmented: DataFrame, logs: RawLogs) -> DataFrame:
     """Mean over drivers of the organic and incentive percentage, per persona.
 
-    A driver without earnings has no percentage and does not enter the mean.
+    A driver without earnings has no percentage and does not enter the mean. Without one of its
+    logs the report has the same rows, no percentages, and a note that names the log.
     """
+    names = list(EARNINGS_COMPONENTS)
+    absent = logs.absent("trips", "incentives")
+    if absent:
+        rows = [(p, EARNINGS_COMPONENTS[n], None, f"unavailable: no {' and '.join(absent)}") for p in EARNINGS_PERSONAS for n in names]
+        return segmented.sparkSession.createDataFrame(rows, "persona string, component string, pct double, note string")
     chosen = segmented.filter(F.col("persona").isin(EARNINGS_PERSONAS))
     total = F.col("organic") + F.col("bonus")
     shares = driver_earnings(chosen, logs).select(
@@ -97,10 +103,10 @@ def earnings_composition(segmented: DataFrame, logs: RawLogs) -> DataFrame:
         (safe_ratio(F.col("organic"), total) * 100).alias("pct_organic"),
         (safe_ratio(F.col("bonus"), total) * 100).alias("pct_incentive"),
     )
-    names = list(EARNINGS_COMPONENTS)
     means = shares.groupBy("persona").agg(*[F.avg(n).alias(n) for n in names])
     long = means.unpivot(["persona"], names, "component", "pct")
-    return long.withColumn("component", map_codes(F.col("component"), EARNINGS_COMPONENTS))
+    named = long.withColumn("component", map_codes(F.col("component"), EARNINGS_COMPONENTS))
+    return named.withColumn("note", F.lit(None).cast("string"))
 
 
 def churn_by_persona(segmented: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -18,11 +19,17 @@ class MissingSource(FileNotFoundError):
 
 @dataclass(frozen=True)
 class RawLogs:
+    """The five logs; one that was allowed to be absent, and is, is None."""
+
     profiles: DataFrame
     sessions: DataFrame
-    trips: DataFrame
-    incentives: DataFrame
-    interactions: DataFrame
+    trips: DataFrame | None
+    incentives: DataFrame | None
+    interactions: DataFrame | None
+
+    def absent(self, *names: str) -> list[str]:
+        """Which of these logs are not there."""
+        return [name for name in names if getattr(self, name) is None]
 
 
 # Field of RawLogs -> (file stem, schema).
@@ -70,8 +77,11 @@ def open_required(
     return table
 
 
-def load_raw_logs(spark: SparkSession, root: str, fmt: str = "csv") -> RawLogs:
-    """All five logs or an error naming every one that is missing.
+def load_raw_logs(
+    spark: SparkSession, root: str, fmt: str = "csv", optional: Sequence[str] = ()
+) -> RawLogs:
+    """All five logs or an error naming every one that is missing; those listed as ``optional``
+    (fields of ``RawLogs``) may be.
 
     ``fmt`` is ``csv`` (files ``<stem>.csv``) or any columnar format (folders ``<stem>``).
     """
@@ -80,7 +90,7 @@ def load_raw_logs(spark: SparkSession, root: str, fmt: str = "csv") -> RawLogs:
     for field, (stem, schema) in RAW_FILES.items():
         path = f"{root.rstrip('/')}/{stem}{suffix}"
         table = open_optional(spark, path, fmt, schema)
-        if table is None:
+        if table is None and field not in optional:
             missing.append(path)
         opened[field] = table
     if missing:

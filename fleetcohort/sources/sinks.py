@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fleetcohort.sources import schemas
 from fleetcohort.sources.raw import open_optional, open_required
 
+#: Bytes of a row group in tables that single rows are looked up in.
+LOOKUP_BLOCK = 8 << 20
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace the whole table at ``path``."""
@@ -19,6 +22,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def write_by_key(df: DataFrame, path: str, key: str) -> None:
+    """Replace the table, ordered by ``key`` and with Bloom filters on it: a look-up of one key
+    reads one row group of one file, found by the files' ranges or, for text keys in any
+    order, by the filters."""
+    (
+        df.repartitionByRange(key)
+        .sortWithinPartitions(key)
+        .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option("parquet.block.size", LOOKUP_BLOCK)
+        .parquet(path)
+    )
+
+
 def write_week(df: DataFrame, path: str) -> None:
     """Replace only the ``week`` partitions present in ``df``; a re-run is idempotent."""
     (

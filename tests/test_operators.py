@@ -43,11 +43,10 @@ def test_quantiles_equal_numpy(spark):
 
 
 def test_quantiles_do_not_trust_the_sketch(spark, monkeypatch):
-    """With a useless guide the counted intervals are wide and the answer still exact."""
+    """With hardly any cuts the slices are long and the answer still exact."""
     from fleetcohort.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "ACCURACY", 2)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    monkeypatch.setattr(quantiles, "SLICES", 2)
     rng = random.Random(2)
     _check_quantiles(spark, {"g": [rng.gauss(0, 5) for _ in range(5000)]})
 
@@ -60,6 +59,25 @@ def test_quantiles_of_the_whole_table_use_no_join_per_row(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_close_values_spread_over_slices(spark):
+    """A million values in a millionth: none of the ordered slices is large, none is forced to
+    be broadcast."""
+    df = spark.range(1_000_000).selectExpr("1D + id / 1e12D AS v", "CAST(id % 2 AS STRING) AS g")
+    got = exact_quantiles(df, ["g"], "v", QUANTILES)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    rows = {r["g"]: r for r in got.collect()}
+    assert rows["0"]["q2"] == pytest.approx(1 + 499_999e-12, abs=1e-15)
+    from pyspark.sql import functions as F
+
+    from fleetcohort.operators.quantiles import SLICES
+
+    steps = [i / SLICES for i in range(1, SLICES)]
+    cuts = df.agg(F.percentile_approx("v", F.lit(steps), 4 * SLICES)).first()[0]
+    slices = df.selectExpr("v").groupBy(F.expr(f"size(filter(array({', '.join(map(repr, cuts))}), c -> c < v))")).count()
+    assert max(r["count"] for r in slices.collect()) < 4 * 1_000_000 / SLICES
+
+
 def test_quantiles_skip_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0)], "g string, v double")
     assert exact_quantiles(df, ["g"], "v", {"m": 0.5}).first()["m"] == 2.0
@@ -79,6 +97,22 @@ def test_histogram_of_a_constant(spark):
     assert [r["n"] for r in rows] == list(np.histogram([2.0] * 5, bins=3)[0])
 
 
+def test_density_equals_plain_sums(spark):
+    rng = random.Random(8)
+    wide = [rng.gauss(0, 1) for _ in range(400)] + [rng.expovariate(0.01) for _ in range(80)] + [5000.0]
+    rows = [(x, float(i % 3), 7.0, None) for i, x in enumerate(wide)] + [(None, None, 7.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, flat double, none double").repartition(5)
+    got = profile.density(df, ["x", "y", "flat", "none"]).collect()
+    assert {r["column"] for r in got} == {"x", "y"} and len(got) == 400
+    for column, values in (("x", wide), ("y", [float(i % 3) for i in range(len(wide))])):
+        values = np.array(values)
+        h = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min(), values.max(), 200)
+        wanted = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+        own = {r["point"]: r["density"] for r in got if r["column"] == column}
+        assert max(abs(own[i] - wanted[i]) * h for i in range(200)) < 1e-11
+
+
 def test_density_integrates_to_one(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(2000)], "x double")

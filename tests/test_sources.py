@@ -17,9 +17,11 @@ from fleetcohort.sources.raw import (
 )
 
 
-def _write_raw(spark, folder, root, fmt):
+def _write_raw(spark, folder, root, fmt, skip=()):
     logs = fixture.raw_logs(spark, folder)
     for field, (stem, schema) in RAW_FILES.items():
+        if field in skip:
+            continue
         df = getattr(logs, field)
         for column in schema:
             known = F.col(column.name) if column.name in df.columns else F.lit(None)
@@ -117,6 +119,39 @@ def test_dispatch_log_counts_a_batch_once(spark, tmp_path):
     assert logged() == ["c"]
 
 
+@pytest.mark.parametrize("wanted", ["d0012345", "d0099999", "nobody"])
+def test_one_driver_reads_one_row_group(spark, tmp_path, monkeypatch, wanted):
+    from fleetcohort.plans.reports import driver_record
+
+    path = str(tmp_path / "lookup")
+    monkeypatch.setattr(sinks, "LOOKUP_BLOCK", 64 << 10)
+    df = spark.range(100_000).selectExpr("concat('d', lpad(CAST(id AS STRING), 7, '0')) AS driver_id", "md5(CAST(id AS STRING)) AS note")
+    sinks.write_by_key(df.repartition(4), path, "driver_id")
+    found = driver_record(spark.read.schema(df.schema).parquet(path), wanted)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "EqualTo(driver_id" in plan.toString()
+    rows = found.collect()
+    assert [r["driver_id"] for r in rows] == ([] if wanted == "nobody" else [wanted])
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() <= 20_000
+
+
+def test_a_report_without_one_of_its_logs(spark, tiny, tmp_path):
+    from fleetcohort.plans import reports
+
+    logs = fixture.raw_logs(spark, tiny)
+    _write_raw(spark, tiny, str(tmp_path), "parquet", skip=["incentives"])
+    with pytest.raises(MissingSource, match="incentive"):
+        load_raw_logs(spark, str(tmp_path), "parquet")
+    some = load_raw_logs(spark, str(tmp_path), "parquet", optional=["incentives"])
+    assert some.absent("trips", "incentives") == ["incentives"]
+    segmented = spark.createDataFrame([("a", "Quest Grinder")], "driver_id string, persona string")
+    report = reports.earnings_composition(segmented, some)
+    assert report.dtypes == reports.earnings_composition(segmented, logs).dtypes
+    rows = report.collect()
+    assert len(rows) == 4 and all(r["pct"] is None and r["note"] == "unavailable: no incentives" for r in rows)
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "runs")
     sinks.append_run_log(spark, path, "r1", {"maxDepth": 4}, {"auc": 0.75})
