@@ -12,8 +12,10 @@ files, look for their ancestors, and top directories are joined under salted key
 that holds a third of all files is one row.
 
 A line can only reach ``LEAST`` if it holds terms that carry ``LEAST`` squared of a template's
-weight (Cauchy), so texts without any of the heavier key terms, and lines without that much,
-are left out beforehand; that loses nothing. Built-in functions only.
+weight (Cauchy), so lines without any of the heavier key terms are left out beforehand; that
+loses nothing. A file is scored inside its row by array functions: no row numbers are needed, no
+terms are shuffled, and the result does not depend on where the rows come from. Built-in
+functions only.
 
 Null and empty texts have no licence of their own; a null path is a file in no directory and
 inherits nothing. Repeated rows stay, one row each. An empty table gives no rows.
@@ -21,6 +23,7 @@ inherits nothing. Repeated rows stay, one row each. An empty table gives no rows
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -93,55 +96,80 @@ def _words(text: Column) -> Column:
     return F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+")
 
 
-def _can_reach(words: Column, model: Model) -> Column:
-    """Whether the words hold ``least`` squared of some template's weight."""
-    shares: dict[int, Column] = {}
-    for number, _, term, weight in model.vectors:
-        held = F.when(F.array_contains(words, term), weight * weight).otherwise(0.0)
-        shares[number] = shares[number] + held if number in shares else held
-    most = F.greatest(*shares.values()) if len(shares) > 1 else shares[0]
-    return most >= model.least * model.least - 1e-9
+def _constant(value, kind: str) -> Column:
+    """A nested constant; read once while the query is planned."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
 
-def own_licences(files: DataFrame, model: Model) -> DataFrame:
-    """row, licence, score of the files (row, text, is_licence_file) that have one."""
-    spark = files.sparkSession
+def own_licence(text: Column, is_licence_file: Column, model: Model) -> Column:
+    """Struct (s, licence) of a text's best unit and template, s its score negated; NULL if
+    none reaches ``least``.
+
+    Everything happens inside the row: units are the distinct lines, and the whole text of a
+    licence file, that hold a key term. The sorted words of a unit are run through once; at the
+    end of a run of equal words its weight goes to the unit's length and to the dot products
+    with all templates.
+    """
     keys = F.array(*(F.lit(k) for k in sorted(model.keys)))
-    likely = files.where(F.arrays_overlap(_words(F.col("text")), keys))
-    lines = F.array_distinct(F.split("text", "\n"))
-    whole = F.when(F.col("is_licence_file"), F.array("text")).otherwise(F.array().cast("array<string>"))
-    # Words leave the generator with their line, so no filter computes them again.
-    split = F.transform(F.array_distinct(F.concat(lines, whole)), _words)
-    units = likely.select("row", F.posexplode(split).alias("unit", "words"))
-    units = units.where(F.arrays_overlap("words", keys)).where(_can_reach(F.col("words"), model))
-    terms = (
-        units.select("row", "unit", F.explode("words").alias("term"))
-        .where("term != ''").groupBy("row", "unit", "term").agg(F.count("term").alias("n"))
-    )
-    # A few hundred rows that come with the model.
-    idf = spark.createDataFrame(list(model.idf.items()), "term string, idf double")
-    weighed = terms.join(F.broadcast(idf), "term", "left").withColumn(
-        "weight", F.col("n") * F.coalesce("idf", F.lit(model.unknown))
-    )
-    lengths = weighed.groupBy("row", "unit").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")
-    )
-    vectors = spark.createDataFrame(
-        model.vectors, "template int, licence string, term string, share double"
-    )
-    dots = (
-        weighed.join(F.broadcast(vectors), "term")
-        .groupBy("row", "unit", "template", "licence")
-        .agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    whole = F.when(is_licence_file, F.array(text)).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(F.split(text, "\n"), whole))
+    units = F.filter(F.transform(parts, _words), lambda words: F.arrays_overlap(words, keys))
+
+    names = [name for _, name in sorted({(n, x) for n, x, _, _ in model.vectors})]
+    shares: dict[str, list[float]] = {t: [0.0] * len(names) for t in model.idf}
+    for number, _, term, share in model.vectors:
+        shares[term][number] = share * model.idf[term]
+    known = _constant(
+        {t: {"idf": model.idf[t], "shares": own} for t, own in shares.items()},
+        "map<string, struct<idf: double, shares: array<double>>>",
     )
-    score = F.round(F.col("dot") / F.col("length"), 6)
-    scored = dots.join(lengths, ["row", "unit"]).withColumn("score", score)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "licence"))
-    return (
-        scored.where(F.col("score") >= model.least)
-        .groupBy("row").agg(best.alias("b"))
-        .select("row", "b.licence", (-F.col("b.s")).alias("score"))
-    )
+
+    def closed(run: Column) -> tuple[Column, Column]:
+        """Square of the length, and dot products, with the run of ``last`` added."""
+
+        def add(term: Column) -> Column:
+            weight = run["n"] * F.coalesce(term["idf"], F.lit(model.unknown))
+            dots = F.zip_with(run["dots"], term["shares"], lambda dot, share: dot + run["n"] * share)
+            return F.struct(
+                (run["square"] + weight * weight).alias("square"),
+                F.when(term.isNull(), run["dots"]).otherwise(dots).alias("dots"),
+            )
+
+        # Looked up once: the array binds the term to a name.
+        added = F.get(F.transform(F.array(F.try_element_at(known, run["last"])), add), F.lit(0))
+        return added["square"], added["dots"]
+
+    def state(last: Column, n: Column, square: Column, dots: Column) -> Column:
+        return F.struct(last.alias("last"), n.alias("n"), square.alias("square"), dots.alias("dots"))
+
+    def step(run: Column, word: Column) -> Column:
+        square, dots = closed(run)
+        return (
+            F.when(run["last"] == "", state(word, F.lit(1.0), run["square"], run["dots"]))
+            .when(run["last"] == word, state(word, run["n"] + 1.0, run["square"], run["dots"]))
+            .otherwise(state(word, F.lit(1.0), square, dots))
+        )
+
+    def best(words: Column) -> Column:
+        start = state(F.lit(""), F.lit(0.0), F.lit(0.0), F.array_repeat(F.lit(0.0), len(names)))
+        ordered = F.sort_array(F.filter(words, lambda word: word != ""))
+
+        def scored(run: Column) -> Column:
+            square, dots = closed(run)
+            one = F.struct(square.alias("square"), dots.alias("dots"))
+            return F.get(F.transform(F.array(one), least), F.lit(0))
+
+        def least(unit: Column) -> Column:
+            scores = F.zip_with(
+                unit["dots"],
+                F.array(*map(F.lit, names)),
+                lambda dot, name: F.struct((-F.round(dot / F.sqrt(unit["square"]), 6)).alias("s"), name.alias("licence")),
+            )
+            return F.array_min(F.filter(scores, lambda score: score["s"] <= -model.least))
+
+        return F.aggregate(ordered, start, step, scored)
+
+    return F.array_min(F.transform(units, best))
 
 
 def _ancestors(directory: Column) -> Column:
@@ -178,7 +206,6 @@ def scan(
     """Per row: key, path, own_licence, own_score, licence, inherited_from."""
     model = model or Model()
     rows = files.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(f"`{key}`").alias("key"),
         path.alias("path"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
@@ -190,8 +217,10 @@ def scan(
         "directory",
         F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")),
     )
-    own = own_licences(rows, model)
-    marked = rows.drop("text").join(own, "row", "left")
+    own = own_licence(F.col("text"), F.col("is_licence_file"), model)
+    marked = rows.withColumn("own", own).select(
+        "key", "path", "directory", "is_licence_file", F.col("own.licence").alias("licence"), (-F.col("own.s")).alias("score")
+    )
     best = F.min(F.struct((-F.col("score")).alias("s"), "licence"))
     licensed = (
         marked.where(F.col("is_licence_file") & F.col("licence").isNotNull())

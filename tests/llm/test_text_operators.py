@@ -84,6 +84,52 @@ def test_sketches_merge(spark):
     assert abs(row["r"] - jaccard(one, two)) < 0.15
 
 
+def plain_licence(text, is_licence_file, model):
+    """The best (score, licence) of all units against all templates, without key terms."""
+    templates = {}
+    for number, name, term, share in model.vectors:
+        templates.setdefault((number, name), {})[term] = share
+    found = []
+    for unit in {*text.split("\n"), *([text] if is_licence_file else [])}:
+        counts = Counter(licenses._terms(unit))
+        weights = {t: n * model.idf.get(t, model.unknown) for t, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        for (_, name), own in templates.items():
+            dot = sum(w * own.get(t, 0.0) for t, w in weights.items())
+            if length and round(dot / length, 6) >= model.least:
+                found.append((-round(dot / length, 6), name))
+    return min(found, default=None)
+
+
+def test_licences_equal_brute_force_behind_a_shuffle(spark):
+    rng, model = random.Random(4), licenses.Model()
+    texts = [t for _, t in licenses.TEMPLATES]
+    words = sorted(model.idf) + ["other", "words", "x1"]
+    rows = []
+    for i in range(400):
+        lines = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 3))]
+        if rng.random() < 0.7:
+            cut = rng.choice(texts).split(" ")
+            cut = [w for w in cut if rng.random() < 0.9] + rng.choices(words, k=rng.randint(0, 4))
+            lines.insert(rng.randint(0, len(lines)), " ".join(cut).upper() if i % 3 else " ".join(cut))
+        name = "LICENSE" if i % 5 == 0 else f"f{i}.txt"
+        rows.append((i, f"s{i % 7}/d{i % 31}/{name}", "\n".join(lines)))
+    rows += [(400, "a/LICENSE", texts[0] + "\n" + texts[0]), (401, "a/x", " ".join(texts)), (402, "a/y", "word " * 60_000)]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    for name in ("key", "own", "directory", "is_licence_file", "score", "row", "licence"):
+        files = files.withColumn(name, F.lit("clash"))
+    shuffled = files.groupBy("id").agg(F.max("path").alias("path"), F.max("text").alias("text"))
+    wanted = {i: plain_licence(t, p.endswith("LICENSE"), model) for i, p, t in rows}
+    assert sum(w is not None for w in wanted.values()) > 100
+    for df in (files, shuffled, files.repartition(7, "id"), files.repartition(1)):
+        got = licenses.scan(df, "id", F.col("path")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            own = wanted[r["id"]]
+            assert r["own_licence"] == (own[1] if own else None)
+            assert own is None or r["own_score"] == pytest.approx(-own[0], abs=2e-6)
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", licenses.TEMPLATES[5][1]
     rows = [
