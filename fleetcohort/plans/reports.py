@@ -17,7 +17,7 @@ from fleetcohort.settings import (
     MATURITY_PERSONAS,
     TOP_RISK_ROWS,
 )
-from fleetcohort.sources.raw import RawLogs
+from fleetcohort.sources.raw import RawLogs, absent_logs
 
 
 def fingerprint(
@@ -92,7 +92,7 @@ def earnings_composition(segmented: DataFrame, logs: RawLogs) -> DataFrame:
     logs the report has the same rows, no percentages, and a note that names the log.
     """
     names = list(EARNINGS_COMPONENTS)
-    absent = logs.absent("trips", "incentives")
+    absent = absent_logs(logs, "trips", "incentives")
     if absent:
         rows = [(p, EARNINGS_COMPONENTS[n], None, f"unavailable: no {' and '.join(absent)}") for p in EARNINGS_PERSONAS for n in names]
         return segmented.sparkSession.createDataFrame(rows, "persona string, component string, pct double, note string")

@@ -27,10 +27,6 @@ class RawLogs:
     incentives: DataFrame | None
     interactions: DataFrame | None
 
-    def absent(self, *names: str) -> list[str]:
-        """Which of these logs are not there."""
-        return [name for name in names if getattr(self, name) is None]
-
 
 # Field of RawLogs -> (file stem, schema).
 RAW_FILES = {
@@ -77,6 +73,11 @@ def open_required(
     return table
 
 
+def absent_logs(logs: RawLogs, *names: str) -> list[str]:
+    """Which of these logs are not there."""
+    return [name for name in names if getattr(logs, name) is None]
+
+
 def load_raw_logs(
     spark: SparkSession, root: str, fmt: str = "csv", optional: Sequence[str] = ()
 ) -> RawLogs:

@@ -8,6 +8,7 @@ from fleetcohort.sources import fixture, schemas, sinks, staging
 from fleetcohort.sources.raw import (
     RAW_FILES,
     MissingSource,
+    absent_logs,
     load_raw_logs,
     numeric_columns,
     open_optional,
@@ -144,7 +145,7 @@ def test_a_report_without_one_of_its_logs(spark, tiny, tmp_path):
     with pytest.raises(MissingSource, match="incentive"):
         load_raw_logs(spark, str(tmp_path), "parquet")
     some = load_raw_logs(spark, str(tmp_path), "parquet", optional=["incentives"])
-    assert some.absent("trips", "incentives") == ["incentives"]
+    assert absent_logs(some, "trips", "incentives") == ["incentives"]
     segmented = spark.createDataFrame([("a", "Quest Grinder")], "driver_id string, persona string")
     report = reports.earnings_composition(segmented, some)
     assert report.dtypes == reports.earnings_composition(segmented, logs).dtypes
