@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 SLICES = 128
 
 
+def approximate_cuts(value: str, slices: int) -> str:
+    """Text of the aggregate whose array cuts the values into about equal slices."""
+    steps = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    return f"percentile_approx({value}, array({steps}), {4 * slices})"
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
@@ -31,8 +37,7 @@ def exact_quantiles(
     )
 
     # 2. Slice of every value: the cuts below it.
-    steps = [i / SLICES for i in range(1, SLICES)]
-    cuts = F.percentile_approx("_v", F.lit(steps), 4 * SLICES).alias("_cuts")
+    cuts = F.expr(approximate_cuts("_v", SLICES)).alias("_cuts")
     if keys:
         guided = counts.join(counts.groupBy(*keys).agg(cuts), keys)
     else:

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcohort.operators.quantiles import approximate_cuts
+
 #: Slices of the scores that are ordered one by one.
-SCORE_SLICES = 256
+SCORE_SLICES = 128
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -109,8 +111,7 @@ def roc_auc(
     by_score = scored.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         _rows(F.col(label) == 1, weight).alias("pos"), _rows(F.col(label) == 0, weight).alias("neg")
     )
-    steps = [i / SCORE_SLICES for i in range(1, SCORE_SLICES)]
-    cuts = F.percentile_approx("_score", F.lit(steps), 4 * SCORE_SLICES).alias("_cuts")
+    cuts = F.expr(approximate_cuts("_score", SCORE_SLICES)).alias("_cuts")
     if keys:
         guided = by_score.join(by_score.groupBy(*keys).agg(cuts), keys)
     else:
