@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from fleetcohort.llm.common import keyed_text, pieces, shared_folder, stage
 
 MAGIC, VERSION, TAIL_WORDS = 0x7364_6977_6B65_7973, 1, 8
-#: Bytes of stored input that one shard stands for.
+#: Bytes of text that one shard stands for.
 SHARD_BYTES = 16 << 20
 #: Keys per bucket of the hash, on average.
 BUCKET_KEYS = 4
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -193,34 +193,46 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + next(hidden)) for b in range(256)]
 
 
-_LETTERS = _byte_letters()
-_LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: From bytes read as Latin-1 to their letters; lower-case ASCII stands for itself.
+_LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
+#: A run of Latin letters, then signs that are neither letters, digits, white space nor ', < and |.
+_LATIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\[-`{}~]*)")
 #: Words that one call hands to the tokenizer.
 _LOT = 1000
 
 
-def _word_ids(tokenizer, words: list[str], kind: str, cache: dict[str, bytes]) -> None:
-    """Put the ids of new words into the cache.
+@lru_cache(maxsize=4)
+def _id_bytes(path: str, kind: str) -> list[bytes]:
+    """Each id of the vocabulary as bytes."""
+    size = _tokenizer(path).get_vocab_size(with_added_tokens=True)
+    raw, width = np.arange(size, dtype=kind).tobytes(), np.dtype(kind).itemsize
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
+def _word_ids(path: str, words: list[str], kind: str, cache: dict[str, bytes]) -> None:
+    """Put the ids of new words, which hold no blank, into the cache.
 
     A run of lower-case Latin letters is one token to the tokenizer before its byte pairs, and
-    its normaliser leaves it as it is, so it goes straight to the tokenizer's model. Full
-    stops and commas after it are tokens of their own. Any other word takes the whole way.
+    its normaliser leaves it as it is, so it goes straight to the tokenizer's model. A run of
+    signs after it is another token. Any other word takes the whole way.
     """
-    rest = []
-    model = tokenizer.model
-    for word in words:
-        plain = word.encode("utf-8").lower().decode("utf-8")
-        base = plain.rstrip(".,")
+    tokenizer, known = _tokenizer(path), _id_bytes(path, kind)
+    tokenize, rest = tokenizer.model.tokenize, []
+    # Lower case of bytes is that of A-Z alone.
+    plain = " ".join(words).encode("utf-8", "surrogatepass").lower()
+    for word, low in zip(words, plain.decode("utf-8", "surrogatepass").split(" "), strict=True):
+        found = _LATIN.fullmatch(low)
         # A special token's text is told by its case: words with its first sign stay as is.
-        if not _LATIN.fullmatch(base) or not base.isalpha():
+        if not found:
             rest.append(word)
             continue
+        base, tail = found.groups()
         ids = cache.get(base)
         if ids is None:
-            letters = "".join([_LETTERS[b] for b in base.encode("utf-8")])
-            ids = np.array([t.id for t in model.tokenize(letters)], dtype=kind).tobytes()
-            cache[base] = ids
-        tail = plain[len(base) :]
+            letters = base
+            if not base.isascii():
+                letters = base.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            ids = cache[base] = b"".join([known[t.id] for t in tokenize(letters)])
         if tail:
             if tail not in cache:
                 got = tokenizer.encode(tail, add_special_tokens=False).ids
@@ -241,7 +253,7 @@ def encode_texts(path: str, texts: list[str], width: int, end_id: int) -> list[b
     to the library once. Only blanks, tabs and line ends separate words here; other white
     space stays inside a word and is the library's business.
     """
-    tokenizer, cache = _tokenizer(path), _cache(path)
+    cache = _cache(path)
     kind = "<u2" if width == 2 else "<u4"
     if len(cache) > CACHE_WORDS:
         cache.clear()
@@ -250,7 +262,7 @@ def encode_texts(path: str, texts: list[str], width: int, end_id: int) -> list[b
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         new = [w for w in set(words) if w not in cache]
         if new:
-            _word_ids(tokenizer, new, kind, cache)
+            _word_ids(path, new, kind, cache)
         out.append(b"".join([cache[w] for w in words]) + end)
     return out
 
@@ -271,9 +283,7 @@ def write_ids(
 ) -> None:
     """Encode every text and write the shards to ``folder``, keys ascending over the shards."""
     rows = keyed_text(docs, key, text).withColumn("key", F.col("key").cast("long"))
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # a table that knows no size
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     width = id_width(tokenizer_path, end_id)
 
