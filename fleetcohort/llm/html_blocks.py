@@ -24,8 +24,13 @@ NOISE_WORDS = set(
     " subscription share sharing social related recommended recommendations comment comments"
     " disqus respond reply replies widget login signup search pagination pager tags".split()
 )
+#: Names of what readers wrote: no such branch is a page's article, whatever it holds.
+READER_WORDS = set("comment comments disqus respond reply replies".split())
 #: Parts that a noise name may have beside noise words.
-NEUTRAL_WORDS = set("site global".split())
+NEUTRAL_WORDS = set(
+    "site global bar list slot box area section block container wrapper wrap panel item items"
+    " thread form inner outer".split()
+)
 NOISE_ROLES = set("navigation banner contentinfo complementary alert dialog menu".split())
 #: As names: these count only for a branch that is not the page itself.
 NAME_TAGS, NAME_ROLES = {"form"}, {"search", "form"}
@@ -52,21 +57,28 @@ Block = tuple[str, str, bool, str]  # path, inline style, noise by role, text
 
 
 def _is_noise_name(token: str, in_article: bool) -> bool:
-    """Whether a class or id as a whole names noise: "cookie-notice", not "has-sidebar"."""
+    """Whether a class or id as a whole names noise: "cookie-bar", not "has-sidebar"."""
     words = set(_NAME.findall(token)) - NEUTRAL_WORDS
     return bool(words) and words <= (NOISE_WORDS if in_article else NOISE_WORDS | {"header"})
 
 
-def _names(attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+def _is_reader_name(token: str) -> bool:
+    """Whether a class or id as a whole names reader comments: "comment-list"."""
+    words = set(_NAME.findall(token)) - NEUTRAL_WORDS
+    return bool(words) and words <= READER_WORDS
+
+
+def _names(attributes: str, in_article: bool) -> tuple[str, bool, bool, bool]:
     """Signature of class and id (digits dropped), whether role or style mark the element as
-    noise, and whether a name does."""
-    signature, noise, named = [], False, False
+    noise, whether a name does, and whether it names reader comments."""
+    signature, noise, named, readers = [], False, False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             signature += _NAME.findall(value)
             named |= any(_is_noise_name(token, in_article) for token in value.split())
+            readers |= any(map(_is_reader_name, value.split()))
         elif name == "role":
             noise |= value in NOISE_ROLES
             named |= value in NAME_ROLES
@@ -74,7 +86,7 @@ def _names(attributes: str, in_article: bool) -> tuple[str, bool, bool]:
             noise |= "display:none" in value.replace(" ", "")
         else:
             noise |= value != "false"
-    return ".".join(signature), noise, named
+    return ".".join(signature), noise, named, readers
 
 
 def blocks(html: str) -> list[Block]:
@@ -82,13 +94,15 @@ def blocks(html: str) -> list[Block]:
     part, else of its body. Noise by role is there too, marked.
 
     A noise name counts only if its branch holds no article or main part and at most half of the
-    page's text, and only on pages that have text besides.
+    page's text, and only on pages that have text besides. A branch that names reader comments
+    counts however long it is, and an article in it is a comment; only a main part protects it.
     Inline elements belong to the block around them; an unclosed one ends with it.
     """
     out: list[tuple[int, tuple[int, ...], Block]] = []
     stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, noise, named branches
     held: list[int] = []  # characters of each named branch
     whole: set[int] = set()  # named branches with an article or main part
+    reader: set[int] = set()  # named branches of reader comments
     words: list[str] = []
     styles: set[str] = set()
     zone_of = {"article": 2, "main": 1}
@@ -101,7 +115,10 @@ def blocks(html: str) -> list[Block]:
             path = stack[-1][1] if stack else "body"
             noise = bool(stack) and stack[-1][2]
             branches = stack[-1][3] if stack else ()
-            zone = max((zone_of.get(s[0], 0) for s in stack), default=0)
+            zone = max(
+                (zone_of.get(s[0], 0) for s in stack if s[0] == "main" or reader.isdisjoint(s[3])),
+                default=0,
+            )
             out.append((zone, branches, (path, " ".join(sorted(styles)), noise, text)))
             if not noise:
                 for n in branches:
@@ -143,8 +160,8 @@ def blocks(html: str) -> list[Block]:
                 words.append(" ")
             continue
         in_article = any(s[0] == "article" for s in stack)
-        signature, noise, named = (
-            _names(attributes, in_article) if attributes else ("", False, False)
+        signature, noise, named, readers = (
+            _names(attributes, in_article) if attributes else ("", False, False, False)
         )
         if tag in INLINE:
             styles.add(tag)
@@ -153,6 +170,8 @@ def blocks(html: str) -> list[Block]:
                 noise |= bool(stack) and stack[-1][2]
                 branches = stack[-1][3] if stack else ()
                 if named:
+                    if readers:
+                        reader.add(len(held))
                     branches += (len(held),)
                     held.append(0)
                 path = (stack[-1][1] if stack else "body") + f">{tag}.{signature}"
@@ -172,14 +191,21 @@ def blocks(html: str) -> list[Block]:
             continue
         branches = stack[-1][3] if stack else ()
         if named:
+            if readers:
+                reader.add(len(held))
             branches += (len(held),)
             held.append(0)
         if tag in zone_of and not noise:
-            whole.update(branches)
+            # An article among comments is one of them: it keeps no branch, a main part does.
+            if tag == "main" or reader.isdisjoint(branches):
+                whole.update(branches)
         stack.append((tag, path, noise, branches))
     flush()
+    said = reader - whole
     total = sum(len(b[3]) for _, _, b in out if not b[2])
-    cut = {n for n, size in enumerate(held) if n not in whole and 2 * size <= total}
+    cut = {
+        n for n, size in enumerate(held) if n in said or (n not in whole and 2 * size <= total)
+    }
     if all(b[2] or cut.intersection(branches) for _, branches, b in out):
         cut = set()
     found = [

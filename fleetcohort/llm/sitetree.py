@@ -15,7 +15,8 @@ A host with few pages tells little, so nodes on fewer than ``PAGES`` pages stay.
 HTML marks as menus, headers, footers or sidebars, or that are hidden, have no importance on any
 host; nor have forms and elements whose whole class or id names such a part, a notice, an advert
 or comments, unless the branch holds an article, a main part or most of the page's text, or the
-page has no text besides. The plain paragraphs, headings, lists and tables of an
+page has no text besides; a branch of reader comments goes however much it holds, also articles
+of its own. The plain paragraphs, headings, lists and tables of an
 article are never removed, however often a text is copied over the pages of a host; a page
 whose text would vanish keeps it.
 

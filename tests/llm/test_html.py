@@ -72,6 +72,29 @@ def test_names_do_not_cut_a_page_itself(html, text):
     assert kept(html) == text
 
 
+ARTICLE = "<article><h1>H</h1><p>the text</p></article>"
+LONG = "a comment that is much longer than the article " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"{ARTICLE}<section id='comments'><article class='comment'>{LONG}</article></section>", ["H", "the text"]),
+        (f"{ARTICLE}<section id='comments'><article><p>{LONG}</article></section>", ["H", "the text"]),
+        (f"{ARTICLE}<div class='comments'><p>{LONG}</p></div>", ["H", "the text"]),
+        (f"<article><p>short</p><div class='x comment-list'><p>{LONG}</p></div></article>", ["short"]),
+        (f"<div class='cookie-bar'>C</div><div class='ad-slot'>Buy</div>{ARTICLE}", ["H", "the text"]),
+        (f"<p>short</p><div class='notice-box'>N</div><ol class='replies'><li>{LONG}</ol>", ["short"]),
+        ("<article class='comment'>the only text</article>", ["the only text"]),
+        ("<div class='comments'><main>main part</main></div><p>x</p>", ["main part"]),
+        ("<div class='site-wrapper'><div class='list'><p>a</p></div></div><p>b</p>", ["a", "b"]),
+        ("<div class='comments-open layout'><p>a</p></div><p>b</p>", ["a", "b"]),
+    ],
+)
+def test_reader_comments_and_bars_go_whatever_they_hold(html, text):
+    assert kept(html) == text
+
+
 def test_repeated_branches_of_a_host_are_removed(spark):
     def page(n, host="one.example"):
         body = (
