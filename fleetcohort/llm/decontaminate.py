@@ -12,12 +12,13 @@ when a passage holds all of its words, so the threshold does not depend on an it
 
 The index is built from the benchmark alone and goes to the tasks. Its size is checked: a
 benchmark of more than ``PART_ITEMS`` items or ``PART_BYTES`` bytes is cut by a hash of the
-text into parts below that, and the documents are searched once per part; scores then use the
-part's statistics, the overlap check decides as before.
+words into parts below that, and the documents are searched once per part. Statistics (items,
+mean and greatest length, in how many items a term stands) are those of the whole benchmark,
+and items are made distinct by their words before the cut, so the parts change no result.
 
 Words are what ASCII white space separates, A-Z in lower case, outer punctuation stripped.
-Null and empty texts, and items without words, match nothing. Repeated items are reported by
-the least item id of their text. Null keys and repeated rows stay, one row each. Empty tables:
+Null and empty texts, and items without words, match nothing. Items with the same words are
+reported once, by their least item id; an id is null only if all of them have none. Null keys and repeated rows stay, one row each. Empty tables:
 without documents no rows, without items no leaks. Other columns are not read.
 """
 
@@ -32,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcohort.llm.common import pieces, small_batches
+from fleetcohort.llm.common import pieces, small_batches, stage
 
 K1, B = 1.2, 0.75
 #: Least words of a passage. It is at least twice the longest item, and the next one starts
@@ -85,9 +86,29 @@ class _Terms(dict):
         return found
 
 
+@dataclass
+class Statistics:
+    """Of a whole benchmark: distinct items, their words, most words of one, items by term."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[tuple[str, ...]]) -> Statistics:
+        frequency = Counter(t for words in texts for t in set(words))
+        return cls(len(texts), sum(map(len, texts)), max(map(len, texts), default=0), frequency)
+
+
+def _id_order(item_id: int | None) -> tuple[bool, int]:
+    """Ids ascending, a null one last."""
+    return item_id is None, item_id or 0
+
+
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     question: list[str]
     answer: list[str]
     #: By term number: what it adds, as a share of the item's full score.
@@ -95,27 +116,33 @@ class Item:
 
 
 class Index:
-    """Items in blocks, with each term's largest weight overall and in each block."""
+    """Items in blocks, with each term's largest weight overall and in each block.
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        texts: dict[tuple[str, ...], tuple[int, str]] = {}
-        for item_id, text in sorted(rows):
+    ``whole`` are the statistics of the benchmark that ``rows`` are a part of; without, ``rows``
+    are all of it.
+    """
+
+    def __init__(
+        self, rows: list[tuple[int | None, str]], whole: Statistics | None = None
+    ) -> None:
+        texts: dict[tuple[str, ...], tuple[int | None, str]] = {}
+        for item_id, text in sorted(rows, key=lambda r: (*_id_order(r[0]), r[1])):
             words = words_of(text)
             if words:
                 texts.setdefault(tuple(words), (item_id, text))
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        frequency = Counter(t for words in texts for t in set(words))
-        numbers = {t: n for n, t in enumerate(frequency)}
+        whole = whole or Statistics.of(list(texts))
+        mean = whole.words / max(1, whole.items)
+        numbers = {t: n for n, t in enumerate(dict.fromkeys(t for own in texts for t in own))}
         self.terms = _Terms(numbers)
         self.items: list[Item] = []
-        self.passage = max(PASSAGE, 2 * max(map(len, texts), default=0))
+        self.passage = max(PASSAGE, 2 * whole.longest)
         # Items of like length lie together, so that a block's maxima are near its weights.
         for words, (item_id, text) in sorted(texts.items(), key=lambda x: len(x[0])):
             norm = K1 * (1 - B + B * len(words) / mean)
             weights = {}
             for term, count in Counter(words).items():
-                seen = frequency[term]
-                idf = math.log(1 + (len(texts) - seen + 0.5) / (seen + 0.5))
+                seen = whole.frequency[term]
+                idf = math.log(1 + (whole.items - seen + 0.5) / (seen + 0.5))
                 weights[numbers[term]] = idf * count * (K1 + 1) / (count + norm)
             full = sum(weights.values())
             weights = {t: w / full for t, w in weights.items()}
@@ -205,25 +232,54 @@ def search(
             answer = _share_found(item.answer, grams, present)
             if question >= QUESTION and answer >= ANSWER:
                 out[n].append((item.item_id, score, question, answer))
-        out[n].sort()
+        out[n].sort(key=lambda x: _id_order(x[0]))
     return out
 
 
-def _indexes(items: DataFrame, item_key: str, text: str) -> list[Index]:
+def _distinct_items(items: DataFrame, item_key: str, text: str) -> DataFrame:
+    """words, item and text of the items that differ in words, as a written table."""
     rows = items.select(
         F.col(f"`{item_key}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text")
-    ).dropna()
-    size = rows.agg(F.count("item").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    parts = max(1, -(-size["n"] // PART_ITEMS), -(-(size["b"] or 0) // PART_BYTES))
-    return [
-        Index(
-            [
-                (r["item"], r["text"])
-                for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-            ]
-        )
-        for part in range(parts)
-    ]
+    ).where(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield batch.append_column("words", pa.array(words, pa.list_(pa.string())))
+
+    split = rows.mapInArrow(run, "item long, text string, words array<string>")
+    first = F.min(F.struct(F.col("item").isNull().alias("none"), "item", "text")).alias("first")
+    distinct = split.where(F.size("words") > 0).groupBy("words").agg(first)
+    return stage(distinct.select("words", "first.item", "first.text"), "leaks-items")
+
+
+def _indexes(items: DataFrame, item_key: str, text: str) -> list[Index]:
+    """One index per part of the items; the driver gathers one bounded part at a time."""
+    rows = _distinct_items(items, item_key, text)
+    n_words = F.size("words")
+    size = rows.agg(
+        F.count("words").alias("n"), F.sum(F.octet_length("text")).alias("bytes"),
+        F.sum(n_words).alias("words"), F.max(n_words).alias("longest"),
+    ).first()
+    if not size["n"]:
+        return [Index([])]
+    parts = max(-(-size["n"] // PART_ITEMS), -(-size["bytes"] // PART_BYTES))
+
+    def part_of(words: Column) -> Column:
+        return F.pmod(F.xxhash64(words), F.lit(parts)).cast("int")
+
+    rows = rows.withColumn("part", part_of(F.col("words")))
+    terms = rows.select("part", F.explode(F.array_distinct("words")).alias("term"))
+    counts = terms.groupBy("term").agg(F.count("part").alias("n"))
+    known = terms.distinct().join(counts, "term") if parts > 1 else counts.withColumn("part", F.lit(0))
+    known = stage(known.select("part", "term", "n"), "leaks-terms")
+    found = []
+    for part in range(parts):
+        own = rows.where(F.col("part") == part).select("item", "text").collect()
+        frequency = {r["term"]: r["n"] for r in known.where(F.col("part") == part).collect()}
+        whole = Statistics(size["n"], size["words"], size["longest"], frequency)
+        found.append(Index([(r["item"], r["text"]) for r in own], whole))
+    return found
 
 
 _FOUND = pa.list_(
@@ -262,7 +318,8 @@ def find_leaks(
                     at = batch.schema.names.index(found)
                     old = batch.column(at).to_pylist()
                     both = [
-                        (a or []) + (b or []) for a, b in zip(old, out.to_pylist(), strict=True)
+                        sorted((a or []) + (b or []), key=lambda x: _id_order(x["item_id"]))
+                        for a, b in zip(old, out.to_pylist(), strict=True)
                     ]
                     yield batch.set_column(at, pa.field(found, _FOUND), pa.array(both, _FOUND))
                 else:

@@ -212,15 +212,43 @@ def test_leaks_are_found_wherever_they_stand(spark):
 
 def test_a_benchmark_in_parts_gives_the_same_leaks(spark, monkeypatch):
     items = benchmark_items()
-    docs = spark.createDataFrame([(k, f"{items[k][1]} and {items[k + 1][1]}") for k in range(20)],
-                                 "doc_id long, text string")
+    rng = random.Random(5)
+    near = lambda text: " ".join(w for w in text.split() if rng.random() < 0.8)
+    rows = [(k, f"{items[k][1]} and {items[k + 1][1]}") for k in range(20)]
+    rows += [(k, f"{near(items[k][1])} {near(items[k + 7][1])}") for k in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    repeated = [(900 + n, f"({t}" + "!") for n, (_, t) in enumerate(items)]  # the same words
+    test = spark.createDataFrame([*items, *repeated], "item_id long, text string")
+
+    def leaks():
+        return {
+            r["doc_id"]: [tuple(x) for x in r["leaks"]]
+            for r in decontaminate.find_leaks(docs, test).collect()
+        }
+
+    whole = leaks()
+    assert all([x[0] for x in whole[k]] == [k, k + 1] for k in range(20))
+    parts = -(-len(items) // 20)
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", parts)  # some 20 parts
+    cut = leaks()
+    assert cut.keys() == whole.keys()
+    for k, found in whole.items():
+        assert [x[0] for x in cut[k]] == [x[0] for x in found]
+        for a, b in zip(cut[k], found, strict=True):
+            assert a[1:] == pytest.approx(b[1:], abs=1e-12)
+
+
+def test_items_without_id_and_equal_scores(spark):
+    item = "which moon of saturn has lakes of liquid methane? surely titan."
+    other = "who painted large blue horses before nineteen twelve? franz marc."
+    items = [(None, item), (None, item.upper()), (7, other), (5, other + " "), (None, other)]
     test = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "PART_ITEMS", 20)
-    found = {
-        r["doc_id"]: sorted(x["item_id"] for x in r["leaks"])
-        for r in decontaminate.find_leaks(docs, test).collect()
-    }
-    assert found == {k: [k, k + 1] for k in range(20)}
+    long = "filler " * 300_000 + item
+    rows = [(1, f"x {item} y"), (2, f"{other} {item}"), (3, long), (4, "which moon of saturn")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["leaks"] for r in decontaminate.find_leaks(docs, test).collect()}
+    assert {k: [x["item_id"] for x in v] for k, v in got.items()} == {1: [None], 2: [5, None], 3: [None], 4: []}
+    assert got[2][0]["share"] == pytest.approx(got[2][1]["share"])
 
 
 def test_quality_on_held_out_rows(spark, small):
