@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch between Spark and Python; texts can be long.
 BATCH_ROWS = 1000
+#: Bytes of one, about: rows may hold long arrays, and a pair of rows both of theirs.
+BATCH_BYTES = 8 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -63,10 +65,12 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch in this session to ``BATCH_ROWS``, if there are more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the rows and bytes of an Arrow batch in this session to ``BATCH_ROWS`` and
+    ``BATCH_BYTES``, if there are more."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
