@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,14 +31,17 @@ def tokenizer_file(name: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset, as in tests, a folder of this machine is made and
-    set for the session.
+    Only a local session may leave it unset, as in tests: then a folder of this machine is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or _machine_folder()).rstrip("/")
+
+
+@cache
+def _machine_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="llm-stage-")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
