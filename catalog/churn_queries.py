@@ -51,10 +51,8 @@ def _fit(s, d):
     return rows, _once(s, d, "train", lambda: churn.fit_churn(rows.filter(~F.col("is_test")), CHECKED))
 
 
-def _metrics(s, d):
-    """The report and the AUC of both sides, from one pass of the ensemble."""
-    rows, model = _fit(s, d)
-    counts = written_once(s, d, "score-counts", lambda *_: churn.score_counts(rows, model))
+def _sides(counts):
+    """The report and the AUC of both sides of the split."""
     parts = [
         evaluation.classification_report(part, churn.TARGET, "churn_prediction", weight="n")
         .withColumn("split", F.lit(name))
@@ -66,7 +64,13 @@ def _metrics(s, d):
             ("test", counts.filter("is_test")),
         )
     ]
-    both = parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1])
+
+
+def _metrics(s, d):
+    """The report and the AUC of both sides, from one pass of the ensemble."""
+    rows, model = _fit(s, d)
+    both = _sides(written_once(s, d, "score-counts", lambda *_: churn.score_counts(rows, model)))
     return both.withColumns(
         {c: round_half_even(F.col(c), 9) for c in ("precision", "recall", "f1", "auc")}
     )
@@ -127,6 +131,20 @@ def _fitted(s, d):
     return _once(s, d, "fitted", fit)
 
 
+def _fitted_train(s, d):
+    """Clusters and side of the split of every driver, and the ensemble of the training side; the
+    segments see training rows only."""
+
+    def build(spark, folder):
+        features = churn.with_split(stored_features(spark, folder))
+        return segments.fit_segments(features.filter(~F.col("is_test"))).transform(features)
+
+    rows = written_once(s, d, "clustered-train", build)
+    return rows, _once(
+        s, d, "fitted-train", lambda: churn.fit_churn(rows.filter(~F.col("is_test")), CHECKED)
+    )
+
+
 def _invariants(s, d):
     """What must hold of every fit, whatever it learned."""
     features = stored_features(s, d)
@@ -158,7 +176,24 @@ def _invariants(s, d):
     distances = scores.withColumn("_at", segment_model.scale.vector()).withColumn("_far", F.array(*far))
     own = F.get("_far", F.col("cluster_label"))
     parts.append(_checks(distances, label_is_not_the_nearest=own > F.array_min("_far")))
-    importance = churn.feature_importance(s, model).agg(
+    rows, trained = _fitted_train(s, d)
+    counts = written_once(s, d, "fitted-counts", lambda *_: churn.score_counts(rows, trained))
+    report = written_once(s, d, "fitted-report", lambda *_: _sides(counts))
+    parts.append(
+        _checks(
+            report,
+            report_lines=F.lit(True),
+            auc_outside_its_range=~F.col("auc").between(0, 1),
+            rate_outside_its_range=~(
+                F.col("precision").between(0, 1) & F.col("recall").between(0, 1)
+            ),
+        )
+    )
+    total = report.where("row = 'accuracy'").groupBy(
+        F.concat(F.lit("rows of the "), "split", F.lit(" side")).alias("check")
+    )
+    parts.append(total.agg(F.sum("support").cast("double").alias("value")))
+    importance = churn.feature_importance(s, trained).agg(
         F.lit("importances sum to").alias("check"),
         round_half_even(F.sum("importance"), 9).alias("value"),
     )
@@ -225,11 +260,16 @@ ORACLE = {
                      AS fold FROM features"""
     ),
     "fitted_invariants": chain(
-        """SELECT v."check", v.value::DOUBLE AS value FROM (VALUES
+        f"""SELECT v."check", v.value::DOUBLE AS value FROM (VALUES
               ('probability outside its range', 0), ('flag differs from the probability', 0),
               ('persona differs from the rule', 0), ('label is not the nearest', 0),
+              ('report lines', 10), ('auc outside its range', 0), ('rate outside its range', 0),
               ('importances sum to', 1)) v("check", value)
-            UNION ALL SELECT 'drivers scored', count(*)::DOUBLE FROM features"""
+            UNION ALL SELECT 'drivers scored', count(*)::DOUBLE FROM features
+            UNION ALL SELECT 'rows of the test side', count(*)::DOUBLE FROM features
+                      WHERE {uniform_sql("split", "driver_id")} < 0.2
+            UNION ALL SELECT 'rows of the train side', count(*)::DOUBLE FROM features
+                      WHERE {uniform_sql("split", "driver_id")} >= 0.2"""
     ),
     "churn_scores": _grown(
         f"""SELECT driver_id, cluster_label, persona, p AS churn_probability, p >= 0.5 AS is_high_risk

@@ -51,3 +51,12 @@ def test_scored_table_covers_every_branch(spark, small):
     assert {r[0] for r in scored.select("persona").distinct().collect()} == set(PERSONAS)
     variants = {r[0] for r in _messages(spark, small).select("variant").distinct().collect()}
     assert variants == {"LOW_EARNINGS", "HIGH_CANCEL", "GOAL_GRADIENT"}
+
+
+def test_fitted_invariants_check_the_report_of_the_fit(con):
+    """Scores, labels and importances are not all of a fit: its report on both sides counts too."""
+    sql = entry.oracle_sql()["fitted_invariants"]
+    found = {r[0]: r[1] for r in con.execute(sql).fetchall()}
+    drivers = found["drivers scored"]
+    assert found["rows of the test side"] + found["rows of the train side"] == drivers > 0
+    assert (found["report lines"], found["auc outside its range"], found["rate outside its range"]) == (10, 0, 0)
