@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN, WINDOW, RATE = 16, 16, 0.08
+#: What Adagrad's sums of squares start at. Many lanes make gradients small, so this is smaller.
+LEAST_SQUARES = 1e-8
 OWN_CLASSES, SHARED_CLASSES = 32, 8
 F32 = np.float32
 
@@ -104,114 +106,163 @@ def lanes(texts: list[np.ndarray], wanted: int) -> list[list[int]]:
     return sorted(out, key=lambda own: -sum(len(texts[i]) for i in own))
 
 
-def _grid(texts: list[np.ndarray], dealt: list[list[int]]):
-    """Per lane one flat run: ids, document numbers, and where documents begin; lane ends."""
-    ids = [np.concatenate([texts[i] for i in own]) for own in dealt]
-    docs = [np.repeat(own, [len(texts[i]) for i in own]) for own in dealt]
-    return ids, docs, np.array([len(x) for x in ids])
-
-
-def _windows(texts: list[np.ndarray], wanted: int, steps: int):
-    """Windows of all lanes: (target ids, previous ids or -2 where a document begins, documents),
-    each an array of steps by lanes, -3 past a lane's end."""
-    ids, docs, sizes = _grid(texts, lanes(texts, wanted))
-    for at in range(0, int(sizes[0]) if len(sizes) else 0, steps):
+def _laid_out(layout: Layout, texts: list[np.ndarray], wanted: int):
+    """All lanes side by side, each array of steps by lanes: ids (-3 past a lane's end), their
+    classes, input rows (``n_rows`` where a document begins) and documents; and lanes' sizes."""
+    dealt = lanes(texts, wanted)
+    sizes = np.array([sum(len(texts[i]) for i in own) for own in dealt], dtype=np.int64)
+    ids, docs = (np.full((len(dealt), int(sizes[0])), -3, dtype=np.int32) for _ in range(2))
+    for k, own in enumerate(dealt):
+        if sizes[k]:
+            ids[k, : sizes[k]] = np.concatenate([texts[i] for i in own])
+            docs[k, : sizes[k]] = np.repeat(own, [len(texts[i]) for i in own])
+    row, fresh = np.empty_like(ids), np.ones(ids.shape, dtype=bool)
+    np.not_equal(docs[:, 1:], docs[:, :-1], out=fresh[:, 1:])
+    row[:, 1:] = layout.rows(ids[:, :-1])
+    row[fresh] = layout.n_rows
+    flat = (ids, layout.classes(ids).astype(np.int16), row.astype(np.int32), docs)
+    return *(np.ascontiguousarray(x.T) for x in flat), sizes
+
+
+def _windows(layout: Layout, texts: list[np.ndarray], wanted: int, steps: int):
+    """Windows of all lanes: number of lanes, then what ``_laid_out`` gives, step after step."""
+    if not texts:
+        return
+    *laid, sizes = _laid_out(layout, texts, wanted)
+    for at in range(0, int(sizes[0]), steps):
         active = int((sizes > at).sum())
-        shape = (min(steps, int(sizes[0]) - at), active)
-        target, before, doc = (np.full(shape, -3, dtype=np.int64) for _ in range(3))
-        for k in range(active):
-            end = min(at + shape[0], int(sizes[k]))
-            target[: end - at, k] = ids[k][at:end]
-            doc[: end - at, k] = docs[k][at:end]
-            low = max(at - 1, 0)
-            prior, owner = ids[k][low : end - 1], docs[k][low : end - 1]
-            if at == 0:
-                prior, owner = np.append(-2, prior), np.append(-9, owner)
-            before[: end - at, k] = np.where(owner == docs[k][at:end], prior, -2)
-        yield target, before, doc
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(1) / (F32(1) + np.exp(-x))
-
-
-def _forward(p: dict, layout: Layout, before: np.ndarray, h: np.ndarray, keep: list | None):
-    """States after each step of a window, before the target is seen. ``h`` is carried on."""
-    steps, n = before.shape
-    hidden = h.shape[1]
-    fresh = before == -2
-    rows = layout.rows(np.where(before >= 0, before, -1))
-    out = np.empty((steps, n, hidden), dtype=F32)
-    for t in range(steps):
-        if fresh[t].any():
-            h = np.where(fresh[t][:, None], F32(0), h)
-        x = p["x"][rows[t]]
-        if fresh[t].any():
-            x = np.where(fresh[t][:, None], F32(0), x)
-        gates = h @ p["u"]
-        zr = _sigmoid(x[:, : 2 * hidden] + gates[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        held = gates[:, 2 * hidden :]
-        new = np.tanh(x[:, 2 * hidden :] + r * held)
+        yield active, *(np.ascontiguousarray(x[at : at + steps, :active]).ravel() for x in laid)
+
+
+class Room:
+    """Arrays that each window uses again, by name: fresh memory costs more than the sums in it."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        size = rows * columns
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, dtype=self.dtype)
+        return self.held[name][:size].reshape(rows, columns)
+
+
+def _forward(p: dict, layout: Layout, row: np.ndarray, h: np.ndarray, room: Room, keep: dict | None):
+    """States after each step of a window, before the target is seen, one column each. ``h``
+    (hidden by lanes) is carried on. ``keep`` gets what the way back needs."""
+    hidden, n = h.shape
+    size = len(row)
+    table = np.concatenate((p["x"], np.zeros_like(p["x"][:1])))
+    x, given = room("x", 3 * hidden, size), room("given", size, 3 * hidden)
+    np.take(table, row, axis=0, out=given, mode="clip")
+    np.copyto(x, given.T)
+    begins = row == layout.n_rows
+    u = np.ascontiguousarray(p["u"].T)
+    out, gates = room("out", hidden, size), room("gates", 3 * hidden, n)
+    if keep is not None:
+        held, prior = room("held", hidden, size), room("prior", hidden, size)
+        keep |= {"z": x[:hidden], "r": x[hidden : 2 * hidden], "new": x[2 * hidden :]}
+        keep |= {"held": held, "prior": prior, "begins": begins}
+    for at in range(0, size, n):
+        now = slice(at, at + n)
+        begin = begins[now]
+        if begin.any():
+            h = np.where(begin, h.dtype.type(0), h)
+        np.matmul(u, h, out=gates)
         if keep is not None:
-            keep.append((h, z, r, new, held, fresh[t], rows[t]))
-        h = new + z * (h - new)
-        out[t] = h
+            prior[:, now] = h
+            held[:, now] = gates[2 * hidden :]
+        zr, new = gates[: 2 * hidden], gates[2 * hidden :]
+        zr += x[: 2 * hidden, now]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        new *= zr[hidden:]
+        new += x[2 * hidden :, now]
+        np.tanh(new, out=new)
+        if keep is not None:
+            x[:, now] = gates
+        h = h - new
+        h *= zr[:hidden]
+        h += new
+        out[:, now] = h
     return out, h
 
 
-def _outputs(p: dict, layout: Layout, h: np.ndarray, ids: np.ndarray, grads: dict | None):
-    """Natural log probability of each id given its state; with ``grads``, adds gradients of
-    the mean negative log-likelihood and returns that by state as well."""
-    classes = layout.classes(ids)
-    logits = h @ p["wc"] + p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
-    at = np.arange(len(ids))
-    logp = (logits[at, classes] - np.log(total)).astype(np.float64)
-    dh = None
+def _bounded(weights: np.ndarray, bias: np.ndarray, axis: int) -> bool:
+    """Whether logits stay so small that their exponentials need no shift; states lie in -1 to 1."""
+    return float((np.abs(weights).sum(axis=axis) + np.abs(bias)).max(initial=0)) < 60
+
+
+def _softmax(logits: np.ndarray, wanted: np.ndarray, shift: bool):
+    """Log probability of the wanted row of each column, and all columns' probabilities times
+    their totals, and those totals; overwrites ``logits``."""
+    if shift:
+        logits -= logits.max(axis=0)
+    own = logits[wanted, np.arange(logits.shape[1])].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    return own - np.log(total), logits, total
+
+
+def _outputs(
+    p: dict, layout: Layout, h: np.ndarray, ids: np.ndarray, classes: np.ndarray, room: Room,
+    grads: dict | None,
+):
+    """Natural log probability of each id given its state (a column); with ``grads``, adds
+    gradients of the mean negative log-likelihood and returns that by state as well."""
+    hidden, size = h.shape
+    logits = np.matmul(p["wc"].T, h, out=room("logits", layout.n_classes, size))
+    logits += p["bc"][:, None]
+    logp, d, total = _softmax(logits, classes, not _bounded(p["wc"], p["bc"], 0))
+    dh, n = None, h.dtype.type(len(ids))
     if grads is not None:
-        d = e / total[:, None]
-        d[at, classes] -= 1
-        d /= F32(len(ids))
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(axis=0)
-        dh = d @ p["wc"].T
-    shared = (ids >= 0) & (classes >= layout.own_classes)
+        d /= total * n
+        d[classes, np.arange(len(ids))] -= 1 / n
+        grads["wc"] += h @ d.T
+        grads["bc"] += d.sum(axis=1)
+        dh = np.matmul(p["wc"], d, out=room("dh", hidden, size))
+    shared = np.flatnonzero((ids >= 0) & (classes >= layout.own_classes))
     logp[shared] += layout.log_share[ids[shared]]
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(layout.own_classes + 1))
+    order = order[: bounds[-1]]
+    inner_id = ids[order]
+    sorted_h = np.take(h, order, axis=1, out=room("sorted", hidden, len(order)), mode="clip")
+    inner_logp, shift = np.zeros(len(order)), not _bounded(p["wo"], p["bo"], 1)
+    back = room("back", hidden, len(order))
     for c in range(layout.own_classes):
-        mine = order[bounds[c] : bounds[c + 1]]
         low, high = int(layout.low[c]), int(layout.high[c])
-        if not len(mine) or high - low < 2:
+        mine = slice(int(bounds[c]), int(bounds[c + 1]))
+        if mine.start == mine.stop:
             continue
-        weights = p["wo"][low:high]
-        inner = h[mine] @ weights.T + p["bo"][low:high]
-        inner -= inner.max(axis=1, keepdims=True)
-        e = np.exp(inner)
-        total = e.sum(axis=1)
-        k = np.arange(len(mine))
-        logp[mine] += inner[k, ids[mine] - low] - np.log(total)
+        weights, state = p["wo"][low:high], sorted_h[:, mine]
+        wanted = inner_id[mine] - low
+        logits = weights @ state
+        logits += p["bo"][low:high, None]
+        inner_logp[mine], d, total = _softmax(logits, wanted, shift)
         if grads is not None:
-            d = e / total[:, None]
-            d[k, ids[mine] - low] -= 1
-            d /= F32(len(ids))
-            grads["wo"][low:high] += d.T @ h[mine]
-            grads["bo"][low:high] += d.sum(axis=0)
-            dh[mine] += d @ weights
+            d /= total * n
+            d[wanted, np.arange(len(wanted))] -= 1 / n
+            grads["wo"][low:high] += d @ state.T
+            grads["bo"][low:high] += d.sum(axis=1)
+            np.matmul(weights.T, d, out=back[:, mine])
+    logp[order] += inner_logp
+    if grads is not None:
+        dh[:, order] += back
     return logp, dh
 
 
 def log_likelihood(p: dict, layout: Layout, texts: list[np.ndarray], n_lanes: int = 384) -> np.ndarray:
     """Natural log-likelihood of each text, the part inside the unnumbered class left out."""
     out = np.zeros(len(texts))
-    h = np.zeros((max(1, min(n_lanes, len(texts))), p["u"].shape[0]), dtype=F32)
-    for target, before, doc in _windows(texts, n_lanes, 2 * WINDOW):
-        states, h = _forward(p, layout, before, h[: target.shape[1]], None)
-        real = target != -3
-        logp, _ = _outputs(p, layout, states[real], target[real], None)
+    h = np.zeros((p["u"].shape[0], max(1, min(n_lanes, len(texts)))), dtype=p["u"].dtype)
+    room = Room(h.dtype)
+    for n, ids, classes, row, doc in _windows(layout, texts, n_lanes, WINDOW):
+        states, h = _forward(p, layout, row, h[:, :n], room, None)
+        real = slice(None) if ids.min() > -3 else np.flatnonzero(ids > -3)
+        logp, _ = _outputs(p, layout, states[:, real], ids[real], classes[real], room, None)
         out += np.bincount(doc[real], weights=logp, minlength=len(texts))
     return out
 
@@ -222,42 +273,68 @@ class Trainer:
     def __init__(self, layout: Layout, parameters: dict[str, np.ndarray]) -> None:
         self.layout = layout
         self.p = {k: v.copy() for k, v in parameters.items()}
-        self.seen = {k: np.full(v.shape, 1e-4, dtype=F32) for k, v in parameters.items()}
+        self.seen = {k: np.full(v.shape, LEAST_SQUARES, dtype=F32) for k, v in parameters.items()}
         self.tokens = 0
 
     def learn(self, texts: list[np.ndarray], n_lanes: int = 32) -> None:
         layout, p = self.layout, self.p
         hidden = p["u"].shape[0]
-        h = np.zeros((max(1, min(n_lanes, len(texts))), hidden), dtype=F32)
-        for target, before, _ in _windows(texts, n_lanes, WINDOW):
-            h = h[: target.shape[1]]
-            kept: list = []
-            states, h = _forward(p, layout, before, h, kept)
-            real = target != -3
+        h = np.zeros((hidden, max(1, min(n_lanes, len(texts)))), dtype=p["u"].dtype)
+        room = Room(h.dtype)
+        for n, ids, classes, row, _ in _windows(layout, texts, n_lanes, WINDOW):
+            kept: dict[str, np.ndarray] = {}
+            states, h = _forward(p, layout, row, h[:, :n], room, kept)
             grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-            _, d = _outputs(p, layout, states[real], target[real], grads)
-            dstates = np.zeros_like(states)
-            dstates[real] = d
-            dh = np.zeros((target.shape[1], hidden), dtype=F32)
-            rows, drows = [], []
-            for t in range(len(states) - 1, -1, -1):
-                prior, z, r, new, held, fresh, row = kept[t]
-                dh = dh + dstates[t]
-                dnew = dh * (1 - z) * (1 - new * new)
-                dz = dh * (prior - new) * z * (1 - z)
-                dr = dnew * held * r * (1 - r)
-                gates = np.concatenate((dz, dr, dnew * r), axis=1)
-                grads["u"] += prior.T @ gates
-                rows.append(row[~fresh])
-                drows.append(np.concatenate((dz, dr, dnew), axis=1)[~fresh])
-                dh = np.where(fresh[:, None], F32(0), dh * z + gates @ p["u"].T)
+            real = slice(None) if ids.min() > -3 else np.flatnonzero(ids > -3)
+            _, d = _outputs(p, layout, states[:, real], ids[real], classes[real], room, grads)
+            dstates = d
+            if not isinstance(real, slice):
+                dstates = np.zeros_like(states)
+                dstates[:, real] = d
+            dx = self._back(kept, dstates, n, room)
+            # From here on the candidate's part is what its gate takes from the state.
+            at = np.flatnonzero(np.bincount(row, minlength=layout.n_rows + 1)[:-1])
+            row = row.astype(np.intp)
+            by_row = [np.bincount(row, weights=d, minlength=layout.n_rows)[at] for d in dx]
+            dx[2 * hidden :] *= kept["r"]
+            grads["u"] += kept["prior"] @ dx.T
             for name, g in grads.items():
                 self._step(name, slice(None), g)
-            row, back = np.unique(np.concatenate(rows), return_inverse=True)
-            g = np.zeros((len(row), 3 * hidden), dtype=F32)
-            np.add.at(g, back, np.concatenate(drows))
-            self._step("x", row, g)
-            self.tokens += int(real.sum())
+            self._step("x", at, np.stack(by_row, axis=1).astype(h.dtype))
+            self.tokens += len(ids[real])
+
+    def _back(self, kept: dict, dstates: np.ndarray, n: int, room: Room) -> np.ndarray:
+        """Gradients by the inputs of gates and candidate."""
+        hidden, size = dstates.shape
+        u, z, r, new = self.p["u"], kept["z"], kept["r"], kept["new"]
+        by_new, by_z, by_r = (room(f"by_{k}", hidden, size) for k in "nzr")
+        # For the candidate (1 - z)(1 - new^2), for z (prior - new) z (1 - z), for r held r (1 - r).
+        np.subtract(1, z, out=by_z)
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= by_z
+        by_z *= z
+        np.subtract(kept["prior"], new, out=by_r)
+        by_z *= by_r
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= kept["held"]
+        dx, gates = room("dx", 3 * hidden, size), room("gates", 3 * hidden, n)
+        dh = np.zeros((hidden, n), dtype=u.dtype)
+        for at in range(size - n, -1, -n):
+            now = slice(at, at + n)
+            dh += dstates[:, now]
+            np.multiply(dh, by_z[:, now], out=gates[:hidden])
+            np.multiply(dh, by_new[:, now], out=gates[2 * hidden :])
+            np.multiply(gates[2 * hidden :], by_r[:, now], out=gates[hidden : 2 * hidden])
+            dx[:, now] = gates
+            gates[2 * hidden :] *= r[:, now]
+            dh *= z[:, now]
+            dh += u @ gates
+            begin = kept["begins"][now]
+            if begin.any():
+                dh[:, begin] = 0
+        return dx
 
     def _step(self, name: str, at, g: np.ndarray) -> None:
         np.clip(g, -1, 1, out=g)

@@ -18,13 +18,12 @@ Without training documents all words are unseen. Other columns are not read.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +34,37 @@ from fleetcohort.llm.common import crc_mod, keyed_text, pieces, stage
 NUMBERED, LEAST_COUNT, OWN = 1 << 16, 3, 1024
 #: Training rounds; each takes its share of the training documents.
 ROUNDS = 2
-#: Text that a task scores at a time; longer lanes, fewer steps with few lanes.
-SCORE_BYTES, TRAIN_BYTES = 6 << 20, 1 << 20
-#: Different words that a task counts before it hands them on.
-COUNTED = 400_000
+#: Tokens that a task counts, and that it learns from or scores, at a time.
+COUNTED, LOT = 1 << 22, 1 << 20
+#: Lanes of a training lot, at least and at most, and the windows that a lot should give.
+LEAST_LANES, MOST_LANES, WINDOWS = 32, 256, 256
 PIECE = 4096
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def tokens(text: str) -> list[str]:
-    """Words with A-Z in lower case, as bytes know no other case."""
-    return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words one after another, A-Z in lower case, and each text's number of them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = split.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # a text that begins or ends with white space
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    return flat.filter(real), np.bincount(owner[real.to_numpy(False)], minlength=len(texts))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """word and its count ``c`` over all rows' texts, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: list[pa.Array] = []
 
         def counted() -> pa.RecordBatch:
+            found = pa.chunked_array(held, pa.string()).value_counts()
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
-                names=["word", "c"],
+                [found.field("values"), found.field("counts")], names=["word", "c"]
             )
 
         for batch in pieces(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-            if len(held) > COUNTED:
+            held.append(split_words(batch.column("text"))[0])
+            if sum(map(len, held)) > COUNTED:
                 yield counted()
                 held.clear()
         if held:
@@ -78,19 +79,24 @@ class Vocabulary:
 
     def __init__(self, words: list[tuple[str | None, int]], total: int, distinct: int) -> None:
         words = sorted(words, key=lambda w: -w[1])
-        self.number = {w: n for n, (w, _) in enumerate(words)}
+        self.words = pa.array([w for w, _ in words], pa.string())
         self.counts = np.array([c for _, c in words], dtype=np.int64)
-        self.end = self.number.pop(None)
+        self.end = [w for w, _ in words].index(None)
         self.total, self.distinct = total, distinct
         self.rest_tokens = total - int(self.counts.sum())
         self.rest_words = max(0, distinct - len(words))
         self.layout = gru.Layout(self.counts, OWN, float(self.rest_tokens))
         self.log_count = np.log10(self.counts + 1.0)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words, -1 without, and the end."""
-        get = self.number.get
-        return np.fromiter((*(get(w, -1) for w in words), self.end), np.int64, len(words) + 1)
+    def ids(self, words: pa.Array, sizes: np.ndarray) -> list[np.ndarray]:
+        """Per text, of ``sizes`` words, the numbers of its words, -1 without, and the end."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        ends = np.cumsum(sizes + 1)
+        flat = np.full(len(found) + len(sizes), self.end, dtype=np.int32)
+        inside = np.ones(len(flat), dtype=bool)
+        inside[ends - 1] = False
+        flat[inside] = found
+        return np.split(flat, ends[:-1])
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
@@ -123,6 +129,11 @@ def _averaged(copies: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.nd
     return gru.unpack(np.concatenate([np.array(r["own"], dtype=np.float32) for r in rows]), like)
 
 
+def lanes_for(tokens: int) -> int:
+    """Lanes of a training lot: many where it is large, else few, for it to have enough steps."""
+    return min(MOST_LANES, max(LEAST_LANES, tokens // (gru.WINDOW * WINDOWS)))
+
+
 def train(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters after ``ROUNDS`` rounds, which share the training rows out among them."""
     parameters = gru.start(vocabulary.layout)
@@ -133,8 +144,18 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray] = parameters
         ) -> Iterator[pa.RecordBatch]:
             trainer = gru.Trainer(vocabulary.layout, begin)
-            for batch in pieces(batches, limit=TRAIN_BYTES):
-                trainer.learn([vocabulary.ids(tokens(t)) for t in batch.column("text").to_pylist()])
+            held: list[np.ndarray] = []
+
+            def learn() -> None:
+                trainer.learn(held, n_lanes=lanes_for(sum(map(len, held))))
+                held.clear()
+
+            for batch in pieces(batches):
+                held += vocabulary.ids(*split_words(batch.column("text")))
+                if sum(map(len, held)) > LOT:
+                    learn()
+            if held:
+                learn()
             if not trainer.tokens:
                 return
             flat = gru.pack(trainer.p)
@@ -157,41 +178,64 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     return parameters
 
 
+def _unnumbered(split: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Per text the different words without a number, and how often it has each."""
+    other = np.flatnonzero(ids < 0)
+    coded = split.take(pa.array(other)).dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[other]
+    pairs, n = np.unique(owner * width + coded.indices.to_numpy(), return_counts=True)
+    offsets = np.searchsorted(pairs // width, np.arange(len(sizes) + 1))
+    word = coded.dictionary.take(pa.array(pairs % width))
+    columns = [word, pa.array(n, pa.int64())]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["word", "n"])
+    )
+
+
 def _scored(rows: DataFrame, words: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
     """Per row what needs no other word's count: row, key, held_out, n_tokens, n_head, base and
     model sums of numbered tokens, and the other words with their counts in the text."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.counts > 0
-        for batch in pieces(batches, limit=SCORE_BYTES):
-            split = [tokens(t) for t in batch.column("text").to_pylist()]
-            ids = [words.ids(s) for s in split]
-            model = gru.log_likelihood(parameters, words.layout, ids) / np.log(10.0)
-            base, n_head, rest = [], [], []
-            for own, text in zip(ids, split, strict=True):
-                numbered = own[own >= 0]
-                base.append(float(words.log_count[numbered].sum()))
-                n_head.append(int(known[numbered].sum()))
-                other = Counter(w for w, n in zip(text, own.tolist(), strict=False) if n < 0)
-                rest.append([{"word": w, "n": n} for w, n in other.items()])
+        known, held, size = words.counts > 0, [], 0
+
+        def modelled() -> Iterator[pa.RecordBatch]:
+            texts = [own for _, ids in held for own in ids]
+            model = gru.log_likelihood(parameters, words.layout, texts) / np.log(10.0)
+            at = 0
+            for kept, ids in held:
+                own = pa.array(model[at : at + len(ids)], pa.float64())
+                yield kept.append_column("model", own)
+                at += len(ids)
+
+        for batch in pieces(batches):
+            split, sizes = split_words(batch.column("text"))
+            ids = words.ids(split, sizes)
+            flat = np.concatenate(ids)
+            owner = np.repeat(np.arange(len(ids)), sizes + 1)
+            numbered = flat >= 0
+            base = np.where(numbered, words.log_count[flat], 0.0)
             kept = batch.select(["row", "key", "held_out"])
             for name, column in (
-                ("n_tokens", pa.array([len(i) for i in ids], pa.int64())),
-                ("n_head", pa.array(n_head, pa.int64())),
-                ("base", pa.array(base, pa.float64())),
-                ("model", pa.array(model, pa.float64())),
-                (
-                    "rest",
-                    pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-                ),
+                ("n_tokens", pa.array(sizes + 1, pa.int64())),
+                ("n_head", pa.array(np.bincount(owner[numbered & known[flat]], minlength=len(ids)), pa.int64())),
+                ("base", pa.array(np.bincount(owner, weights=base, minlength=len(ids)), pa.float64())),
+                ("rest", _unnumbered(split, np.delete(flat, np.cumsum(sizes + 1) - 1), sizes)),
             ):
                 kept = kept.append_column(name, column)
-            yield kept
+            held.append((kept, ids))
+            size += len(flat)
+            if size > LOT:
+                yield from modelled()
+                held, size = [], 0
+        if held:
+            yield from modelled()
 
     schema = (
         f"row long, key {kind}, held_out boolean, n_tokens long, n_head long, base double,"
-        " model double, rest array<struct<word:string,n:bigint>>"
+        " rest array<struct<word:string,n:bigint>>, model double"
     )
     return stage(rows.mapInArrow(run, schema), "lm-scored")
 
