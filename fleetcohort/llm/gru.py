@@ -18,7 +18,7 @@ import numpy as np
 HIDDEN, WINDOW, RATE = 16, 16, 0.08
 #: What Adagrad's sums of squares start at. Many lanes make gradients small, so this is smaller.
 LEAST_SQUARES = 1e-8
-OWN_CLASSES, SHARED_CLASSES = 32, 8
+OWN_CLASSES, SHARED_CLASSES = 14, 8
 F32 = np.float32
 
 
@@ -153,13 +153,12 @@ def _forward(p: dict, layout: Layout, row: np.ndarray, h: np.ndarray, room: Room
     hidden, n = h.shape
     size = len(row)
     table = np.concatenate((p["x"], np.zeros_like(p["x"][:1])))
-    x, given = room("x", 3 * hidden, size), room("given", size, 3 * hidden)
-    np.take(table, row, axis=0, out=given, mode="clip")
-    np.copyto(x, given.T)
+    given = room("given", n, 3 * hidden)
     begins = row == layout.n_rows
     u = np.ascontiguousarray(p["u"].T)
     out, gates = room("out", hidden, size), room("gates", 3 * hidden, n)
     if keep is not None:
+        x = room("x", 3 * hidden, size)
         held, prior = room("held", hidden, size), room("prior", hidden, size)
         keep |= {"z": x[:hidden], "r": x[hidden : 2 * hidden], "new": x[2 * hidden :]}
         keep |= {"held": held, "prior": prior, "begins": begins}
@@ -169,17 +168,18 @@ def _forward(p: dict, layout: Layout, row: np.ndarray, h: np.ndarray, room: Room
         if begin.any():
             h = np.where(begin, h.dtype.type(0), h)
         np.matmul(u, h, out=gates)
+        np.take(table, row[now], axis=0, out=given, mode="clip")
         if keep is not None:
             prior[:, now] = h
             held[:, now] = gates[2 * hidden :]
         zr, new = gates[: 2 * hidden], gates[2 * hidden :]
-        zr += x[: 2 * hidden, now]
+        zr += given.T[: 2 * hidden]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
         new *= zr[hidden:]
-        new += x[2 * hidden :, now]
+        new += given.T[2 * hidden :]
         np.tanh(new, out=new)
         if keep is not None:
             x[:, now] = gates
@@ -213,7 +213,7 @@ def _outputs(
     """Natural log probability of each id given its state (a column); with ``grads``, adds
     gradients of the mean negative log-likelihood and returns that by state as well."""
     hidden, size = h.shape
-    logits = np.matmul(p["wc"].T, h, out=room("logits", layout.n_classes, size))
+    logits = np.matmul(np.ascontiguousarray(p["wc"].T), h, out=room("logits", layout.n_classes, size))
     logits += p["bc"][:, None]
     logp, d, total = _softmax(logits, classes, not _bounded(p["wc"], p["bc"], 0))
     dh, n = None, h.dtype.type(len(ids))

@@ -34,8 +34,9 @@ from fleetcohort.llm.common import crc_mod, keyed_text, pieces, stage
 NUMBERED, LEAST_COUNT, OWN = 1 << 16, 3, 1024
 #: Training rounds; each takes its share of the training documents.
 ROUNDS = 2
-#: Tokens that a task counts, and that it learns from or scores, at a time.
-COUNTED, LOT = 1 << 22, 1 << 20
+#: Tokens that a task counts, and that it learns from or scores, at a time: with small lots one
+#: long document keeps a lane busy when all others are through.
+COUNTED, LOT = 1 << 22, 1 << 22
 #: Lanes of a training lot, at least and at most, and the windows that a lot should give.
 LEAST_LANES, MOST_LANES, WINDOWS = 32, 256, 256
 PIECE = 4096
