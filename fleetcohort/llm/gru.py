@@ -208,15 +208,15 @@ def _softmax(logits: np.ndarray, wanted: np.ndarray, shift: bool):
 
 def _outputs(
     p: dict, layout: Layout, h: np.ndarray, ids: np.ndarray, classes: np.ndarray, room: Room,
-    grads: dict | None,
+    grads: dict | None, tokens: int = 0,
 ):
     """Natural log probability of each id given its state (a column); with ``grads``, adds
-    gradients of the mean negative log-likelihood and returns that by state as well."""
+    gradients of the negative log-likelihood over ``tokens`` and returns that by state as well."""
     hidden, size = h.shape
     logits = np.matmul(np.ascontiguousarray(p["wc"].T), h, out=room("logits", layout.n_classes, size))
     logits += p["bc"][:, None]
     logp, d, total = _softmax(logits, classes, not _bounded(p["wc"], p["bc"], 0))
-    dh, n = None, h.dtype.type(len(ids))
+    dh, n = None, h.dtype.type(tokens)
     if grads is not None:
         d /= total * n
         d[classes, np.arange(len(ids))] -= 1 / n
@@ -280,13 +280,14 @@ class Trainer:
         layout, p = self.layout, self.p
         hidden = p["u"].shape[0]
         h = np.zeros((hidden, max(1, min(n_lanes, len(texts)))), dtype=p["u"].dtype)
-        room = Room(h.dtype)
+        room, tokens = Room(h.dtype), WINDOW * h.shape[1]
         for n, ids, classes, row, _ in _windows(layout, texts, n_lanes, WINDOW):
             kept: dict[str, np.ndarray] = {}
             states, h = _forward(p, layout, row, h[:, :n], room, kept)
             grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
             real = slice(None) if ids.min() > -3 else np.flatnonzero(ids > -3)
-            _, d = _outputs(p, layout, states[:, real], ids[real], classes[real], room, grads)
+            # A token weighs the same in the windows of the longest lanes, which have few.
+            _, d = _outputs(p, layout, states[:, real], ids[real], classes[real], room, grads, tokens)
             dstates = d
             if not isinstance(real, slice):
                 dstates = np.zeros_like(states)
