@@ -6,7 +6,8 @@ row's chance to be the next start grows with its squared distance to the starts
 by hash (the least of exponential keys divided by the weight), so starts are a function of keys
 and values. All starts, and all numbers of clusters, advance side by side: the starts of a
 smaller k are the first ones of a larger k, and a round is one aggregation over the rows. Only
-sums by (run, cluster) and one row per start come to the driver.
+sums by (run, cluster) and one row per start come to the driver. The loops over rows, runs and
+centres are plain arithmetic on columns, which is compiled; array functions are not.
 """
 
 from __future__ import annotations
@@ -42,11 +43,14 @@ class Scale:
     def vector(self) -> Column:
         """A row as whole parts of deviations; missing values count as 0, a column without
         spread is 0 throughout."""
-        parts = [
+        return F.array(*self.parts())
+
+    def parts(self) -> list[Column]:
+        """The same, a column each."""
+        return [
             F.rint((grains(c) - F.lit(m)) / F.lit(s) * UNIT).cast("long") if s else F.lit(0).cast("long")
             for c, m, s in zip(self.columns, self.mean, self.deviation, strict=True)
         ]
-        return F.array(*parts)
 
     def in_units(self, centre: list[int]) -> list[float]:
         return [
@@ -91,24 +95,64 @@ def nearest(centres: str) -> str:
     return f"array_min(transform({centres}, (centre, c) -> struct({_DISTANCE} AS d, c)))"
 
 
-def _starts(rows: DataFrame, k: int, starts: int, seed: int) -> list[list[list[int]]]:
+def _each(rows: DataFrame, name: str, centres: list[list[list[int]]], dims: int, far: int) -> DataFrame:
+    """Every row once for each list of centres: its number as ``name``, ``c``, the number of the
+    nearest centre (ties go to the smaller), and ``d``, the squared distance to it.
+
+    Rows have x0, x1 and so on, and xx, the sum of their squares. The least of cc - 2 x c, times the longest
+    list's length, plus the centre's number, gives both; all factors are constants, so a row and
+    centre cost a product and a sum a dimension. Short lists repeat their first centre at the end.
+    ``far`` is the largest xx: doubles hold all numbers on the way, and are compiled to far less
+    code than whole numbers with a check, unless some row is very far out.
+    """
+    most = max(map(len, centres))
+    # |c| is |x| of some row at most, but for rounding: less than one a dimension.
+    small = 4 * most * (math.isqrt(far) + dims + 1) ** 2 < 1 << 53
+    mark, kind = ("D", "double") if small else ("L", "bigint")
+
+    def constants(own: list[list[int]]) -> str:
+        parts = []
+        for j in range(most):
+            centre = own[j] if j < len(own) else own[0]
+            parts += [f"{most * sum(x * x for x in centre) + j}{mark} AS w{j}"]
+            parts += [f"{-2 * most * x}{mark} AS w{j}_{d}" for d, x in enumerate(centre)]
+        return ", ".join(parts)
+
+    named = ", ".join(f"struct({i} AS {name}, {constants(own)})" for i, own in enumerate(centres))
+    each = [" + ".join([f"w{j}", *(f"w{j}_{d} * y{d}" for d in range(dims))]) for j in range(most)]
+    least = f"least({', '.join(each)})" if most > 1 else each[0]
+    return (
+        rows.selectExpr("*", *(f"CAST(x{d} AS {kind}) AS y{d}" for d in range(dims)))
+        .selectExpr("*", f"inline(array({named}))")
+        .selectExpr(*rows.columns, name, f"CAST({least} AS BIGINT) AS z")
+        .selectExpr(*rows.columns, name, f"CAST(pmod(z, {most}L) AS INT) AS c", f"(z - pmod(z, {most}L)) DIV {most}L + xx AS d")
+    )
+
+
+def _starts(
+    rows: DataFrame, k: int, starts: int, seed: int, dims: int, far: int
+) -> list[list[list[int]]]:
     """Up to ``k`` distinct rows for each start, in the order they were drawn."""
     chosen: list[list[list[int]]] = [[] for _ in range(starts)]
-    spread = rows.select("_key", "_v", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
     for at in range(k):
         hashed = F.md5(
             F.concat(F.lit(f"{seed}:start"), F.col("start").cast("string"), F.lit(f"-{at}:"), F.col("_key").cast("string"))
         )
-        drawn = spread.withColumn("_e", -F.ln(uniform(hashed)))
+        key = -F.ln(uniform(hashed))
         if at:
-            so_far = f"get({constant(chosen, 'array<array<array<bigint>>>')}, start)"
-            drawn = drawn.withColumn("_w", F.expr(f"{nearest(so_far)}.d")).where("_w > 0")
-            drawn = drawn.withColumn("_e", F.col("_e") / F.col("_w"))
-        found = drawn.groupBy("start").agg(F.min(F.struct("_e", "_key", "_v")).alias("least")).collect()
-        if not found:
+            drawn, key = _each(rows, "start", chosen, dims, far).where("d > 0"), key / F.col("d")
+        else:
+            drawn = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+        least = F.struct(key.alias("_e"), "_key", *[f"x{d}" for d in range(dims)])
+        # A minimum for each start: groups would be sorted, as it is one of structs.
+        found = drawn.withColumn("least", least).agg(
+            *[F.expr(f"min(least) FILTER (WHERE start = {s})").alias(f"s{s}") for s in range(starts)]
+        ).first()
+        if all(found[f"s{s}"] is None for s in range(starts)):
             break
-        for row in found:  # a row per start
-            chosen[row["start"]].append(list(row["least"]["_v"]))
+        for s in range(starts):
+            if found[f"s{s}"] is not None:
+                chosen[s].append([found[f"s{s}"][f"x{d}"] for d in range(dims)])
     return chosen
 
 
@@ -116,26 +160,28 @@ def fit_all(
     df: DataFrame, scale: Scale, ks: list[int], starts: int, seed: int, key: str = "driver_id", rounds: int = ROUNDS
 ) -> list[Fit]:
     """One fit per (k, start); pass a stored table."""
-    vectors = df.select(F.col(key).alias("_key"), scale.vector().alias("_v"))
     dims = len(scale.columns)
+    names = [f"x{d}" for d in range(dims)]
+    vectors = df.select(F.col(key).alias("_key"), *[x.alias(n) for x, n in zip(scale.parts(), names, strict=True)])
+    vectors = vectors.withColumn("xx", sum((F.col(n) * F.col(n) for n in names), F.lit(0).cast("long")))
     with staged(vectors, "vectors") as rows:
-        seeds = _starts(rows, max(ks), starts, seed)
+        far = rows.agg(F.max("xx")).first()[0] or 0
+        seeds = _starts(rows, max(ks), starts, seed, dims, far)
         runs = [(k, s) for k in ks for s in range(starts)]
         centres = [[list(c) for c in seeds[s][:k]] for k, s in runs]
         if not centres[0]:
             return [Fit(k, s, [], 0.0) for k, s in runs]
+        points = rows.select(*names, "xx")
 
         def totals(live: list[int]) -> list:
             """Per (run, cluster): rows, sums of the vectors, sum of the distances."""
-            text = constant([centres[i] for i in live], "array<array<array<bigint>>>")
             return (
-                rows.selectExpr("_v", f"posexplode({text}) AS (run, own)")
-                .selectExpr("_v", "run", f"{nearest('own')} AS best")
-                .groupBy("run", "best.c")
+                _each(points, "run", [centres[i] for i in live], dims, far)
+                .groupBy("run", "c")
                 .agg(
                     F.count(F.lit(1)).alias("n"),
-                    F.sum("best.d").alias("cost"),
-                    *[F.sum(F.col("_v")[i]).alias(f"s{i}") for i in range(dims)],
+                    F.sum("d").alias("cost"),
+                    *[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)],
                 )
                 .collect()
             )

@@ -57,3 +57,23 @@ def test_fewer_points_than_clusters_and_empty(spark):
     assert len(segments.fit_segments(two, k=4, starts=2).centres) == 2
     empty = stage(spark.createDataFrame([], SCHEMA), "empty")
     assert segments.fit_segments(empty, k=4, starts=2).centres == []
+
+
+def test_nearest_centres_by_plain_arithmetic(spark):
+    """Ties, short lists and rows far out: the same number and distance as one by one."""
+    rng = random.Random(3)
+    for size in (3000, 10**8):  # doubles, then whole numbers
+        points = [[rng.randrange(-size, size) for _ in range(3)] for _ in range(200)] + [[0, 0, 0], [size, 0, 0]]
+        lists = [points[:1], [points[4], points[4], points[7], points[9]], [[0, 0, 0], [2, 0, 0]], points[20:28]]
+        rows = spark.createDataFrame([(*p, sum(x * x for x in p)) for p in points], "x0 long, x1 long, x2 long, xx long")
+        far = max(sum(x * x for x in p) for p in points)
+        found = kmeans._each(rows, "run", lists, 3, far)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and ("as double" in plan) == (size == 3000)
+        got = sorted((r["run"], r["x0"], r["x1"], r["x2"], r["c"], r["d"]) for r in found.collect())
+        want = []
+        for i, own in enumerate(lists):
+            for p in points:
+                d, c = min((sum((a - b) ** 2 for a, b in zip(p, centre)), c) for c, centre in enumerate(own))
+                want.append((i, *p, c, d))
+        assert got == sorted(want)
